@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Top-k per group cuts every map task to k rows before the shuffle, up to this k.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 
