@@ -30,8 +30,8 @@ def grid(events: DataFrame, day: str, any_day: Column, weeks: int = 3) -> DataFr
     counts = (events.where(F.col(day).between(start, F.date_add(start, weeks * 7 - 1)))
               .groupBy(F.col(day).alias("grid_day")).agg(F.count(F.lit(1)).alias("events")))
     cells = days.join(counts, "grid_day", "left").withColumn("events", F.coalesce("events", F.lit(0)))
-    weekend = cells.agg(F.coalesce(F.bool_or((F.col("column") >= 5) & (F.col("events") > 0)), F.lit(False)).alias("_w"))
-    return cells.join(F.broadcast(weekend)).where((F.col("column") < 5) | F.col("_w")).drop("_w")
+    weekend = cells.agg(F.coalesce(F.bool_or((F.col("column") >= 5) & (F.col("events") > 0)), F.lit(False)))
+    return cells.where((F.col("column") < 5) | weekend.scalar())
 
 
 def order_within_day(events: DataFrame, day: list[str], clock: str, tie: list[Column],
@@ -83,9 +83,8 @@ def next_and_last(events: DataFrame, group: list[str], day: str, tie: str, today
 
 def published_until(period_ends: DataFrame, end: str, events: DataFrame, day: str) -> DataFrame:
     """Latest period end, or the latest event when no period is known (one row)."""
-    a = period_ends.agg(F.max(end).alias("_p"))
-    b = events.agg(F.max(day).alias("_d"))
-    return a.join(b).select(F.coalesce("_p", "_d").alias("published_until"))
+    latest = events.agg(F.max(day)).scalar()
+    return period_ends.agg(F.max(end).alias("_p")).select(F.coalesce("_p", latest).alias("published_until"))
 
 
 def derived_period(rows: DataFrame, group: list[str], day: str) -> DataFrame:

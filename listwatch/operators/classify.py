@@ -6,7 +6,7 @@ from listwatch.functions.text import fold, ordered_union, squeeze, strip_accents
 
 MAX_AREAS = 3
 MAX_RULES = 10_000
-GRAM = 3
+MAX_LENGTHS = 64
 STATUTE = r"(?U)\b(\d{1,4})\s*/\s*(\d{4})\b"
 
 
@@ -77,16 +77,20 @@ def statute_numbers(texts: Column) -> Column:
 def contains_join(items: DataFrame, dim: DataFrame, key: str, text: str) -> DataFrame:
     """(key, rule key) pairs where the text contains the rule key, for a dimension of any size.
 
-    Rules meet texts on the first three letters of the rule key, so the join is an equi-join; both
-    sides are linear in their input.  Rule keys shorter than three letters are refused.
+    Every substring of the text that is as long as some rule key meets the rules by equality, so
+    the join forms no candidate that is not a hit, and neither side is broadcast or collected.
     """
-    rules = dim.select(F.lower("key").alias("_k")).distinct().withColumn("_g", F.substring("_k", 1, GRAM))
+    rules = dim.select(F.lower("key").alias("rule")).distinct()
+    lengths = [r["n"] for r in rules.select(F.length("rule").alias("n")).distinct().limit(MAX_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError("rule keys have too many different lengths")
     t = F.lower(F.col(text))
-    grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(t) - (GRAM - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(GRAM))))
-    probes = items.select(key, t.alias("_t"), F.explode(grams).alias("_g"))
-    return (probes.join(rules, "_g").where(F.col("_t").contains(F.col("_k")))
-            .select(key, F.col("_k").alias("rule")))
+    pieces = [F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i, n=n: F.substr(t, i, F.lit(n)))
+              for n in lengths if n > 0]
+    pieces = [F.when(F.length(t) >= n, p).otherwise(F.array().cast("array<string>"))
+              for n, p in zip([n for n in lengths if n > 0], pieces)]
+    probes = items.select(key, F.explode(F.array_distinct(F.concat(*pieces))).alias("rule"))
+    return probes.join(rules, "rule").select(key, "rule")
 
 
 class Taxonomy:

@@ -42,13 +42,13 @@ def share_budget(needs: DataFrame, claimant: str, need: str, order: str, budget:
     # With the needs below fully met, the others can share this level; it is valid up to their need.
     level = steps.select(F.least(F.floor((budget - F.col("_met")) / F.col("_open")), F.col("_need")).alias("l"))
     top = level.agg(F.greatest(F.coalesce(F.max("l"), F.lit(0)), F.lit(0)).cast("bigint").alias("_level"))
-    levelled = capped.join(F.broadcast(top))  # one row
+    levelled = capped.withColumn("_level", top.scalar())
     given = F.least(F.col("_need"), F.col("_level"))
-    spent = levelled.agg((budget - F.coalesce(F.sum(given), F.lit(0))).cast("bigint").alias("_left"))
+    left = levelled.agg((budget - F.coalesce(F.sum(given), F.lit(0))).cast("bigint").alias("_left")).scalar()
     # At most ``budget`` claimants can receive one of the remaining units.
     waiting = levelled.where(F.col("_need") > F.col("_level")).orderBy(order).limit(budget)
     extra = (waiting.select(claimant, F.row_number().over(W.orderBy(order)).alias("_rank"))
-             .join(F.broadcast(spent)).where(F.col("_rank") <= F.col("_left")).select(claimant))
+             .where(F.col("_rank") <= left).select(claimant))
     return (levelled.join(extra.withColumn("_extra", F.lit(1)), claimant, "left")
             .withColumn("granted", (given + F.coalesce(F.col("_extra"), F.lit(0))).cast("bigint"))
             .drop("_need", "_level", "_extra"))
