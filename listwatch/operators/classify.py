@@ -85,10 +85,12 @@ def contains_join(items: DataFrame, dim: DataFrame, key: str, text: str) -> Data
     if len(lengths) > MAX_LENGTHS:
         raise ValueError("rule keys have too many different lengths")
     t = F.lower(F.col(text))
-    pieces = [F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i, n=n: F.substr(t, i, F.lit(n)))
-              for n in lengths if n > 0]
-    pieces = [F.when(F.length(t) >= n, p).otherwise(F.array().cast("array<string>"))
-              for n, p in zip([n for n in lengths if n > 0], pieces)]
+
+    def substrings(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))
+        return F.when(F.length(t) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    pieces = [substrings(n) for n in lengths if n > 0]
     probes = items.select(key, F.explode(F.array_distinct(F.concat(*pieces))).alias("rule"))
     return probes.join(rules, "rule").select(key, "rule")
 

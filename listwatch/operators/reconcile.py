@@ -65,7 +65,7 @@ def reconcile(old: DataFrame, new: DataFrame, paths: DataFrame, listing_urls: Da
         old_wins = fragile & ~(o.isNull() if f == last_day else missing(o)) & (
             F.lit(f == note) | F.coalesce(F.array_contains("from_detail", f), F.lit(False)))
         inherit = blank & fragile if f == last_day else blank
-        merged[f] = F.when(F.coalesce(old_wins, F.lit(False)), o).when(F.coalesce(inherit, F.lit(False)), o).otherwise(n)
+        merged[f] = F.when(F.coalesce(old_wins, F.lit(False)), o).when(F.coalesce(inherit, F.lit(False)), F.coalesce(o, n)).otherwise(n)
     updated = joined.withColumns(merged).select(*old.columns)
     stay = (old.join(state, "organiser", "left")
             .where((F.col("day") <= today) | F.coalesce(F.col("suspicious"), F.lit(False)))

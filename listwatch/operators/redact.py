@@ -32,14 +32,15 @@ def redact(rows: DataFrame, key: str, persons: DataFrame, companies: DataFrame,
     by_row = judged.groupBy(key).agg(
         F.bool_or("_unknown").alias("_unknown"), F.bool_or(F.col("_shown") != F.col("name")).alias("_touched"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "_shown"))), lambda s: s["_shown"]).alias("_shown"))
-    joined = rows.join(by_row, key, "left")
+    # The label reads the original parties, so it is computed before that name is reused.
+    joined = rows.join(by_row, key, "left").withColumn("_label", party_label(F.col("parties"), F.col("_shown")))
     hide = F.col(is_new) & F.coalesce("_unknown", F.lit(False))
     touched = F.coalesce("_touched", F.lit(False))
     nobody = F.array().cast("array<string>")
     return joined.select(
         *[c for c in rows.columns if c not in ("parties", "title")],
         F.when(hide, nobody).when(touched, F.col("_shown")).otherwise(F.col("parties")).alias("parties"),
-        F.when(hide, "").when(touched, party_label(F.col("parties"), F.col("_shown"))).otherwise(F.col("title")).alias("title"),
+        F.when(hide, "").when(touched, F.col("_label")).otherwise(F.col("title")).alias("title"),
         hide.alias("suppressed"))
 
 
