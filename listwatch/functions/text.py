@@ -38,6 +38,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; lambdas would otherwise compute it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     """NULL and the empty string are the same kind of missing."""
     return F.when(c != "", c)
@@ -77,7 +82,7 @@ def describe(title: Column, authors: Column, *lines: Column) -> Column:
 def distinct_ignoring_case(names: Column) -> Column:
     """First spelling of each name, in order."""
     lowered = F.transform(names, lambda n: F.lower(n))
-    return F.filter(names, lambda n, i: F.array_position(lowered, F.lower(n)) == i + 1)
+    return let(lowered, lambda low: F.filter(names, lambda n, i: F.array_position(low, F.lower(n)) == i + 1))
 
 
 def ordered_union(*arrays: Column, limit: int = 3) -> Column:
@@ -109,8 +114,8 @@ def unescape(c: Column) -> Column:
         return F.when(number.between(1, 0x10FFFF),
                       F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("�")
 
-    filled = F.array_join(F.transform(
-        pieces, lambda piece, i: F.concat(piece, F.coalesce(decode(F.get(codes, i)), F.lit("")))), "")
+    filled = let(codes, lambda found: F.array_join(F.transform(
+        pieces, lambda piece, i: F.concat(piece, F.coalesce(decode(F.get(found, i)), F.lit("")))), ""))
     c = F.when(F.size(codes) > 0, filled).otherwise(c)
     return F.replace(c, F.lit("&amp;"), F.lit("&"))
 

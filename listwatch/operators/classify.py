@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from listwatch.functions.text import fold, ordered_union, squeeze, strip_accents
+from listwatch.functions.text import fold, let, ordered_union, squeeze, strip_accents
 
 MAX_AREAS = 3
 MAX_RULES = 10_000
@@ -48,10 +48,10 @@ class Rules:
         """Areas of every key that occurs inside any text, in rule order."""
         if not self.rules:
             return self._empty
-        lowered = F.transform(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) != ""), lambda t: F.lower(t))
+        whole = F.lower(F.array_join(texts, "\u0000"))
         table = F.array(*[F.struct(F.lit(k.lower()).alias("key"), self._areas(a).alias("areas"))
                           for k, _, a in self.rules])
-        hits = F.filter(table, lambda r: F.exists(lowered, lambda t: t.contains(r["key"])))
+        hits = let(whole, lambda t: F.filter(table, lambda r: t.contains(r["key"])))
         return F.slice(F.array_distinct(F.flatten(F.transform(hits, lambda r: r["areas"]))), 1, MAX_AREAS)
 
     def statutes(self, texts: Column) -> Column:
@@ -87,8 +87,8 @@ def contains_join(items: DataFrame, dim: DataFrame, key: str, text: str) -> Data
     t = F.lower(F.col(text))
 
     def substrings(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))
-        return F.when(F.length(t) >= n, cut).otherwise(F.array().cast("array<string>"))
+        # A look-ahead matches at every position, so one pass yields all substrings of that length.
+        return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
     pieces = [substrings(n) for n in lengths if n > 0]
     probes = items.select(key, F.explode(F.array_distinct(F.concat(*pieces))).alias("rule"))
@@ -109,7 +109,7 @@ class Taxonomy:
         keys = F.array(*[area_token(F.lit(t)) for t, _ in self.pairs])
         ids = F.array(*[F.lit(i) for _, i in self.pairs])
         # A later name or alias overrides an earlier one, hence the last match.
-        hit = F.array_max(F.transform(keys, lambda k, i: F.when(k == area_token(token), i)))
+        hit = let(area_token(token), lambda wanted: F.array_max(F.transform(keys, lambda k, i: F.when(k == wanted, i))))
         return F.get(ids, hit)
 
     def normalise(self, tokens: Column) -> Column:

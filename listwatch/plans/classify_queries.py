@@ -50,15 +50,12 @@ def contained_rules(t):
 
 
 @query("j10_contains_join", "J10", sql="""
-WITH r AS (SELECT DISTINCT lower(p_name) AS rule FROM part)
-SELECT doc_id, rule FROM (SELECT doc_id, lower(source || ' ' || lang || ' red ring ' || CASE n_chars % 4 WHEN 0 THEN 'Hot Plate' WHEN 1 THEN 'old rods' ELSE text END) AS t FROM documents), r
-WHERE contains(t, rule)""")
+WITH r AS (SELECT lower(split_part(p_name, ' ', 1)) AS rule FROM part UNION SELECT lower(split_part(p_name, ' ', 2)) FROM part UNION SELECT lower(p_type) FROM part)
+SELECT p_partkey, rule FROM part, r WHERE contains(lower(p_type || ' ' || p_name), rule)""")
 def contains_join(t):
-    dim = t.part.select(F.col("p_name").alias("key")).distinct()
-    which = F.col("n_chars") % 4
-    text = F.concat_ws(" ", "source", "lang", F.lit("red ring"),
-                       F.when(which == 0, "Hot Plate").when(which == 1, "old rods").otherwise(F.col("text")))
-    return K.contains_join(t.documents.withColumn("t", text), dim, "doc_id", "t")
+    word = F.explode(F.array_append(F.split("p_name", " "), F.upper("p_type"))).alias("key")
+    return K.contains_join(t.part.withColumn("t", F.concat_ws(" ", "p_type", "p_name")),
+                           t.part.select(word).distinct(), "p_partkey", "t")
 
 
 @query("j11_cited_statutes", "J11", sql=f"""
