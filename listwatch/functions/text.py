@@ -48,6 +48,11 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def strip_space(c: Column) -> Column:
+    """Drop white space of any kind at both ends."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\A\s+|\s+\z", "")
+
+
 def missing(c: Column) -> Column:
     return c.isNull() | (c == "")
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listwatch.functions.legal import clean_heading, fix_ki_ending, generic_heading, trim_marks, without_legal_forms
 from listwatch.functions.loose import as_text, embedded_array, embedded_object, yes_no
-from listwatch.functions.text import empty_array, first_text, missing, mixed_script, squeeze
+from listwatch.functions.text import empty_array, first_text, missing, mixed_script, squeeze, strip_space
 
 MIN_SUMMARY = 40
 # Names of courts, labels of the request header, default areas.
@@ -41,7 +41,7 @@ def request_header(court: Column, kind: Column, mark: Column, name: Column, day:
 
 
 def request(header: Column, text: Column) -> Column:
-    return F.when(~missing(F.trim(text)), F.concat(header, F.lit("\n\n--- TEXT ---\n"), F.trim(text)))
+    return F.when(strip_space(text) != "", F.concat(header, F.lit("\n\n--- TEXT ---\n"), strip_space(text)))
 
 
 _TAGS = r"HESLO|SHRNUT[IÍ]|OBLASTI|PROCESN[IÍ]"

@@ -4,7 +4,8 @@ from importlib import import_module
 
 from listwatch.plans.registry import REGISTRY, Query
 
-MODULES = ("state_queries", "merge_queries", "diff_queries", "classify_queries", "report_queries")
+MODULES = ("state_queries", "merge_queries", "diff_queries", "classify_queries", "report_queries",
+           "source_queries")
 
 
 def all_queries() -> dict[str, Query]:

@@ -6,7 +6,8 @@ from listwatch.functions import names as N, text as T
 from listwatch.operators import classify as K, publish as P, quality as QA, redact as RD, subscribe as SB
 from listwatch.plans.registry import Tables, query
 
-NOBODY = F.array().cast("array<string>")
+def nobody():
+    return F.array().cast("array<string>")
 
 
 def rules(t: Tables, entries) -> K.Rules:
@@ -105,7 +106,7 @@ def composed_areas(t):
     mark = F.when(F.col("o_orderpriority") == "1-URGENT", "Pl. ÚS 1/26").otherwise("I. ÚS 1/26")
     statutes = F.array(F.lit("1/1993 Sb."), F.concat(F.col("o_custkey") % 30, F.lit("/"), F.year("o_orderdate"), F.lit(" Sb.")))
     terms = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("nad Eau"))).when(
-        F.col("o_orderstatus") == "P", F.array(F.lit("traitement"))).otherwise(NOBODY)
+        F.col("o_orderstatus") == "P", F.array(F.lit("traitement"))).otherwise(nobody())
     areas = K.constitutional_areas(mark, statutes, terms, rules(t, STATUTES), rules(t, WORD_RULES))
     return t.orders.select("o_orderkey", F.array_join(areas, ",").alias("areas"))
 
@@ -155,7 +156,7 @@ SELECT source, count(*) FILTER (WHERE wanted OR (bare AND lang <> 'en' AND lang
 def obvious_party(t):
     from listwatch.operators.digest import pick_decisions
     d = t.documents.join(t.labels, "doc_id", "left").select(
-        "source", F.when(F.col("quality") == 1, F.array(F.lit("ip"))).when(F.col("quality") == 0, F.array(F.lit("x"))).otherwise(NOBODY).alias("areas"),
+        "source", F.when(F.col("quality") == 1, F.array(F.lit("ip"))).when(F.col("quality") == 0, F.array(F.lit("x"))).otherwise(nobody()).alias("areas"),
         F.when(F.col("lang") != "en", "pripravuje").otherwise("nepodarilo").alias("status"),
         F.when(F.col("lang") == "de", F.concat(F.lit("Alfa v EUIPO "), "doc_id")).otherwise("NEUIPO").alias("name"),
         F.lit("2024-01-10").cast("timestamp").alias("first_seen"))
@@ -328,7 +329,7 @@ def slim_rows(t):
     d = t.documents.join(t.labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.concat(F.lit("Spor Alfa"), "doc_id", F.lit(" s.r.o.")).alias("h"),
         F.when(F.col("quality") == 1, "Alfa, a.s., vyhrála.").otherwise("").alias("s"),
-        F.when(F.col("quality") == 1, F.array(F.lit("ai"))).otherwise(NOBODY).alias("a"), F.array("source").alias("m"),
+        F.when(F.col("quality") == 1, F.array(F.lit("ai"))).otherwise(nobody()).alias("a"), F.array("source").alias("m"),
         (F.col("toxic") == 1).alias("p"), (F.col("lang") == "de").alias("mp"))
     return d.select("id", *P.slim(F.col("h"), F.col("s"), F.col("a"), F.col("m"), F.col("p"), F.col("mp"))).withColumn(
         "areas", F.array_join("areas", ","))

@@ -7,7 +7,10 @@ from listwatch.operators import report as R, state as S
 from listwatch.plans.registry import Tables, query
 
 TS = "yyyy-MM-dd HH:mm:ss"
-NOW = F.lit("2024-02-05 10:00:00").cast("timestamp")
+
+
+def run_time():
+    return F.lit("2024-02-05 10:00:00").cast("timestamp")
 
 
 def event_items(t: Tables):
@@ -29,9 +32,9 @@ FROM items JOIN seen USING (guid) WHERE fs >= TIMESTAMP '2024-02-05 10:00:00' -
 def first_seen(t):
     items = event_items(t)
     state = items.where(F.col("ts") < "2024-01-16").groupBy("guid").agg(F.min("ts").alias("first_seen"))
-    assigned = S.assigned_first_seen(F.col("ts").cast("date"), NOW)
+    assigned = S.assigned_first_seen(F.col("ts").cast("date"), run_time())
     seen = S.with_first_seen(items, state, "guid", assigned)
-    return S.in_window(seen, NOW, 25).select(
+    return S.in_window(seen, run_time(), 25).select(
         "event_id", "guid", F.date_format("first_seen", TS).alias("first_seen"), "known", "is_new")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from listwatch.functions.dates import CZECH_DATE, czech_date
 from listwatch.functions.marks import ROSTER_MARK, roster_mark
 from listwatch.functions.names import merge_continuations, party_label
-from listwatch.functions.text import squeeze
+from listwatch.functions.text import squeeze, strip_space
 from listwatch.operators.islands import join_lines, number_records
 from listwatch.operators.scan import HOT_ROWS
 
@@ -36,7 +36,7 @@ def hearing(day: Column, room: Column, chair: Column, mark: Column, clock: Colum
 
 def roster_hearings(lines: DataFrame, document: str, position: str, text: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Hearings of line-based rosters: a record starts at a date line and takes the lines after it."""
-    kept = lines.select(document, position, F.trim(F.col(text)).alias("line"))
+    kept = lines.select(document, position, strip_space(F.col(text)).alias("line"))
     kept = kept.where((F.col("line") != "") & ~F.col("line").rlike(SKIP_LINE))
     numbered = number_records(kept, [document], [F.col(position)], F.col("line").rlike("^" + CZECH_DATE), "record", hot_rows)
     records = join_lines(numbered.where(F.col("record") > 0), [document, "record"], position, "line")
