@@ -110,19 +110,20 @@ def unescape(c: Column) -> Column:
     """Decode named and numeric character references; ``&amp;`` last, once."""
     for name, char in ENTITIES.items():
         c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    # Numeric references: text is cut at each reference, the code points decoded and put back.
+    return let(c, lambda t: F.replace(F.when(t.contains("&#"), _numeric(t)).otherwise(t), F.lit("&amp;"), F.lit("&")))
+
+
+def _numeric(c: Column) -> Column:
+    """Numeric references decoded: the text is cut at each one and put together again."""
     codes = F.regexp_extract_all(c, F.lit(_NUMERIC), F.lit(1))
-    pieces = F.split(c, _NUMERIC)
 
     def decode(code):
-        number = F.when(code.startswith("x"), F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).cast("int")
+        number = F.when(code.startswith("x"), F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).try_cast("int")
         return F.when(number.between(1, 0x10FFFF),
                       F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("�")
 
-    filled = let(codes, lambda found: F.array_join(F.transform(
-        pieces, lambda piece, i: F.concat(piece, F.coalesce(decode(F.get(found, i)), F.lit("")))), ""))
-    c = F.when(F.size(codes) > 0, filled).otherwise(c)
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    return let(codes, lambda found: F.array_join(F.transform(
+        F.split(c, _NUMERIC), lambda piece, i: F.concat(piece, F.coalesce(decode(F.get(found, i)), F.lit("")))), ""))
 
 
 def foreign_letters(c: Column) -> Column:

@@ -21,7 +21,7 @@ def _property(block: Column, name: str) -> tuple[Column, Column]:
 
 
 def plain_text(c: Column) -> Column:
-    for escaped, char in (("\\n", "\n"), ("\\N", "\n"), ("\\,", ","), ("\;", ";"), ("\\\\", "\\")):
+    for escaped, char in (("\\n", "\n"), ("\\N", "\n"), ("\\,", ","), ("\\;", ";"), ("\\\\", "\\")):
         c = F.replace(c, F.lit(escaped), F.lit(char))
     return c
 
@@ -60,7 +60,7 @@ def calendar_events(files: DataFrame, key: list[str], text: str) -> DataFrame:
 
 def escape(c: Column) -> Column:
     c = F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\"))
-    for char, escaped in ((";", "\;"), (",", "\\,"), ("\n", "\\n")):
+    for char, escaped in ((";", "\\;"), (",", "\\,"), ("\n", "\\n")):
         c = F.replace(c, F.lit(char), F.lit(escaped))
     return c
 

@@ -53,6 +53,7 @@ def expected_rows(lines: DataFrame, document: str, text: str, period: Column) ->
     return lines.groupBy(document).agg(F.greatest(dates - stated, F.lit(0)).alias("expected"))
 
 
+FILES_AT_ONCE = 256
 CELLS = "document string, table_no int, row_no int, cell_no int, paragraphs array<string>"
 
 
@@ -71,8 +72,10 @@ def document_cells(files: DataFrame, document: str = "path", content: str = "con
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["document", "table_no", "row_no", "cell_no", "paragraphs"]
         for batch in batches:
-            for name, data in zip(batch["document"], batch["content"]):
-                yield pd.DataFrame([(name, *cell) for cell in _cells_of(data)], columns=names)
+            for start in range(0, len(batch), FILES_AT_ONCE):
+                part = batch.iloc[start:start + FILES_AT_ONCE]
+                yield pd.DataFrame([(name, *cell) for name, data in zip(part["document"], part["content"])
+                                    for cell in _cells_of(data)], columns=names)
 
     return files.select(F.col(document).alias("document"), F.col(content).alias("content")).mapInPandas(unpack, CELLS)
 
