@@ -119,7 +119,7 @@ def _numeric(c: Column) -> Column:
 
     def decode(code):
         number = F.when(code.startswith("x"), F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).try_cast("int")
-        return F.when(number.between(1, 0x10FFFF),
+        return F.when(code.isNull(), "").when(number.between(1, 0x10FFFF),
                       F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("�")
 
     return let(codes, lambda found: F.array_join(F.transform(
