@@ -2,9 +2,10 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from listwatch.functions.legal import clean_heading, fix_ki_ending, generic_heading, trim_marks, without_legal_forms
+from listwatch.functions.legal import clean_heading, fix_ki_ending, generic_heading, strip_outcome, trim_marks, without_legal_forms
 from listwatch.functions.loose import as_text, embedded_array, embedded_object, yes_no
 from listwatch.functions.text import empty_array, first_text, missing, mixed_script, squeeze, strip_space
+from listwatch.operators.staging import where_computed
 
 MIN_SUMMARY = 40
 # Names of courts, labels of the request header, default areas.
@@ -51,30 +52,34 @@ def _tagged(raw: Column, tag: str) -> Column:
     return F.regexp_extract(raw, rf"(?iusU){tag}\s*:\s*(.*?)\s*(?=(?:{_TAGS})\s*:|$)", 1)
 
 
-def parse_answer(raw: Column) -> Column:
-    """struct(heading, summary, area_tokens, procedural) from a JSON or tagged answer; NULL when unusable."""
-    text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"\*\*|__", "")
-    data = embedded_object(text)
-    is_json = data.isNotNull()
-
-    def field(*names):
-        return first_text(*[as_text(F.try_variant_get(data, f"$.{n}", "variant")) for n in names])
-
-    listed = F.try_variant_get(data, "$.oblasti", "array<string>")
-    as_list = F.when(F.schema_of_variant(F.try_variant_get(data, "$.oblasti", "variant")).startswith("ARRAY"), listed)
-    tokens = F.when(is_json, F.coalesce(as_list, F.split(field("oblasti"), r"[,;\n]+"))).otherwise(
-        F.split(_tagged(text, "OBLASTI"), r"[,;\n]+"))
-    heading = F.when(is_json, field("heslo")).otherwise(_tagged(text, "HESLO"))
-    summary = F.when(is_json, field("shrnuti", "shrnutí")).otherwise(_tagged(text, "SHRNUT[IÍ]"))
-    flag = F.when(is_json, F.coalesce(
-        F.try_variant_get(data, "$.procesni", "boolean").cast("string"), field("procesni", "procesní"))).otherwise(
-        _tagged(text, "PROCESN[IÍ]"))
-    summary = fix_ki_ending(without_legal_forms(trim_marks(summary)))
-    usable = (F.length(summary) >= MIN_SUMMARY) & ~mixed_script(summary)
-    return F.when(usable, F.struct(
-        clean_heading(heading).alias("heading"), summary.alias("summary"),
-        F.filter(F.transform(tokens, trim_marks), lambda t: t != "").alias("area_tokens"),
-        yes_no(flag).alias("procedural")))
+def parse_answers(answers: DataFrame, raw: str) -> DataFrame:
+    """Answers with heading, summary, area_tokens and procedural; unusable ones are dropped.
+
+    An answer is JSON or tagged text.  It is unusable without a summary of 40 characters or with
+    words of mixed script.  Every step is a column of its own, so no text is parsed twice.
+    """
+    kept = [F.col(c) for c in answers.columns]
+    text = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"\*\*|__", "")
+    d = answers.withColumn("_text", text).withColumn("_data", embedded_object(F.col("_text")))
+    names = {"_h": "heslo", "_s": "shrnuti", "_s2": "shrnutí", "_o": "oblasti", "_p": "procesni", "_p2": "procesní"}
+    d = d.withColumns({k: F.try_variant_get("_data", f"$.{n}", "variant") for k, n in names.items()})
+    t, is_json = F.col("_text"), F.col("_data").isNotNull()
+    listed = F.schema_of_variant("_o").startswith("ARRAY")
+    d = d.select(
+        *kept,
+        F.when(is_json, as_text(F.col("_h"))).otherwise(_tagged(t, "HESLO")).alias("_heading"),
+        F.when(~is_json, _tagged(t, "SHRNUT[IÍ]")).otherwise(first_text(as_text(F.col("_s")), as_text(F.col("_s2")))).alias("_summary"),
+        F.when(~is_json, F.split(_tagged(t, "OBLASTI"), r"[,;\n]+")).when(listed, F.try_variant_get("_o", "$", "array<string>"))
+        .otherwise(F.split(as_text(F.col("_o")), r"[,;\n]+")).alias("_tokens"),
+        F.when(~is_json, _tagged(t, "PROCESN[IÍ]")).otherwise(F.coalesce(
+            F.try_variant_get("_p", "$", "boolean").cast("string"), first_text(as_text(F.col("_p")), as_text(F.col("_p2"))))).alias("_flag"))
+    d = d.select(
+        *kept, fix_ki_ending(without_legal_forms(trim_marks(F.col("_heading")))).alias("_heading"),
+        fix_ki_ending(without_legal_forms(trim_marks(F.col("_summary")))).alias("summary"), "_tokens", "_flag")
+    d = where_computed(d, (F.length("summary") >= MIN_SUMMARY) & ~mixed_script(F.col("summary")))
+    return d.select(
+        *kept, strip_outcome(F.col("_heading")).alias("heading"), "summary",
+        F.filter(F.transform("_tokens", trim_marks), lambda x: x != "").alias("area_tokens"), yes_no(F.col("_flag")).alias("procedural"))
 
 
 def parse_tagged_summary(raw: Column) -> Column:

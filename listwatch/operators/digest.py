@@ -7,6 +7,7 @@ from listwatch.functions.legal import without_legal_forms
 from listwatch.functions.text import missing, squeeze
 from listwatch.operators.classify import OBVIOUS_PARTY
 from listwatch.operators.scan import HOT_ROWS, row_number_within
+from listwatch.operators.staging import where_computed
 
 MAX_ITEMS, MAX_SOURCES = 300, 6
 FORMAT_VERSION = "5"
@@ -85,7 +86,7 @@ def parse_answers(answers: DataFrame, key: str, raw: str) -> DataFrame:
         key, "block", F.when(first, "").otherwise(_clean(F.substring_index(chunk, "\n", 1))).alias("title"),
         F.when(first, _clean(intro)).otherwise(_clean(body)).alias("text"),
         F.when(~first, F.array_distinct(F.array_compact(numbers))).alias("numbers"))
-    return parsed.where((F.col("block") == 0) | ((F.col("title") != "") & (F.col("text") != "")))
+    return where_computed(parsed, (F.col("block") == 0) | ((F.col("title") != "") & (F.col("text") != "")))
 
 
 def resolve_citations(blocks: DataFrame, items: DataFrame, key: list[str], total: Column, carried: list[str],

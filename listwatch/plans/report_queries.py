@@ -299,9 +299,9 @@ def parsed_answers(t):
         head.alias("heslo"), text.alias("shrnuti"), F.filter(F.split(areas, "; "), lambda a: a != "").alias("oblasti"),
         (F.col("o_orderpriority") == "5-LOW").alias("procesni"))), F.lit(" ```"))
     raw = F.when(F.col("o_orderkey") % 2 == 0, as_json).otherwise(tagged)
-    p = t.orders.select("o_orderkey", AN.parse_answer(raw).alias("a")).where(F.col("a").isNotNull())
-    found = AN.fallback_areas(F.col("a.area_tokens"), F.array().cast("array<string>"), F.lit("ns"), F.lit("Tdo"))
-    return p.select("o_orderkey", "a.heading", "a.summary", F.array_join(found, ",").alias("areas"), "a.procedural")
+    p = AN.parse_answers(t.orders.select("o_orderkey", raw.alias("raw")), "raw")
+    found = AN.fallback_areas(F.col("area_tokens"), F.array().cast("array<string>"), F.lit("ns"), F.lit("Tdo"))
+    return p.select("o_orderkey", "heading", "summary", F.array_join(found, ",").alias("areas"), "procedural")
 
 
 @query("e2_tagged_summaries", "E2", sql="""
@@ -339,7 +339,7 @@ def applied_answers(t):
 SELECT o_orderkey, CAST(o_custkey % 90 + 1 AS VARCHAR) || ' Cm ' || o_custkey || '/' || year(o_orderdate) AS mark, strftime(o_orderdate, '%Y-%m-%d') AS day,
   'Firma' || o_custkey || ' v. Beta' AS label FROM orders WHERE o_orderstatus <> 'P'""")
 def extracted_rows(t):
-    from listwatch.sources.rosters import hearing
+    from listwatch.sources.rosters import hearings
     good = F.to_json(F.array(F.struct(
         F.date_format("o_orderdate", "d. M. yyyy").alias("datum"), F.lit("5").alias("sin"), F.lit("Jan Soudce").alias("predseda"),
         F.concat(F.col("o_custkey") % 90 + 1, F.lit("cm "), "o_custkey", F.lit(" / "), F.year("o_orderdate")).alias("spisova_znacka"),
@@ -347,9 +347,8 @@ def extracted_rows(t):
     raw = F.when(F.col("o_orderstatus") == "P", '[{"datum":"32. 1. 2024","spisova_znacka":"x"},{"bad":1}]').otherwise(F.concat(F.lit("```"), good, F.lit("```")))
     rows = AN.extracted_rows(t.orders.select("o_orderkey", raw.alias("raw")), "o_orderkey", "raw",
                              "datum string, sin string, predseda string, spisova_znacka string, hodina string, ucastnici array<string>")
-    h = hearing(F.col("datum"), F.col("sin"), F.col("predseda"), F.col("spisova_znacka"), F.col("hodina"), F.col("ucastnici"))
-    return rows.select("o_orderkey", h.alias("h")).where(F.col("h").isNotNull()).select(
-        "o_orderkey", "h.mark", F.date_format("h.day", "yyyy-MM-dd").alias("day"), F.col("h.title").alias("label"))
+    h = hearings(rows, ["o_orderkey"], F.col("datum"), F.col("sin"), F.col("predseda"), F.col("spisova_znacka"), F.col("hodina"), F.col("ucastnici"))
+    return h.select("o_orderkey", "mark", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("title").alias("label"))
 
 
 @query("u5_distinct_by_id", "U5", sql="""

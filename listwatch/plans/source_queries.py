@@ -256,9 +256,11 @@ def calendar_blocks(t: Tables):
     note = F.concat(F.lit("Řádek; první, č. "), "o_orderkey", F.lit("\nPoznámka "), F.repeat(F.lit("příliš žluťoučký kůň "), (F.col("o_custkey") % 4).cast("int")))
     starts = F.when(F.col("o_orderstatus") == "F", "").otherwise("9:30")
     last = F.when(F.col("o_custkey") % 3 == 0, F.date_add(day, (F.col("o_custkey") % 12).cast("int")))
-    block = IC.event_block(F.concat(F.lit("e"), "o_orderkey"), "20240101T000000Z", day, last, starts, F.when(F.col("o_orderstatus") == "P", "11:00").otherwise(""),
-                           F.concat(F.lit("Akce, "), "o_custkey"), F.when(F.col("o_orderstatus") == "O", "online").otherwise("Praha"), note, F.lit("https://x.example/1"))
-    return t.orders.select("o_orderkey", block.alias("block"))
+    events = t.orders.select(
+        "o_orderkey", day.alias("day"), last.alias("last_day"), starts.alias("starts"), F.when(F.col("o_orderstatus") == "P", "11:00").otherwise("").alias("ends"),
+        F.concat(F.lit("Akce, "), "o_custkey").alias("title"), F.when(F.col("o_orderstatus") == "O", "online").otherwise("Praha").alias("place"), note.alias("note"))
+    return IC.with_event_block(events, "block", F.concat(F.lit("e"), "o_orderkey"), "20240101T000000Z", *[F.col(c) for c in (
+        "day", "last_day", "starts", "ends", "title", "place", "note")], F.lit("https://x.example/1")).select("o_orderkey", "block")
 
 
 @query("s14_calendar_blocks", "S14", sql="""

@@ -10,6 +10,7 @@ from listwatch.functions.titles import clean_title
 from listwatch.operators.classify import QUESTION_TITLE, work_kind
 from listwatch.functions.marks import eu_case
 from listwatch.operators.scan import first_per_key
+from listwatch.operators.staging import where_computed
 
 MAX_AGE_DAYS = 365
 # Note in front of titles published early, ISSN footer of abstracts.
@@ -27,10 +28,6 @@ def _text(content: Column) -> Column:
     return strip_space(F.when(content.contains("<![CDATA["), literal).otherwise(unescape(content)))
 
 
-def field(xml: Column, name: str) -> Column:
-    return _text(F.coalesce(F.get(_elements(xml, name), F.lit(0)), F.lit("")))
-
-
 def plain_abstract(html: Column) -> Column:
     s = squeeze(unescape(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]+>", " ")))
     return F.regexp_replace(s, r"(?i)^\s*Abstract\s*", "")
@@ -43,27 +40,44 @@ def feed_items(feeds: DataFrame, key: list[str], xml: str, now: Column) -> DataF
     ``estimated``), dated ones older than a year are dropped.
     """
     x = F.col(xml)
-    built = feed_time(F.regexp_extract(x, r"(?s)<lastBuildDate>(.*?)</lastBuildDate>", 1))
     head = F.regexp_extract(x, r"(?s)<channel\b[^>]*>(.*?)<(?:[\w.-]+:)?(?:item|entry)\b", 1)
-    items = F.concat(_with_tag(x, "item"), _with_tag(x, "entry"))
-    rows = feeds.select(*key, built.alias("_built"), feed_time(field(head, "pubDate")).alias("_channel"),
-                        F.posexplode(items).alias("pos", "item"))
-    item = F.col("item")
-    title = clean_title(F.regexp_replace(field(item, "title"), EARLY, ""))
-    link = first_text(field(item, "link"), F.regexp_extract(item, r"(?s)<(?:[\w.-]+:)?link\b[^>]*href=[\"']([^\"']*)[\"']", 1))
-    doi = doi_of(field(item, "doi"), field(item, "identifier"), field(item, "guid"), link)
-    url = F.when(doi != "", F.concat(F.lit("https://doi.org/"), doi)).otherwise(F.replace(without_query(link), F.lit(" "), F.lit("%20")))
-    dated = feed_time(field(item, "pubDate"), field(item, "date"), field(item, "published"), field(item, "updated"))
-    same = dated.eqNullSafe(F.col("_built")) | dated.eqNullSafe(F.col("_channel"))
-    people = F.array_join(F.transform(F.concat(_elements(item, "creator"), F.when(F.size(_elements(item, "creator")) == 0, _elements(item, "name"))
-                                               .otherwise(F.array().cast("array<string>"))), _text), ", ")
-    rows = rows.select(
-        *key, "pos", title.alias("title"), doi.alias("doi"), url.alias("link"), clean_authors(people).alias("authors"),
-        plain_abstract(first_text(field(item, "description"), field(item, "summary"), field(item, "content"))).alias("abstract"),
-        article_key(doi, url).alias("article"), F.when(~same, dated).alias("published"))
+    rows = feeds.select(*key, F.regexp_extract(x, r"(?s)<lastBuildDate>(.*?)</lastBuildDate>", 1).alias("_b"), head.alias("_head"),
+                        F.concat(_with_tag(x, "item"), _with_tag(x, "entry")).alias("_items"))
+    rows = rows.select(*key, feed_time(F.col("_b")).alias("_built"), _first(F.col("_head"), "pubDate").alias("_c"),
+                       F.posexplode("_items").alias("pos", "_item"))
+    item = F.col("_item")
+    names = ("title", "link", "doi", "identifier", "guid", "pubDate", "date", "published", "updated", "description", "summary", "content")
+    raw = rows.select(
+        *key, "pos", "_built", "_c", *[_first(item, n).alias(f"_{n}") for n in names],
+        F.regexp_extract(item, r"(?s)<(?:[\w.-]+:)?link\b[^>]*href=[\"']([^\"']*)[\"']", 1).alias("_href"),
+        _elements(item, "creator").alias("_creators"), _elements(item, "name").alias("_names"))
+    # One column per step: each field is cut out, decoded and read once.
+    plain = raw.select(*key, "pos", "_built", "_href", feed_time(F.col("_c")).alias("_channel"), *[_text(F.col(f"_{n}")).alias(f"_{n}") for n in names],
+                       F.array_join(F.transform(F.when(F.size("_creators") > 0, F.col("_creators")).otherwise(F.col("_names")), _text), ", ").alias("_people"))
+    read = plain.select(
+        *key, "pos", "_built", "_channel", F.regexp_replace("_title", EARLY, "").alias("_title"), first_text(F.col("_link"), F.col("_href")).alias("_link"),
+        "_doi", "_identifier", "_guid", clean_authors(F.col("_people")).alias("authors"),
+        *[feed_time(F.col(f"_{n}")).alias(f"_{n}") for n in ("pubDate", "date", "published", "updated")],
+        first_text(F.col("_description"), F.col("_summary"), F.col("_content")).alias("_abstract"))
+    named = read.select(
+        *key, "pos", "_built", "_channel", "_link", "authors", clean_title(F.col("_title")).alias("title"),
+        doi_of(F.col("_doi"), F.col("_identifier"), F.col("_guid"), F.col("_link")).alias("doi"),
+        plain_abstract(F.col("_abstract")).alias("abstract"),
+        F.coalesce("_pubDate", "_date", "_published", "_updated").alias("_dated"))
+    address = F.when(F.col("doi") != "", F.concat(F.lit("https://doi.org/"), "doi")).otherwise(
+        F.replace(without_query(F.col("_link")), F.lit(" "), F.lit("%20")))
+    same = F.col("_dated").eqNullSafe(F.col("_built")) | F.col("_dated").eqNullSafe(F.col("_channel"))
+    out = named.withColumn("link", address).select(
+        *key, "pos", "title", "doi", "link", "authors", "abstract", article_key(F.col("doi"), F.col("link")).alias("article"),
+        F.when(~same, F.col("_dated")).alias("published"))
     old = F.col("published") < now - F.expr(f"INTERVAL {MAX_AGE_DAYS} DAYS")
-    return rows.where((F.col("title") != "") & (F.col("link") != "") & ~F.coalesce(old, F.lit(False))).withColumn(
-        "estimated", F.col("published").isNull())
+    fresh = where_computed(out, (F.col("title") != "") & (F.col("link") != "") & ~F.coalesce(old, F.lit(False)))
+    return fresh.withColumn("estimated", F.col("published").isNull())
+
+
+def _first(xml: Column, name: str) -> Column:
+    """Content of the first element with the local name; blank when there is none."""
+    return F.regexp_extract(xml, rf"(?s)<(?:[\w.-]+:)?{name}\b[^>]*(?<!/)>(.*?)</(?:[\w.-]+:)?{name}\s*>", 1)
 
 
 def _with_tag(xml: Column, name: str) -> Column:
@@ -95,8 +109,9 @@ def works(payloads: DataFrame, raw: str, order: str) -> DataFrame:
     w = w.select(order, "pos", doi.alias("doi"), "w").where(F.col("doi") != "")
     title, sub = (clean_title(F.get(F.col(f"w.{n}"), F.lit(0))) for n in ("title", "subtitle"))
     people = F.array_join(F.transform("w.author", lambda a: F.concat_ws(" ", a["given"], a["family"])), "; ")
-    rows = first_per_key(w, ["doi"], [F.col(order), F.col("pos")])
-    return rows.where(title != "").select(
+    rows = first_per_key(w, ["doi"], [F.col(order), F.col("pos")]).withColumn("_title", title).withColumn("_sub", sub)
+    title, sub = F.col("_title"), F.col("_sub")
+    return where_computed(rows, F.coalesce(title, F.lit("")) != "").select(
         "doi", F.when(sub != "", F.concat(title, F.lit(" – "), F.trim(F.substring_index(sub, ";", 1)))).otherwise(title).alias("title"),
         clean_authors(people).alias("authors"), plain_abstract(F.col("w.abstract")).alias("abstract"),
         (F.coalesce(sub, F.lit("")).rlike(DECISION_SUBTITLE)).alias("is_decision"),

@@ -26,36 +26,48 @@ def plain_text(c: Column) -> Column:
     return c
 
 
-def _moment(params: Column, value: Column) -> tuple[Column, Column, Column]:
-    """(day, clock, is_date) in the business zone."""
+def _moment(name: str, params: Column, value: Column) -> list[Column]:
+    """Raw pieces of a date property: is_date, wall-clock time, UTC mark, zone, date text."""
     v = F.trim(value)
-    is_date = params.contains("VALUE=DATE") & ~params.contains("VALUE=DATE-TIME") | v.rlike(r"^\d{8}$")
-    wall = F.try_to_timestamp(F.regexp_extract(v, r"^(\d{8}T\d{4})\d{0,2}Z?$", 1), F.lit("yyyyMMdd'T'HHmm"))
+    is_date = (params.contains("VALUE=DATE") & ~params.contains("VALUE=DATE-TIME")) | v.rlike(r"^\d{8}$")
     # Zone names are case-sensitive; parameters are read in capitals.
     named = F.initcap(F.translate(F.regexp_extract(params, r"TZID=([^;:]+)", 1), "/_", "  "))
     area, city = F.substring_index(named, " ", 1), F.regexp_replace(named, r"^\S+\s", "")
     zone = F.when(named.contains(" "), F.concat(area, F.lit("/"), F.translate(city, " ", "_")))
-    local = (F.when(v.endswith("Z"), F.from_utc_timestamp(wall, BUSINESS_ZONE))
+    wall = F.try_to_timestamp(F.regexp_extract(v, r"^(\d{8}T\d{4})\d{0,2}Z?$", 1), F.lit("yyyyMMdd'T'HHmm"))
+    return [is_date.alias(f"{name}_is_date"), wall.alias(f"{name}_wall"), v.endswith("Z").alias(f"{name}_utc"),
+            zone.alias(f"{name}_zone"), F.substring(v, 1, 8).alias(f"{name}_text")]
+
+
+def _local(name: str) -> list[Column]:
+    """Day and clock in the business zone."""
+    is_date, wall, utc, zone, text = (F.col(f"{name}_{x}") for x in ("is_date", "wall", "utc", "zone", "text"))
+    local = (F.when(utc, F.from_utc_timestamp(wall, BUSINESS_ZONE))
              .when(zone.isNotNull(), F.from_utc_timestamp(F.to_utc_timestamp(wall, zone), BUSINESS_ZONE)).otherwise(wall))
-    day = F.when(is_date, F.try_to_date(F.substring(v, 1, 8), "yyyyMMdd")).otherwise(local.cast("date"))
-    return day, F.when(is_date | local.isNull(), "").otherwise(F.date_format(local, "HH:mm")), is_date
+    return [is_date, F.when(is_date, F.try_to_date(text, "yyyyMMdd")).otherwise(local.cast("date")).alias(f"{name}_day"),
+            F.when(is_date | wall.isNull(), "").otherwise(F.date_format(local, "HH:mm")).alias(f"{name}_clock")]
 
 
 def calendar_events(files: DataFrame, key: list[str], text: str) -> DataFrame:
     """Events of calendar files: folded lines joined, all-day ends moved back to the last day."""
     whole = F.regexp_replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), r"\n[ \t]", "")
     blocks = F.regexp_extract_all(whole, F.lit(r"(?is)BEGIN:VEVENT\n(.*?)END:VEVENT"), F.lit(1))
-    rows = files.select(*key, F.posexplode(blocks).alias("pos", "b"))
-    b = F.col("b")
-    day, starts, _ = _moment(*_property(b, "DTSTART"))
-    until, ends, whole_day = _moment(*_property(b, "DTEND"))
-    until = F.when(whole_day, F.date_sub(until, 1)).otherwise(until)
-    place = plain_text(_property(b, "LOCATION")[1])
+    rows = files.select(*key, F.posexplode(blocks).alias("pos", "_b"))
+    b = F.col("_b")
+    raw = {}
+    for name in ("DTSTART", "DTEND", "SUMMARY", "LOCATION", "URL", "DESCRIPTION"):
+        raw[f"_{name}_p"], raw[f"_{name}"] = _property(b, name)
+    rows = rows.select(*key, "pos", *[c.alias(n) for n, c in raw.items()])
+    rows = rows.select(
+        *key, "pos", *_moment("start", F.col("_DTSTART_p"), F.col("_DTSTART")), *_moment("end", F.col("_DTEND_p"), F.col("_DTEND")),
+        plain_text(F.col("_SUMMARY")).alias("title"), plain_text(F.col("_LOCATION")).alias("place"), F.trim("_URL").alias("url"),
+        plain_text(F.col("_DESCRIPTION")).alias("note"))
+    rows = rows.select(*key, "pos", "title", "place", "url", "note", *_local("start"), *_local("end"))
+    until = F.when(F.col("end_is_date"), F.date_sub("end_day", 1)).otherwise(F.col("end_day"))
     return rows.select(
-        *key, "pos", plain_text(_property(b, "SUMMARY")[1]).alias("title"), day.alias("day"), starts.alias("starts"),
-        F.when(until != day, until).alias("last_day"), ends.alias("ends"), place.alias("place"),
-        F.trim(_property(b, "URL")[1]).alias("url"), plain_text(_property(b, "DESCRIPTION")[1]).alias("note"),
-        attendance_form(F.lit(""), place).alias("form"))
+        *key, "pos", "title", F.col("start_day").alias("day"), F.col("start_clock").alias("starts"),
+        F.when(until != F.col("start_day"), until).alias("last_day"), F.col("end_clock").alias("ends"), "place", "url", "note",
+        attendance_form(F.lit(""), F.col("place")).alias("form"))
 
 
 def escape(c: Column) -> Column:
@@ -81,31 +93,35 @@ def fold_line(line: Column) -> Column:
     return F.when(F.octet_length(line) <= LINE_OCTETS, line).otherwise(folded)
 
 
-def event_block(uid: Column, stamp: str, day: Column, last_day: Column, starts: Column, ends: Column, title: Column,
-                place: Column, note: Column, url: Column, transparent: bool = True) -> Column:
-    """VEVENT of a timed or all-day event; a course longer than a week shows on its first day."""
-    ymd = F.date_format(day, "yyyyMMdd")
-    span = F.coalesce(F.datediff(last_day, day), F.lit(0))
-    timed = ~missing(starts) & (last_day.isNull() | (span > 7))
-    begin = minutes_of_day(starts)
-    finish = minutes_of_day(ends)
-    finish = F.when(~missing(ends) & (finish > begin), finish).otherwise(F.least(begin + 60, F.lit(23 * 60 + 59)))
-
-    def clock(m):
-        return F.concat(F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lpad((m % 60).cast("string"), 2, "0"), F.lit("00"))
-
-    stop = F.date_add(F.when(span > 7, day).otherwise(F.coalesce(last_day, day)), 1)
-    zone = f";TZID={BUSINESS_ZONE}:"
-    lines = [
-        F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), uid), F.lit(f"DTSTAMP:{stamp}"),
-        F.when(timed, F.concat(F.lit("DTSTART" + zone), ymd, F.lit("T"), clock(begin))).otherwise(
-            F.concat(F.lit("DTSTART;VALUE=DATE:"), ymd)),
-        F.when(timed, F.concat(F.lit("DTEND" + zone), ymd, F.lit("T"), clock(finish))).otherwise(
-            F.concat(F.lit("DTEND;VALUE=DATE:"), F.date_format(stop, "yyyyMMdd"))),
-        F.concat(F.lit("SUMMARY:"), escape(title)), F.when(~missing(place), F.concat(F.lit("LOCATION:"), escape(place))),
-        F.when(~missing(note), F.concat(F.lit("DESCRIPTION:"), escape(note))), F.when(~missing(url), F.concat(F.lit("URL:"), url)),
-        F.lit("STATUS:CONFIRMED"), F.lit("TRANSP:TRANSPARENT" if transparent else "TRANSP:OPAQUE"), F.lit("END:VEVENT")]
-    return F.concat_ws("\r\n", *[fold_line(line) for line in lines])
+def with_event_block(events: DataFrame, out: str, uid: Column, stamp: str, day: Column, last_day: Column, starts: Column,
+                     ends: Column, title: Column, place: Column, note: Column, url: Column, transparent: bool = True) -> DataFrame:
+    """Events with their VEVENT text in ``out``.
+
+    Timed or all-day; a course longer than a week shows on its first day.
+    """
+    given = events.withColumns({
+        "_ymd": F.date_format(day, "yyyyMMdd"), "_span": F.coalesce(F.datediff(last_day, day), F.lit(0)), "_begin": minutes_of_day(starts),
+        "_end": minutes_of_day(ends), "_has_start": ~missing(starts), "_has_end": ~missing(ends), "_single": last_day.isNull()})
+    long, begin = F.col("_span") > 7, F.col("_begin")
+    finish = F.when(F.col("_has_end") & (F.col("_end") > begin), F.col("_end")).otherwise(F.least(begin + 60, F.lit(23 * 60 + 59)))
+    stop = F.date_add(F.when(long, day).otherwise(F.coalesce(last_day, day)), 1)
+    given = given.withColumns({"_timed": F.col("_has_start") & (F.col("_single") | long), "_finish": finish,
+                               "_stop": F.date_format(stop, "yyyyMMdd")})
+
+    def moment(name: str, minutes: str, date: str) -> Column:
+        m = F.col(minutes)
+        clock = F.concat(F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lpad((m % 60).cast("string"), 2, "0"), F.lit("00"))
+        return F.when(F.col("_timed"), F.concat(F.lit(f"{name};TZID={BUSINESS_ZONE}:"), "_ymd", F.lit("T"), clock)).otherwise(
+            F.concat(F.lit(f"{name};VALUE=DATE:"), date))
+
+    lines = F.array_compact(F.array(
+        F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), uid), F.lit(f"DTSTAMP:{stamp}"), moment("DTSTART", "_begin", "_ymd"),
+        moment("DTEND", "_finish", "_stop"), F.concat(F.lit("SUMMARY:"), escape(title)),
+        F.when(~missing(place), F.concat(F.lit("LOCATION:"), escape(place))), F.when(~missing(note), F.concat(F.lit("DESCRIPTION:"), escape(note))),
+        F.when(~missing(url), F.concat(F.lit("URL:"), url)), F.lit("STATUS:CONFIRMED"),
+        F.lit("TRANSP:TRANSPARENT" if transparent else "TRANSP:OPAQUE"), F.lit("END:VEVENT")))
+    given = given.withColumn("_lines", lines)
+    return given.select(*events.columns, F.array_join(F.transform("_lines", fold_line), "\r\n").alias(out))
 
 
 def calendar_lines(blocks: DataFrame, block: str, order: list[str], name: str, product: str) -> DataFrame:

@@ -7,8 +7,9 @@ from listwatch.functions.events import attendance_form
 from listwatch.functions.links import absolute, allowed_link
 from listwatch.functions.loose import as_names, as_text
 from listwatch.functions.marks import display_mark, docket_number, mark_key, mark_parts
-from listwatch.functions.text import fold, missing, squeeze, strip_space, unescape
+from listwatch.functions.text import first_text, fold, missing, squeeze, strip_space, unescape
 from listwatch.operators.scan import first_per_key, top_per_group
+from listwatch.operators.staging import where_computed
 
 JUNK = ("script", "style", "nav", "header", "footer", "form")
 HEAD_JUNK = ("head", "script", "style", "noscript")
@@ -124,39 +125,42 @@ def _href(html: Column) -> Column:
 
 def board_decisions(rows: DataFrame, key: list[str], base: str) -> DataFrame:
     """Notice board: mark, announcement date and document of each row that has a decision mark."""
-    mark = display_mark(cell_text(0))
-    parts = mark_parts(mark)
-    k = mark_key(mark)
-    day = czech_date_text(cell_text(1))
-    ident = F.concat(F.lit("ns:deska:"), k["key"], F.when(k["part"] != "", F.concat(F.lit("-"), k["part"])).otherwise(""))
-    out = rows.where(F.size("cells") >= 2).select(
-        *key, "row_no", ident.alias("id"), mark.alias("mark"), parts["senate"].alias("senate"), parts["register"].alias("register"),
-        absolute(_href(F.col("row")), base).alias("document"), day.alias("decided"), day.alias("published"))
-    return out.where(F.col("senate").isNotNull())
+    cells = rows.where(F.size("cells") >= 2).select(
+        *key, "row_no", cell_text(0).alias("_t"), cell_text(1).alias("_d"), _href(F.col("row")).alias("_href"))
+    read = cells.select(*key, "row_no", display_mark(F.col("_t")).alias("mark"), czech_date_text(F.col("_d")).alias("decided"), "_href")
+    mark = F.col("mark")
+    read = read.select(*key, "row_no", "mark", mark_parts(mark).alias("_p"), mark_key(mark).alias("_k"), "_href", "decided")
+    part = F.when(F.col("_k.part") != "", F.concat(F.lit("-"), "_k.part")).otherwise("")
+    out = read.select(
+        *key, "row_no", F.concat(F.lit("ns:deska:"), "_k.key", part).alias("id"), "mark", F.col("_p.senate").alias("senate"),
+        F.col("_p.register").alias("register"), absolute(F.col("_href"), base).alias("document"), "decided",
+        F.col("decided").alias("published"))
+    return where_computed(out, F.col("senate").isNotNull())
 
 
 def on_board(rows: DataFrame, start: Column, end: Column) -> DataFrame:
     """Board rows with a document, announced inside the period or without a date."""
     day = F.col("published")
-    return rows.where((F.col("document") != "") & ((day == "") | day.between(start, end)))
+    return where_computed(rows, (F.col("document") != "") & ((day == "") | day.between(start, end)))
 
 
 def search_decisions(rows: DataFrame, key: list[str], base: str, court: str) -> DataFrame:
     """Search results with a decision link; rows of other courts are left out."""
     row = F.col("row")
-    link = F.regexp_extract(row, r"(?is)(<a\b[^>]*class=\"[^\"]*\bodk\b[^\"]*\"[^>]*>.*?</a>)", 1)
-    owner = lines_of(F.regexp_extract(row, r"(?is)<td\b[^>]*class=\"[^\"]*td-short-wrap[^\"]*\"[^>]*>(.*?)</td>", 1))
-    unid = F.upper(F.coalesce(
-        F.nullif(F.regexp_extract(row, r"(?is)<input\b[^>]*name=[\"']ids[\"'][^>]*value=[\"']([^\"']*)[\"']", 1), F.lit("")),
-        F.regexp_extract(link, r"(?i)/WebSearch/([0-9A-F]{32})", 1)))
-    mark = display_mark(lines_of(link))
-    parts = mark_parts(mark)
-    register = F.when(parts["register"] != "", parts["register"]).otherwise(F.regexp_extract(mark, r"^\s*([^\d\s/]+)\s+\d+\s*/", 1))
-    pdf = F.regexp_extract(row, r"(?is)href=[\"']([^\"']*\.pdf(?:\?openelement[^\"']*)?)[\"']", 1)
-    out = rows.where((link != "") & ((owner == "") | owner.contains(court))).select(
-        *key, "row_no", unid.alias("unid"), mark.alias("mark"), parts["senate"].alias("senate"), register.alias("register"),
-        absolute(_href(link), base).alias("url"), absolute(pdf, base).alias("pdf"))
-    return out.where(F.col("unid") != "")
+    cut = rows.select(
+        *key, "row_no", F.regexp_extract(row, r"(?is)(<a\b[^>]*class=\"[^\"]*\bodk\b[^\"]*\"[^>]*>.*?</a>)", 1).alias("_link"),
+        F.regexp_extract(row, r"(?is)<td\b[^>]*class=\"[^\"]*td-short-wrap[^\"]*\"[^>]*>(.*?)</td>", 1).alias("_owner"),
+        F.regexp_extract(row, r"(?is)<input\b[^>]*name=[\"']ids[\"'][^>]*value=[\"']([^\"']*)[\"']", 1).alias("_ids"),
+        F.regexp_extract(row, r"(?is)href=[\"']([^\"']*\.pdf(?:\?openelement[^\"']*)?)[\"']", 1).alias("_pdf"))
+    cut = cut.where(F.col("_link") != "").select(
+        *key, "row_no", lines_of(F.col("_link")).alias("_text"), lines_of(F.col("_owner")).alias("_owner"), _href(F.col("_link")).alias("_href"),
+        first_text(F.col("_ids"), F.regexp_extract("_link", r"(?i)/WebSearch/([0-9A-F]{32})", 1)).alias("_id"), "_pdf")
+    cut = where_computed(cut, ((F.col("_owner") == "") | F.col("_owner").contains(court)) & (F.col("_id") != ""))
+    read = cut.withColumn("mark", display_mark(F.col("_text"))).withColumn("_p", mark_parts(F.col("mark")))
+    register = first_text(F.col("_p.register"), F.regexp_extract("mark", r"^\s*([^\d\s/]+)\s+\d+\s*/", 1))
+    return read.select(
+        *key, "row_no", F.upper("_id").alias("unid"), "mark", F.col("_p.senate").alias("senate"), register.alias("register"),
+        absolute(F.col("_href"), base).alias("url"), absolute(F.col("_pdf"), base).alias("pdf"))
 
 
 def register_rows(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -179,17 +183,23 @@ def break_parts(cell: Column) -> Column:
 
 def event_rows(rows: DataFrame, key: list[str], base: str) -> DataFrame:
     """Event table: title with link, date or range with clock times in brackets, place."""
-    when = cell_text(1)
-    days = F.regexp_extract_all(when, F.lit("(" + CZECH_DATE + ")"), F.lit(1))
+    first = F.get("cells", F.lit(0))
+    read = rows.where(F.size("cells") >= 3).select(
+        *key, "row_no", _href(first).alias("_href"), squeeze(lines_of(first)).alias("title"), cell_text(1).alias("_when"), cell_text(2).alias("place"))
+    when = F.col("_when")
     bracket = F.when(when.contains("("), F.regexp_replace(when, r"^[^(]*\(", "")).otherwise("")
-    clocks = F.transform(F.regexp_extract_all(bracket, F.lit(r"(\d{1,2}[:.]\d{2})"), F.lit(1)), lambda c: F.translate(c, ".", ":"))
-    title = squeeze(lines_of(F.get("cells", F.lit(0))))
-    place = cell_text(2)
-    out = rows.where((F.size("cells") >= 3) & (_href(F.get("cells", F.lit(0))) != "")).select(
-        *key, "row_no", title.alias("title"), czech_date(F.get(days, F.lit(0))).alias("day"), czech_date(F.get(days, F.lit(1))).alias("last_day"),
-        F.coalesce(F.get(clocks, F.lit(0)), F.lit("")).alias("starts"), F.coalesce(F.get(clocks, F.lit(1)), F.lit("")).alias("ends"),
-        absolute(_href(F.get("cells", F.lit(0))), base).alias("url"), place.alias("place"), attendance_form(title, place).alias("form"))
-    return out.where(F.col("day").isNotNull())
+    read = read.select(
+        *key, "row_no", "_href", "title", "place", F.regexp_extract_all(when, F.lit("(" + CZECH_DATE + ")"), F.lit(1)).alias("_days"),
+        F.regexp_extract_all(bracket, F.lit(r"(\d{1,2}[:.]\d{2})"), F.lit(1)).alias("_clocks"))
+
+    def clock(i: int) -> Column:
+        return F.translate(F.coalesce(F.get("_clocks", F.lit(i)), F.lit("")), ".", ":")
+
+    out = read.select(
+        *key, "row_no", "title", czech_date(F.get("_days", F.lit(0))).alias("day"), czech_date(F.get("_days", F.lit(1))).alias("last_day"),
+        clock(0).alias("starts"), clock(1).alias("ends"), "_href", absolute(F.col("_href"), base).alias("url"), "place",
+        attendance_form(F.col("title"), F.col("place")).alias("form"))
+    return where_computed(out, F.col("day").isNotNull() & (F.col("_href") != "")).drop("_href")
 
 
 def labelled_values(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -244,14 +254,15 @@ def embedded_events(pages: DataFrame, key: list[str], html: str) -> DataFrame:
     """schema.org events of the pages' JSON-LD, found through lists, graphs and item lists."""
     script = r"(?is)<script\b[^>]*type\s*=\s*[\"'][^\"']*ld\+json[^\"']*[\"'][^>]*>(.*?)</script>"
     blocks = pages.select(*key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(script), F.lit(1))).alias("block", "json"))
-    level = blocks.select(*key, F.explode(_listed(F.try_parse_json("json"))).alias("v"))
+    level = blocks.select(*key, F.try_parse_json("json").alias("d")).select(*key, F.explode(_listed(F.col("d"))).alias("v"))
     found = None
     for depth in range(MAX_DEPTH):
-        hits = level.where(_is_event(F.col("v")))
+        level = level.withColumn("is_event", _is_event(F.col("v")))
+        hits = where_computed(level, F.col("is_event")).drop("is_event")
         found = hits if found is None else found.unionByName(hits)
         if depth + 1 < MAX_DEPTH:
             children = F.flatten(F.array(*[_listed(F.try_variant_get("v", f"$['{c}']", "variant")) for c in CONTAINERS]))
-            level = level.where(~_is_event(F.col("v"))).select(*key, F.explode(children).alias("v"))
+            level = where_computed(level, ~F.col("is_event")).select(*key, F.explode(children).alias("v"))
     return found.select(*key, *_event_fields(F.col("v")))
 
 

@@ -14,6 +14,7 @@ from listwatch.functions.names import merge_continuations, party_label
 from listwatch.functions.text import squeeze, strip_space
 from listwatch.operators.islands import join_lines, number_records
 from listwatch.operators.scan import HOT_ROWS
+from listwatch.operators.staging import where_computed
 
 # Header and footer lines of the roster.
 SKIP_LINE = (r"(?U)^(Datum\b|síň\b|Údaje jsou platné|Stav není|Aktuální stav|Přehled$|"
@@ -23,15 +24,18 @@ RECORD = (r"(?s)^(\d{2}\.\d{2}\.\d{4})\s+(\S+)\s+(.*?)\s*"
 WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def hearing(day: Column, room: Column, chair: Column, mark: Column, clock: Column, parties: Column) -> Column:
-    """Hearing struct from raw fields; NULL without a readable mark or date."""
-    m, d = roster_mark(mark), czech_date(day)
-    sides = merge_continuations(F.coalesce(parties, F.array().cast("array<string>")))
-    return F.when(m.isNotNull() & d.isNotNull(), F.struct(
-        d.alias("day"), F.coalesce(clock, F.lit("")).alias("clock"), F.coalesce(room, F.lit("")).alias("room"),
-        squeeze(chair).alias("chair"), m["mark"].alias("mark"), party_label(sides).alias("title"), m["senate"].alias("senate"),
-        m["register"].alias("register"), m["senate_no"].alias("senate_no"), m["number"].alias("number"),
-        m["year"].alias("year"), sides.alias("parties")))
+def hearings(rows: DataFrame, keep: list[str], day: Column, room: Column, chair: Column, mark: Column, clock: Column,
+             parties: Column) -> DataFrame:
+    """Typed hearings from raw fields; rows without a readable mark or date are dropped."""
+    none = F.array().cast("array<string>")
+    typed = rows.select(
+        *keep, roster_mark(mark).alias("_mark"), czech_date(day).alias("day"), F.coalesce(clock, F.lit("")).alias("clock"),
+        F.coalesce(room, F.lit("")).alias("room"), squeeze(chair).alias("chair"), F.coalesce(parties, none).alias("_parties"))
+    typed = where_computed(typed, F.col("_mark").isNotNull() & F.col("day").isNotNull()).withColumn(
+        "parties", merge_continuations(F.col("_parties")))
+    return typed.select(
+        *keep, "day", "clock", "room", "chair", "_mark.mark", party_label(F.col("parties")).alias("title"), "_mark.senate",
+        "_mark.register", "_mark.senate_no", "_mark.number", "_mark.year", "parties")
 
 
 def roster_hearings(lines: DataFrame, document: str, position: str, text: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -40,10 +44,9 @@ def roster_hearings(lines: DataFrame, document: str, position: str, text: str, h
     kept = kept.where((F.col("line") != "") & ~F.col("line").rlike(SKIP_LINE))
     numbered = number_records(kept, [document], [F.col(position)], F.col("line").rlike("^" + CZECH_DATE), "record", hot_rows)
     records = join_lines(numbered.where(F.col("record") > 0), [document, "record"], position, "line")
-    part = [F.regexp_extract("line", RECORD, i) for i in range(1, 7)]
-    h = hearing(part[0], part[1], part[2], part[3], part[4], F.split(part[5], "\n"))
-    return records.where(F.col("line").rlike(RECORD)).select(document, h.alias("h")).where(
-        F.col("h").isNotNull()).select(document, "h.*")
+    part = [F.regexp_extract("line", RECORD, i).alias(f"_p{i}") for i in range(1, 7)]
+    split = records.where(F.col("line").rlike(RECORD)).select(document, *part)
+    return hearings(split, [document], *[F.col(f"_p{i}") for i in (1, 2, 3, 4, 5)], F.split("_p6", "\n"))
 
 
 def expected_rows(lines: DataFrame, document: str, text: str, period: Column) -> DataFrame:
@@ -88,10 +91,11 @@ def table_hearings(cells: DataFrame) -> DataFrame:
     def cell(i: int) -> Column:
         return F.trim(F.array_join(F.coalesce(F.try_element_at("c", F.lit(i)), F.array().cast("array<string>")), "\n"))
 
-    h = hearing(cell(0), cell(1), cell(2), cell(3), F.regexp_extract(cell(4), r"(\d{1,2}:\d{2})", 1),
-                F.try_element_at("c", F.lit(5)))
-    listed = row.where((F.size("c") >= 5) & cell(0).rlike("^" + CZECH_DATE) & cell(3).rlike(ROSTER_MARK))
-    return listed.select("document", h.alias("h")).where(F.col("h").isNotNull()).select("document", "h.*")
+    listed = row.where(F.size("c") >= 5).select(
+        "document", *[cell(i).alias(f"_c{i}") for i in range(5)], F.try_element_at("c", F.lit(5)).alias("_parties_raw"))
+    listed = where_computed(listed, F.col("_c0").rlike("^" + CZECH_DATE) & F.col("_c3").rlike(ROSTER_MARK))
+    return hearings(listed, ["document"], F.col("_c0"), F.col("_c1"), F.col("_c2"), F.col("_c3"),
+                    F.regexp_extract("_c4", r"(\d{1,2}:\d{2})", 1), F.col("_parties_raw"))
 
 
 def cells_as_text(cells: DataFrame) -> DataFrame:

@@ -174,15 +174,18 @@ def test_digest_answer(spark):
     assert [r["title"] for r in cited.where("block = 1").orderBy("position").collect()] == ["T2", "T1"]
 
 
-def test_answers(value):
+def test_answers(spark, value):
+    def parse(raw):
+        return A.parse_answers(spark.createDataFrame([(raw,)], "raw string"), "raw").first()
+
     text = "Mailboxde.cz s.r.o. se soudila s Úřadem o zápis ochranné známky."
     tagged = f"**HESLO:** Známka – dovolání odmítnuto\nSHRNUTÍ: {text}\nOBLASTI: autorske; it\nPROCESNÍ: ne"
-    out = value(A.parse_answer(F.lit(tagged)))
+    out = parse(tagged)
     assert (out["heading"], out["summary"], out["area_tokens"], out["procedural"]) == (
         "Známka", "Mailboxde.cz se soudila s Úřadem o zápis ochranné známky.", ["autorske", "it"], False)
-    assert value(A.parse_answer(F.lit("HESLO: x\nSHRNUTÍ: krátké"))) is None
+    assert parse("HESLO: x\nSHRNUTÍ: krátké") is None
     as_json = '```json {"heslo": "Známka", "shrnuti": "' + text + '", "oblasti": ["it"], "procesni": true} ```'
-    out = value(A.parse_answer(F.lit(as_json)))
+    out = parse(as_json)
     assert (out["area_tokens"], out["procedural"]) == (["it"], True)
     assert value(A.fallback_areas(F.array().cast("array<string>"), F.array().cast("array<string>"), F.lit("ns"), F.lit("Tdo"))) == ["trestni"]
     assert value(ordered_union(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c"), F.lit("d")))) == ["a", "b", "c"]

@@ -92,9 +92,9 @@ def test_dimension_files(spark, tmp_path):
 def test_calendar_round_trip(spark, tmp_path):
     e = spark.createDataFrame([(i, dt.date(2026, 9, 1 + i), f"Akce {i}; část, první " + "ř" * 60) for i in range(5)], "id int, day date, title string")
     none = F.lit(None).cast("date")
-    block = IC.event_block(F.concat(F.lit("e"), "id"), "20260901T000000Z", F.col("day"), none, F.lit("9:30"), F.lit(""), F.col("title"),
-                           F.lit("Praha"), F.lit("a\nb"), F.lit("https://x/1"))
-    lines = IC.calendar_lines(e.select("id", "day", block.alias("block")), "block", ["day", "id"], "Test", "x")
+    blocks = IC.with_event_block(e, "block", F.concat(F.lit("e"), "id"), "20260901T000000Z", F.col("day"), none, F.lit("9:30"), F.lit(""),
+                                 F.col("title"), F.lit("Praha"), F.lit("a\nb"), F.lit("https://x/1"))
+    lines = IC.calendar_lines(blocks.select("id", "day", "block"), "block", ["day", "id"], "Test", "x")
     path = str(tmp_path / "cal")
     IC.write_calendar(lines, ["day", "id"], path)
     text = "".join(p.read_text(encoding="utf-8", newline="") for p in sorted((tmp_path / "cal").glob("part-*")))
