@@ -47,7 +47,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS rn FROM f)
 SELECT doc_id, coalesce(string_agg(area, ',' ORDER BY rn) FILTER (WHERE rn <= 3), '') AS areas FROM documents LEFT JOIN n USING (doc_id) GROUP BY 1""")
 def contained_rules(t):
     found = rules(t, WORD_RULES).contained(F.array("text", "source"))
-    return t.documents.select("doc_id", F.array_join(found, ",").alias("areas"))
+    return t.heavy("documents").select("doc_id", F.array_join(found, ",").alias("areas"))
 
 
 @query("j10_contains_join", "J10", sql="""
@@ -70,7 +70,7 @@ def cited_statutes(t):
     year = F.year("o_orderdate")
     texts = F.array(F.concat(F.lit("§ 36 zákona č. 0"), F.col("o_custkey") % 30, F.lit(" / "), year, F.lit(" Sb.")),
                     F.concat(F.lit("čl. 2 č. "), F.col("o_custkey") % 7, F.lit("/1998 Sb., "), F.col("o_custkey") % 30, F.lit("/"), year))
-    return t.orders.select("o_orderkey", F.array_join(K.statute_numbers(texts), ",").alias("statutes"),
+    return t.heavy("orders").select("o_orderkey", F.array_join(K.statute_numbers(texts), ",").alias("statutes"),
                            F.array_join(rules(t, STATUTES).statutes(texts), ",").alias("areas"))
 
 
@@ -108,7 +108,7 @@ def composed_areas(t):
     terms = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("nad Eau"))).when(
         F.col("o_orderstatus") == "P", F.array(F.lit("traitement"))).otherwise(nobody())
     areas = K.constitutional_areas(mark, statutes, terms, rules(t, STATUTES), rules(t, WORD_RULES))
-    return t.orders.select("o_orderkey", F.array_join(areas, ",").alias("areas"))
+    return t.heavy("orders").select("o_orderkey", F.array_join(areas, ",").alias("areas"))
 
 
 @query("f10_relevance", "F10 X18", sql="""
@@ -143,7 +143,7 @@ def procedural_outcomes(t):
 SELECT doc_id, n_chars >= 500 AS long_enough, n_chars >= 100 AND contains(lower(text), 'tion') AS marked,
   regexp_matches(strip_accents(lower(text)), 'ment|schen') AS keyword FROM documents""")
 def text_quality(t):
-    return t.documents.select(
+    return t.heavy("documents").select(
         "doc_id", T.good_text(F.col("text"), 500).alias("long_enough"),
         T.good_text(F.col("text"), 100, "tion", check_block=False).alias("marked"),
         T.fold(F.col("text")).rlike("ment|schen").alias("keyword"))
@@ -233,11 +233,11 @@ SELECT c_custkey, NOT (person_known AND firm_known) AND c_acctbal > -500 AS supp
 def redacted_parties(t):
     person = F.concat(F.lit("Ing. Jan"), F.col("c_custkey"), F.lit(" Novák"), F.col("c_nationkey"))
     firm = F.concat(F.lit("Firma"), F.col("c_custkey"), F.lit(" "), F.col("c_mktsegment"))
-    rows = t.customer.select("c_custkey", F.array(person, firm).alias("parties"), F.lit("old").alias("title"),
+    rows = t.heavy("customer").select("c_custkey", F.array(person, firm).alias("parties"), F.lit("old").alias("title"),
                              (F.col("c_acctbal") > -500).alias("is_new"), "c_acctbal")
     from listwatch.functions.events import person_hash
-    persons = t.customer.where(F.col("c_acctbal") >= 0).select(person_hash(person).alias("hash"))
-    companies = t.customer.where(F.col("c_acctbal") < 9000).select(firm.alias("name"))
+    persons = t.heavy("customer").where(F.col("c_acctbal") >= 0).select(person_hash(person).alias("hash"))
+    companies = t.heavy("customer").where(F.col("c_acctbal") < 9000).select(firm.alias("name"))
     out = RD.redact(rows, "c_custkey", persons, companies)
     return out.select("c_custkey", "suppressed", F.array_join("parties", ";").alias("parties"), "title")
 

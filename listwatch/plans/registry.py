@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listwatch.session import configure
+from listwatch.session import configure, spread
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def heavy(self, name: str) -> DataFrame:
+        """The table, spread over all cores, for queries that parse every row."""
+        return spread(getattr(self, name))
+
 
 REGISTRY: dict[str, Query] = {}
 

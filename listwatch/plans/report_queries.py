@@ -261,7 +261,7 @@ def digest_answers(t):
     k = F.col("c_custkey")
     raw = F.concat(F.lit("**PŘEHLED:** Úvod "), "c_nationkey", F.lit(".\n\nTÉMA: "), "c_mktsegment", F.lit("\nTEXT: Text  o "), "c_name",
                    F.lit(" s.r.o. ZDROJE: "), k % 7 + 1, F.lit(", "), k % 3 + 1, F.lit(", 99, 4, "), k % 7 + 1, F.lit("\n\nTÉMA: \nTEXT: nic"))
-    blocks = DG.parse_answers(t.customer.select("c_custkey", raw.alias("raw")), "c_custkey", "raw")
+    blocks = DG.parse_answers(t.heavy("customer").select("c_custkey", raw.alias("raw")), "c_custkey", "raw")
     items = t.nation.select((F.col("n_nationkey") + 1).alias("number"), "n_name")
     cited = DG.resolve_citations(blocks, items, ["c_custkey", "block"], F.lit(25), ["n_name"])
     per = cited.groupBy("c_custkey", "block").agg(F.array_join(F.transform(
@@ -280,7 +280,7 @@ def requests(t):
     kind = F.when(F.col("o_custkey") % 2 == 0, "stanovisko").otherwise("rozsudek")
     header = AN.request_header(court, kind, F.col("o_custkey").cast("string"), F.lit(""), F.date_format("o_orderdate", "yyyy-MM-dd"),
                                F.array(F.concat(F.lit("p: "), "o_orderpriority"), F.lit("")), AN.instruction_kind(court, kind, F.lit("Cdo")))
-    return t.orders.select("o_orderkey", AN.request(header, F.concat(F.lit(" T"), "o_orderkey", F.lit("\n"))).alias("prompt"))
+    return t.heavy("orders").select("o_orderkey", AN.request(header, F.concat(F.lit(" T"), "o_orderkey", F.lit("\n"))).alias("prompt"))
 
 
 @query("e2_parsed_answers", "E2 E3 X14 X15 X16 X25", sql="""
@@ -299,7 +299,7 @@ def parsed_answers(t):
         head.alias("heslo"), text.alias("shrnuti"), F.filter(F.split(areas, "; "), lambda a: a != "").alias("oblasti"),
         (F.col("o_orderpriority") == "5-LOW").alias("procesni"))), F.lit(" ```"))
     raw = F.when(F.col("o_orderkey") % 2 == 0, as_json).otherwise(tagged)
-    p = AN.parse_answers(t.orders.select("o_orderkey", raw.alias("raw")), "raw")
+    p = AN.parse_answers(t.heavy("orders").select("o_orderkey", raw.alias("raw")), "raw")
     found = AN.fallback_areas(F.col("area_tokens"), F.array().cast("array<string>"), F.lit("ns"), F.lit("Tdo"))
     return p.select("o_orderkey", "heading", "summary", F.array_join(found, ",").alias("areas"), "procedural")
 
@@ -309,7 +309,7 @@ SELECT doc_id, CASE WHEN lang = 'en' THEN 'Téma ' || source ELSE '' END AS head
 def tagged_summaries(t):
     raw = F.when(F.col("lang") == "en", F.concat(F.lit("**HESLO:** Téma "), "source", F.lit(".\nShrnutí:  O čem je "), "doc_id")).otherwise(
         F.concat(F.lit("O čem  je "), "doc_id"))
-    return t.documents.select("doc_id", AN.parse_tagged_summary(raw).alias("a")).select("doc_id", "a.heading", "a.summary")
+    return t.heavy("documents").select("doc_id", AN.parse_tagged_summary(raw).alias("a")).select("doc_id", "a.heading", "a.summary")
 
 
 @query("e4_batch_headings", "E4 W6", sql="""
@@ -345,7 +345,7 @@ def extracted_rows(t):
         F.concat(F.col("o_custkey") % 90 + 1, F.lit("cm "), "o_custkey", F.lit(" / "), F.year("o_orderdate")).alias("spisova_znacka"),
         F.lit("9:00").alias("hodina"), F.array(F.concat(F.lit("Firma"), "o_custkey", F.lit(" s.r.o.")), F.lit("Beta a.s.")).alias("ucastnici"))))
     raw = F.when(F.col("o_orderstatus") == "P", '[{"datum":"32. 1. 2024","spisova_znacka":"x"},{"bad":1}]').otherwise(F.concat(F.lit("```"), good, F.lit("```")))
-    rows = AN.extracted_rows(t.orders.select("o_orderkey", raw.alias("raw")), "o_orderkey", "raw",
+    rows = AN.extracted_rows(t.heavy("orders").select("o_orderkey", raw.alias("raw")), "o_orderkey", "raw",
                              "datum string, sin string, predseda string, spisova_znacka string, hodina string, ucastnici array<string>")
     h = hearings(rows, ["o_orderkey"], F.col("datum"), F.col("sin"), F.col("predseda"), F.col("spisova_znacka"), F.col("hodina"), F.col("ucastnici"))
     return h.select("o_orderkey", "mark", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("title").alias("label"))

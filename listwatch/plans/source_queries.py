@@ -26,7 +26,7 @@ l AS (SELECT page_id, CAST(unnest(range(len(h))) AS INTEGER) AS pos, unnest(h) A
 
 
 def page_links(t: Tables):
-    return PG.extract_links(t.pages, ["page_id"], "html")
+    return PG.extract_links(t.heavy("pages"), ["page_id"], "html")
 
 
 @query("s10_page_links", "S10", sql=LINK_SQL + "SELECT page_id, pos, replace(href, '&amp;', '&') AS href FROM l")
@@ -54,14 +54,14 @@ SELECT page_id, regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '[0-
   CASE WHEN contains(split_part(url, '#', 1), '?') THEN '?' || array_to_string(list_sort(list_distinct(list_transform(split(split_part(split_part(url, '#', 1), '?', 2), '&'), lambda p: split_part(p, '=', 1)))), '&') ELSE '' END AS shape,
   regexp_replace(url, '[?#].*$', '') AS address FROM pages""")
 def url_shapes(t):
-    return t.pages.select("page_id", LK.link_shape(F.col("url")).alias("shape"), LK.without_query(F.col("url")).alias("address"))
+    return t.heavy("pages").select("page_id", LK.link_shape(F.col("url")).alias("shape"), LK.without_query(F.col("url")).alias("address"))
 
 
 @query("f22_allowed_hosts", "F22", sql=r"""
 SELECT page_id, regexp_matches(url, '^https?://([a-z0-9-]+\.)*example\.(com|net)([/?#:]|$)') AS allowed FROM pages""")
 def allowed_hosts(t):
     hosts = F.array(F.lit("example.com"), F.lit("example.net"))
-    return t.pages.select("page_id", LK.allowed_link(F.col("url"), hosts).alias("allowed"))
+    return t.heavy("pages").select("page_id", LK.allowed_link(F.col("url"), hosts).alias("allowed"))
 
 
 @query("s18_picked_links", "S18", sql=LINK_SQL + r""",
@@ -81,12 +81,12 @@ b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<br\s*/?>|</p\s*>|</
 e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS h FROM b)
 SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(h, '[\t\r\f\v\p{Zs}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM e""")
 def page_text(t):
-    return t.pages.select("page_id", PG.page_text(F.col("html")).alias("text"))
+    return t.heavy("pages").select("page_id", PG.page_text(F.col("html")).alias("text"))
 
 
 @query("s17_text_with_links", "S17")
 def text_with_links(t):
-    return t.pages.select("page_id", PG.page_text_with_links(F.col("html"), "https://listing.example").alias("text"))
+    return t.heavy("pages").select("page_id", PG.page_text_with_links(F.col("html"), "https://listing.example").alias("text"))
 
 
 def order_table(t: Tables):
@@ -128,7 +128,7 @@ def event_rows(t):
                     F.lit("</a></td><td>"), F.date_format("o_orderdate", "dd.MM.yyyy"),
                     F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("-"), F.date_format(F.date_add("o_orderdate", 3), "dd.MM.yyyy"))).otherwise(""),
                     F.lit(" (9.00"), F.when(F.col("o_orderstatus") == "F", " - 12:30").otherwise(""), F.lit(")</td><td>Praha</td></tr>"))
-    rows = PG.table_rows(t.orders.select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
+    rows = PG.table_rows(t.heavy("orders").select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
     return PG.event_rows(rows, ["o_orderkey"], "https://bar.example").select(
         "o_orderkey", "title", day_text("day").alias("day"), day_text("last_day").alias("last_day"), "starts", "ends", "url", "form")
 
@@ -140,7 +140,7 @@ def register_rows(t):
     html = F.concat(F.lit("<tr><td>x</td><td><input type='hidden' name='row[0].ID' value='"), "o_orderkey", F.lit("'/></td>"),
                     cell(F.date_format("o_orderdate", "d.M.yyyy")), cell(F.concat(F.lit("21 Afs &nbsp; "), "o_custkey", F.lit(" / "), F.year("o_orderdate"), F.lit(" -  32"))),
                     cell(F.lit("1  NSS")), cell("o_orderpriority"), cell("o_orderstatus"), cell(F.lit("a")), cell(F.lit("b")), cell(F.lit("Alfa,<br>Beta")), F.lit("</tr>"))
-    rows = PG.table_rows(t.orders.select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
+    rows = PG.table_rows(t.heavy("orders").select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
     return PG.register_rows(rows, ["o_orderkey"]).drop("o_orderkey", "row_no")
 
 
@@ -151,7 +151,7 @@ def search_rows(t):
     html = F.concat(F.lit("<table id='tabl'><tr><td><input name='ids' value='unid"), "o_orderkey", F.lit("'></td><td class=\"td-short-wrap\">"),
                     F.when(F.col("o_orderstatus") == "P", "Krajský soud").otherwise("Nejvyšší soud"), F.lit("</td><td><a class=\"odk\" href='/WebSearch/"), "o_orderkey", F.lit("'>"),
                     F.col("o_custkey") % 30 + 1, F.lit(" Cdo "), "o_orderkey", F.lit(" / "), F.year("o_orderdate"), F.lit("</a></td><td class='icons'><a href='/f/"), "o_orderkey", F.lit(".pdf'>x</a></td></tr></table>"))
-    rows = PG.table_rows(t.orders.select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
+    rows = PG.table_rows(t.heavy("orders").select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
     return PG.search_decisions(rows, ["o_orderkey"], "https://court.example", "Nejvyšší soud").select("unid", "mark", "url", "pdf")
 
 
@@ -160,7 +160,7 @@ SELECT o_orderkey, 'Druh' AS label, o_orderstatus AS value FROM orders UNION ALL
 def labelled_values(t):
     html = F.concat(F.lit("<table><tr><td>Druh :</td><td>"), "o_orderstatus", F.lit("</td></tr><tr><td>Heslo</td><td>A</td></tr><tr><td>Heslo</td><td>"),
                     F.when(F.col("o_custkey") % 2 == 0, "B").otherwise("A"), F.lit("</td></tr></table>"))
-    rows = PG.table_rows(t.orders.select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
+    rows = PG.table_rows(t.heavy("orders").select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
     return PG.labelled_values(rows, ["o_orderkey"])
 
 
@@ -170,7 +170,7 @@ def field_values(t):
     law = PG.statute_citation(blank(), F.lit("36"), (F.col("o_custkey") % 5 + 1).cast("string"), blank(), F.lit("zákona"), F.lit("500"), F.year("o_orderdate").cast("string"))
     html = F.concat(F.lit("<div data-field-id='cj'><span class='det-textval'> M"), "o_custkey", F.lit("</span></div><div data-field-id='predpisy'><span class='det-textval'>"),
                     law, F.lit("</span></div>"))
-    return PG.field_values(t.orders.select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
+    return PG.field_values(t.heavy("orders").select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
 
 
 @query("s12_embedded_events", "S12 X7 X24", sql="""
@@ -187,7 +187,7 @@ def embedded_events(t):
     shape = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit('{"@graph":[{"@type":"WebPage"},{"@type":"ItemList","itemListElement":[{"item":'), event, F.lit("}]}]}"))).otherwise(
         F.concat(F.lit("["), event, F.lit("]")))
     html = F.concat(F.lit('<html><script type="application/ld+json">'), shape, F.lit('</script><script type="application/ld+json">{broken</script></html>'))
-    out = PG.embedded_events(t.orders.select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
+    out = PG.embedded_events(t.heavy("orders").select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
     return out.select("o_orderkey", "title", day_text("day").alias("day"), "starts", "place", "form", F.array_join("lecturers", ",").alias("lecturers"), "price")
 
 
@@ -202,7 +202,7 @@ def feed_items(t):
     atom = F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><entry><title type='html'>Title "), "o_custkey", F.lit(" &amp;amp; more</title><link href='https://j.example/a/"), "o_orderkey",
                     F.lit("'/><published>"), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'"), F.lit("</published><author><name>Jan Novák</name></author><author><name>Eva Malá</name></author><summary>Text "), "o_orderpriority",
                     F.lit("</summary>"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("<id>x</id><dc:identifier>doi:10.1093/x"), "o_orderkey", F.lit("</dc:identifier>"))).otherwise(""), F.lit("</entry></feed>"))
-    feeds = t.orders.select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, rss).otherwise(atom).alias("xml"))
+    feeds = t.heavy("orders").select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, rss).otherwise(atom).alias("xml"))
     items = FE.feed_items(feeds, ["o_orderkey"], "xml", F.lit("2001-08-01").cast("timestamp"))
     return items.select("o_orderkey", "title", "doi", "link", "authors", "abstract", day_text("published").alias("published"))
 
@@ -213,7 +213,7 @@ SELECT '10.1/' || o_custkey AS doi, arg_min('Title ' || o_orderkey || CASE WHEN
 def works(t):
     raw = F.concat(F.lit('{"message":{"items":[{"DOI":"10.1/'), "o_custkey", F.lit('","title":["Title <i>'), "o_orderkey", F.lit('</i>"],"author":[{"given":"Jan","family":"Novák"},{"given":"Eva","family":"Malá"}],'),
                    F.when(F.col("o_orderstatus") == "F", '"subtitle":["Decision of X; ECLI:1"],').otherwise(""), F.lit('"issued":{"date-parts":[['), F.year("o_orderdate"), F.lit(","), F.month("o_orderdate"), F.lit(']]}},{"DOI":""}]}}'))
-    out = FE.works(t.orders.select("o_orderkey", raw.alias("raw")), "raw", "o_orderkey")
+    out = FE.works(t.heavy("orders").select("o_orderkey", raw.alias("raw")), "raw", "o_orderkey")
     return out.select("doi", "title", "authors", "is_decision", day_text("published").alias("published"))
 
 
@@ -224,7 +224,7 @@ def query_bindings(t):
     celex = F.concat(F.lit("6"), F.year("o_orderdate"), F.lit("CJ"), F.lpad(F.col("o_custkey").cast("string"), 4, "0"))
     kind = F.when(F.col("o_orderstatus") == "P", "REPORT").when(F.col("o_orderkey") % 2 == 0, "JUDG").otherwise("ORDER")
     raw = F.concat(F.lit('{"results":{"bindings":[{"celex":{"type":"x","value":"'), celex, F.lit('"},"typ":{"value":"http://t/'), kind, F.lit('"}}]}}'))
-    rows = FE.bindings(t.orders.where(F.col("o_custkey") < 10000).select("o_orderkey", raw.alias("raw")), ["o_orderkey"], "raw").withColumn("pos", F.col("o_orderkey"))
+    rows = FE.bindings(t.heavy("orders").where(F.col("o_custkey") < 10000).select("o_orderkey", raw.alias("raw")), ["o_orderkey"], "raw").withColumn("pos", F.col("o_orderkey"))
     return FE.decision_bindings(rows).select("celex", "mark", "kind")
 
 
@@ -236,7 +236,7 @@ def notice_bindings(t):
     title = F.when(F.col("o_orderpriority") == "5-LOW", "Žaloba").otherwise(F.concat(
         F.lit("Věc C-1/26, Firma"), "o_custkey", F.lit(": Žádost o rozhodnutí o předběžné otázce, kterou podal Soud "), "o_orderstatus", F.lit(" dne 1. ledna")))
     raw = F.concat(F.lit('{"results":{"bindings":[{"celex":{"value":"'), celex, F.lit('"},"nazev_cs":{"value":"'), title, F.lit('"},"podano":{"value":"'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('"}}]}}'))
-    rows = FE.bindings(t.orders.where(F.col("o_orderkey") < 10000).select("o_orderkey", raw.alias("raw")), ["o_orderkey"], "raw").withColumn("pos", F.col("o_orderkey"))
+    rows = FE.bindings(t.heavy("orders").where(F.col("o_orderkey") < 10000).select("o_orderkey", raw.alias("raw")), ["o_orderkey"], "raw").withColumn("pos", F.col("o_orderkey"))
     return FE.notice_bindings(rows).select("celex", "parties", "referring_court", "filed")
 
 
@@ -248,7 +248,7 @@ def search_documents(t):
         F.concat(F.lit('[{"en":"x"},{"cs":"null cs '), "source", F.lit('"}]')))
     raw = F.concat(F.lit('{"searchHits":[{"content":{"publishedId":"other"}},{"content":{"publishedId":"'), case, F.lit(' (PPU)","usualNameML":['), F.when(F.col("lang") == "de", '{"en":"Name"}').otherwise('{"cs":"Název"}'),
                    F.lit(']},"innerHits":{"document":{"searchHits":[{"content":{"docTypeCode":"'), "lang", F.lit('","celex":"1","contentML":'), texts, F.lit("}}]}}}]}"))
-    return FE.search_documents(t.documents.select(case.alias("c"), raw.alias("raw")), "c", "raw").select("case", "name", "kind", "text")
+    return FE.search_documents(t.heavy("documents").select(case.alias("c"), raw.alias("raw")), "c", "raw").select("case", "name", "kind", "text")
 
 
 def calendar_blocks(t: Tables):
@@ -256,7 +256,7 @@ def calendar_blocks(t: Tables):
     note = F.concat(F.lit("Řádek; první, č. "), "o_orderkey", F.lit("\nPoznámka "), F.repeat(F.lit("příliš žluťoučký kůň "), (F.col("o_custkey") % 4).cast("int")))
     starts = F.when(F.col("o_orderstatus") == "F", "").otherwise("9:30")
     last = F.when(F.col("o_custkey") % 3 == 0, F.date_add(day, (F.col("o_custkey") % 12).cast("int")))
-    events = t.orders.select(
+    events = t.heavy("orders").select(
         "o_orderkey", day.alias("day"), last.alias("last_day"), starts.alias("starts"), F.when(F.col("o_orderstatus") == "P", "11:00").otherwise("").alias("ends"),
         F.concat(F.lit("Akce, "), "o_custkey").alias("title"), F.when(F.col("o_orderstatus") == "O", "online").otherwise("Praha").alias("place"), note.alias("note"))
     return IC.with_event_block(events, "block", F.concat(F.lit("e"), "o_orderkey"), "20240101T000000Z", *[F.col(c) for c in (
@@ -290,7 +290,7 @@ def roster_lines(t: Tables):
     """Roster of each customer as numbered text lines: a header, then hearings of two or three lines."""
     first = F.concat(F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" 101 JUDr. Eva Nová "), F.col("o_custkey") % 20 + 1, F.lit(" Cmo "), "o_orderkey", F.lit("/"), F.year("o_orderdate"), F.lit(" 9:30 Firma"), "o_custkey")
     lines = F.array(F.lit("Datum síň"), first, F.lit("s.r.o."), F.concat(F.lit("Strana"), "o_orderkey", F.lit(" a.s.")), F.lit("12"))
-    return t.orders.select("o_custkey", "o_orderkey", F.posexplode(lines).alias("i", "line")).select(
+    return t.heavy("orders").select("o_custkey", "o_orderkey", F.posexplode(lines).alias("i", "line")).select(
         "o_custkey", (F.col("o_orderkey") * 10 + F.col("i")).alias("pos"), "line")
 
 
@@ -324,7 +324,7 @@ def order_files(t: Tables):
             yield pd.DataFrame({"path": b["o_orderkey"].astype(str), "content": [
                 word_file([["Datum", "Síň", "Předseda", "Značka", "Hodina", "Účastníci"],
                        [d, "5", "Jan  Soudce", m, "9:00 hod", f"Firma{c}\ns.r.o.\nBeta a.s."]]) for d, m, c in zip(b["d"], b["m"], b["o_custkey"])]})
-    src = t.orders.select("o_orderkey", F.date_format("o_orderdate", "d. M. yyyy").alias("d"),
+    src = t.heavy("orders").select("o_orderkey", F.date_format("o_orderdate", "d. M. yyyy").alias("d"),
                           F.concat(F.col("o_custkey") % 20 + 1, F.lit(" C "), "o_orderkey", F.lit("/"), F.year("o_orderdate")).alias("m"), "o_custkey")
     return src.mapInPandas(pack, "path string, content binary")
 
@@ -347,14 +347,14 @@ def cell_text(t):
 
 @query("x1_folded_text", "X1", sql="SELECT doc_id, md5(replace(lower(strip_accents(text)), 'ß', 'ss')) AS digest FROM documents")
 def folded_text(t):
-    return t.documents.select("doc_id", F.md5(T.fold(F.col("text"))).alias("digest"))
+    return t.heavy("documents").select("doc_id", F.md5(T.fold(F.col("text"))).alias("digest"))
 
 
 @query("x2_squeezed_text", "X2 X22", sql=r"""
 SELECT doc_id, CASE WHEN length(s) <= 300 THEN s ELSE substr(s, 1, 297) || '...' END AS note, md5(s) AS digest FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\p{Z}\v]+', ' ', 'g')) AS s FROM documents)""")
 def squeezed_text(t):
     s = T.squeeze(F.col("text"))
-    return t.documents.select("doc_id", T.shorten(s).alias("note"), F.md5(s).alias("digest"))
+    return t.heavy("documents").select("doc_id", T.shorten(s).alias("note"), F.md5(s).alias("digest"))
 
 
 @query("x3_case_marks", "X3 X26 O5", sql="""
@@ -364,7 +364,7 @@ SELECT o_orderkey, (o_custkey % 50 + 1) || 'nscr' || o_orderkey || '/' || year(o
 def case_marks(t):
     raw = F.concat(F.lit(" "), F.col("o_custkey") % 50 + 1, F.lit("  NSČR "), "o_orderkey", F.lit(" / "), F.year("o_orderdate"), F.when(F.col("o_orderstatus") == "P", "-  IV.").otherwise("/ "))
     k, p = M.mark_key(raw), M.mark_parts(raw)
-    return t.orders.select("o_orderkey", k["key"].alias("key"), k["part"].alias("part"), M.display_mark(raw).alias("shown"), p["senate"].alias("senate"), p["register"].alias("register"),
+    return t.heavy("orders").select("o_orderkey", k["key"].alias("key"), k["part"].alias("part"), M.display_mark(raw).alias("shown"), p["senate"].alias("senate"), p["register"].alias("register"),
                            M.senate_key(F.col("o_custkey") % 50 + 1, F.lit("eCm")).alias("senate_key"))
 
 
@@ -373,7 +373,7 @@ SELECT o_orderkey, 'C-' || o_orderkey || '/' || substr(CAST(year(o_orderdate) AS
 def eu_cases(t):
     short = F.substring(F.year("o_orderdate").cast("string"), 3, 2)
     mark = F.concat(F.lit("C-"), "o_orderkey", F.lit("/"), short)
-    return t.orders.select("o_orderkey", mark.alias("mark"), M.eu_notice(mark).alias("notice"))
+    return t.heavy("orders").select("o_orderkey", mark.alias("mark"), M.eu_notice(mark).alias("notice"))
 
 
 @query("x5_parsed_dates", "X5 X6 X7 X10", sql="""
@@ -383,7 +383,7 @@ def parsed_dates(t):
     d = F.col("l_shipdate")
     cz = F.concat(F.lit("dne "), F.date_format(d, "d. M. yyyy"), F.lit(" v 9:00"))
     local = D.to_business_clock(F.date_format(d, "yyyy-MM-dd'T'22:00:00'Z'"))
-    return t.lineitem.select(
+    return t.heavy("lineitem").select(
         "l_orderkey", "l_linenumber", day_text(D.any_date(cz)).alias("day"), D.czech_date_text(cz).alias("raw_day"),
         F.date_format(D.feed_time(F.concat(F.lit("Út, "), F.date_format(d, "d MMM yyyy"), F.lit(" 10:00:00 +0200"))), "yyyy-MM-dd HH:mm").alias("mailed"),
         F.concat_ws(" ", day_text(local["day"]), local["clock"]).alias("local_time"), D.clock(F.concat(F.lit("od "), "l_linenumber", F.lit(".05 hod"))).alias("clock"))
@@ -398,7 +398,7 @@ def periods(t):
     p = D.header_period(F.concat(F.lit("Přehled v období od "), F.date_format(d, "dd.MM.yyyy"), F.lit(" do "), F.date_format(end, "d. M. yyyy")))
     word = F.element_at(F.array(*[F.lit(m) for m in ("ledna", "února", "března", "dubna", "května", "června", "července", "srpna", "září", "října", "listopadu", "prosince")]), F.month(d))
     v = D.validity(F.concat(F.lit("Rozvrh práce, ÚPLNÉ ZNĚNÍ s účinností od "), F.dayofmonth(d), F.lit(". "), word, F.lit(" "), F.year(d)))
-    return t.orders.select("o_orderkey", day_text(F.coalesce(p["start"], F.when(F.col("o_custkey") % 5 == 0, d))).alias("start"), day_text(p["end"]).alias("stop"), v["label"].alias("validity"))
+    return t.heavy("orders").select("o_orderkey", day_text(F.coalesce(p["start"], F.when(F.col("o_custkey") % 5 == 0, d))).alias("start"), day_text(p["end"]).alias("stop"), v["label"].alias("validity"))
 
 
 @query("x11_event_attributes", "X11 X20 X21 F21 P5", sql="""
@@ -431,7 +431,7 @@ def legal_forms(t):
 @query("f20_scripts", "F20", sql=r"""
 SELECT doc_id, regexp_matches(regexp_replace(text, '[a-zA-ZáčďéěíňóřšťúůýžÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ]', '', 'g'), '\p{L}') AS foreign_letters, regexp_matches(text, '[\p{Latin}][\p{L}\p{N}_]*[\p{Greek}\p{Cyrillic}]|[\p{Greek}\p{Cyrillic}][\p{L}\p{N}_]*\p{Latin}') AS mixed FROM documents""")
 def scripts(t):
-    return t.documents.select("doc_id", T.foreign_letters(F.col("text")).alias("foreign_letters"), T.mixed_script(F.col("text")).alias("mixed"))
+    return t.heavy("documents").select("doc_id", T.foreign_letters(F.col("text")).alias("foreign_letters"), T.mixed_script(F.col("text")).alias("mixed"))
 
 
 @query("x17_party_labels", "X17 X18", sql="""
@@ -448,7 +448,7 @@ def party_labels(t):
 SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '10.1093/jip/' || page_id ELSE '' END AS doi, CASE WHEN page_id % 2 = 0 THEN '10.1093/jip/' || page_id ELSE regexp_replace(url, '[?#].*$', '') END AS article FROM pages""")
 def article_keys(t):
     doi = LK.doi_of(blank(), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://doi.org/10.1093/JIP/"), "page_id", F.lit("."))).otherwise(F.col("url")))
-    return t.pages.select("page_id", doi.alias("doi"), LK.article_key(doi, LK.without_query(F.col("url"))).alias("article"))
+    return t.heavy("pages").select("page_id", doi.alias("doi"), LK.article_key(doi, LK.without_query(F.col("url"))).alias("article"))
 
 
 @query("x24_loose_json", "X24 X25", sql="""
@@ -463,5 +463,5 @@ def loose_json(t):
 SELECT o_orderkey, 'https://infosoud.gov.cz/InfoSoud/detail-rizeni?typOrganizace=VSECHNY_KRAJE&druhOrganizace=MSPHAAB&cisloSenatu=' || (o_custkey % 30) || '&druhVeci=cm&bcVec=' || o_orderkey || '&rocnik=' || year(o_orderdate) AS url,
   sha1('MS|' || o_custkey || '|' || strftime(o_orderdate, '%Y-%m-%d') || '|9:00') AS uid FROM orders""")
 def case_links(t):
-    return t.orders.select("o_orderkey", M.case_link(F.lit("MSPHAAB"), F.col("o_custkey") % 30, F.lit("Cm"), F.col("o_orderkey"), F.year("o_orderdate")).alias("url"),
+    return t.heavy("orders").select("o_orderkey", M.case_link(F.lit("MSPHAAB"), F.col("o_custkey") % 30, F.lit("Cm"), F.col("o_orderkey"), F.year("o_orderdate")).alias("url"),
                            E.hearing_uid(F.lit("MS"), F.col("o_custkey").cast("string"), F.col("o_orderdate").cast("date"), F.lit("9:00")).alias("uid"))

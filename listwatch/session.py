@@ -40,6 +40,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before using this operator")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input for CPU-heavy parsing, split over all cores.
+
+    Only an input with fewer splits than cores is shuffled: it is small.  A large one has more
+    splits than cores already and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint that survives the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
