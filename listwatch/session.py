@@ -1,6 +1,7 @@
 """Session settings and the checkpoint folder every multi-pass operator relies on."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before using this operator")
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """New folder next to the checkpoints, which every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Input for CPU-heavy parsing, split over all cores.
 
