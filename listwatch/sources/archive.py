@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from listwatch.functions.dates import month_key
 from listwatch.functions.text import missing
 from listwatch.operators.report import fingerprint
+from listwatch.session import materialise
 
 MAX_DIRTY = 100_000
 
@@ -53,7 +54,8 @@ def upsert(spark: SparkSession, root: str, schema: T.StructType, rows: DataFrame
     files.  Returns the number of rewritten partitions.
     """
     index = read_index(spark, index_root)
-    routed = route(rows, index)
+    # The batch is read several times below, and the index it depends on is about to change.
+    routed = materialise(route(rows, index))
     # One pair per touched month: bounded by the number of partitions, not by the data.
     dirty = [(r["court"], r["month"]) for r in routed.select("court", "month").distinct().limit(MAX_DIRTY + 1).collect()]
     if len(dirty) > MAX_DIRTY:

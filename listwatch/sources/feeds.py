@@ -96,8 +96,8 @@ def _parts_date(*fields: Column) -> Column:
     for f in fields:
         p = F.get(f["date-parts"], F.lit(0))
         y, m, d = (F.get(p, F.lit(i)) for i in range(3))
-        days.append(F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(F.coalesce(m, F.lit(1)).cast("string"), 2, "0"),
-                                              F.lpad(F.coalesce(d, F.lit(1)).cast("string"), 2, "0")), "yyyy-MM-dd"))
+        days.append(F.when(y.isNotNull(), F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(F.coalesce(m, F.lit(1)).cast("string"), 2, "0"),
+                                              F.lpad(F.coalesce(d, F.lit(1)).cast("string"), 2, "0")), "yyyy-MM-dd")))
     return F.coalesce(*days)
 
 

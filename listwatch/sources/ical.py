@@ -34,7 +34,8 @@ def _moment(name: str, params: Column, value: Column) -> list[Column]:
     named = F.initcap(F.translate(F.regexp_extract(params, r"TZID=([^;:]+)", 1), "/_", "  "))
     area, city = F.substring_index(named, " ", 1), F.regexp_replace(named, r"^\S+\s", "")
     zone = F.when(named.contains(" "), F.concat(area, F.lit("/"), F.translate(city, " ", "_")))
-    wall = F.try_to_timestamp(F.regexp_extract(v, r"^(\d{8}T\d{4})\d{0,2}Z?$", 1), F.lit("yyyyMMdd'T'HHmm"))
+    stamp = r"^(\d{8}T\d{4})\d{0,2}Z?$"
+    wall = F.when(v.rlike(stamp), F.try_to_timestamp(F.regexp_extract(v, stamp, 1), F.lit("yyyyMMdd'T'HHmm")))
     return [is_date.alias(f"{name}_is_date"), wall.alias(f"{name}_wall"), v.endswith("Z").alias(f"{name}_utc"),
             zone.alias(f"{name}_zone"), F.substring(v, 1, 8).alias(f"{name}_text")]
 
