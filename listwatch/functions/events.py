@@ -55,8 +55,11 @@ def hearing_uid(court: Column, mark: Column, day: Column, clock: Column) -> Colu
     return F.sha1(F.concat_ws("|", court, mark, day.cast("string"), clock))
 
 
-def person_hash(name: Column, salt: str = "owl-osoby") -> Column:
-    """Salted hash under which a person's name is remembered; the name itself is not stored."""
+def person_hash(name: Column, salt: str = "person") -> Column:
+    """Salted hash under which a person's name is remembered; the name itself is not stored.
+
+    An existing cache is read with the salt it was written with.
+    """
     return F.sha2(F.concat(F.lit(salt + "|"), squeeze(name)), 256)
 
 

@@ -1,6 +1,6 @@
 """Differences between successive snapshots of a calendar, and merging a snapshot in."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from listwatch.functions.text import empty_array, missing
 from listwatch.operators.scan import HOT_ROWS, first_per_key, row_number_within
@@ -32,30 +32,35 @@ def snapshot_diff(old: DataFrame, new: DataFrame, listed: DataFrame, mark: list[
     or a new entry.  Rows kept on the same day are compared attribute by attribute.
     """
     key = [*mark, day]
-    gone = old.join(listed.select(*key).distinct(), key, "left_anti")
-    come = new.join(old.select(*key), key, "left_anti")
-    gone = row_number_within(gone.select(*key, *carried), mark, [F.col(day)], "_i", hot_rows)
-    come = row_number_within(come.select(*key), mark, [F.col(day)], "_i", hot_rows)
-    pairs = (gone.withColumnRenamed(day, "_from")
-             .join(come.withColumnRenamed(day, "_to"), [*mark, "_i"], "full_outer"))
+    kept = list(dict.fromkeys([*carried, *[a for a, _ in attributes]]))
+    value = F.struct(*[F.col(c).cast("string").alias(c) for c in kept])
+    nothing, no_row = F.lit(None).cast("string"), F.lit(None).cast(T.StructType([T.StructField(c, T.StringType()) for c in kept]))
+    # One aggregate over the three inputs says for each (mark, day) where it occurs and with what values.
+    tagged = (old.select(*key, value.alias("_o"), no_row.alias("_n"), F.lit(False).alias("_l"))
+              .unionByName(new.select(*key, no_row.alias("_o"), value.alias("_n"), F.lit(False).alias("_l")))
+              .unionByName(listed.select(*key, no_row.alias("_o"), no_row.alias("_n"), F.lit(True).alias("_l"))))
+    days = tagged.groupBy(*key).agg(F.max("_o").alias("_o"), F.max("_n").alias("_n"), F.bool_or("_l").alias("_l"))
+    in_old, in_new = F.col("_o").isNotNull(), F.col("_n").isNotNull()
+    side = F.when(in_old & ~F.col("_l"), "gone").when(in_new & ~in_old, "come")
+    loose = days.select(*key, side.alias("_side"), "_o").where(F.col("_side").isNotNull())
+    paired = row_number_within(loose, [*mark, "_side"], [F.col(day)], "_i", hot_rows)
+    gone, come = F.col("_side") == "gone", F.col("_side") == "come"
+    pairs = paired.groupBy(*mark, "_i").agg(
+        F.max(F.when(gone, F.col(day))).alias("_from"), F.max(F.when(come, F.col(day))).alias("_to"),
+        F.max(F.when(gone, F.col("_o"))).alias("_o"))
     moved, dropped = F.col("_from").isNotNull() & F.col("_to").isNotNull(), F.col("_to").isNull()
-    code = F.when(moved, "presun").when(dropped, "zruseno").otherwise("nove")
     moves = pairs.select(
-        *mark, code.alias("change"), F.coalesce("_to", "_from").alias(day),
-        F.when(moved, F.col("_from").cast("string")).alias("was"),
-        F.when(moved, F.col("_to").cast("string")).alias("becomes"),
-        *[F.when(dropped & ~missing(F.col(c)), F.col(c)).alias(c) for c in carried])
-    kept = old.alias("o").join(new.alias("n"), key)
-    nothing = F.lit(None).cast("string")
-    edits = [
-        kept.where(~missing(F.col(f"n.{a}")) & (F.coalesce(F.col(f"o.{a}"), F.lit("")) != F.col(f"n.{a}")))
-        .select(*mark, F.lit(c).alias("change"), day, F.coalesce(F.col(f"o.{a}"), F.lit("")).alias("was"),
-                F.col(f"n.{a}").alias("becomes"), *[nothing.alias(x) for x in carried])
-        for a, c in attributes]
-    out = moves
-    for e in edits:
-        out = out.unionByName(e)
-    return out.withColumn("wording", _wording(F.col("change")))
+        *mark, F.when(moved, "presun").when(dropped, "zruseno").otherwise("nove").alias("change"),
+        F.coalesce("_to", "_from").alias(day),
+        F.when(moved, F.col("_from").cast("string")).alias("was"), F.when(moved, F.col("_to").cast("string")).alias("becomes"),
+        *[F.when(dropped & ~missing(F.col(f"_o.{c}")), F.col(f"_o.{c}")).alias(c) for c in carried])
+    edits = F.array_compact(F.array(*[
+        F.when(~missing(F.col(f"_n.{a}")) & (F.coalesce(F.col(f"_o.{a}"), F.lit("")) != F.col(f"_n.{a}")), F.struct(
+            F.lit(code).alias("change"), F.coalesce(F.col(f"_o.{a}"), F.lit("")).alias("was"), F.col(f"_n.{a}").alias("becomes")))
+        for a, code in attributes]))
+    edited = days.where(in_old & in_new).select(*key, F.explode(edits).alias("_e")).select(
+        *mark, "_e.change", day, "_e.was", "_e.becomes", *[nothing.alias(c) for c in carried])
+    return moves.unionByName(edited).withColumn("wording", _wording(F.col("change")))
 
 
 def carry_over(new: DataFrame, archive: DataFrame, key: list[str], parties: str = "parties",

@@ -243,7 +243,7 @@ def redacted_parties(t):
 
 
 @query("j23_new_verdicts", "J23 T9 E4", sql="""
-SELECT CASE WHEN p THEN sha256('owl-osoby|' || c_name) ELSE c_name END AS key, CASE WHEN p THEN 'person' ELSE 'company' END AS verdict
+SELECT CASE WHEN p THEN sha256('person|' || c_name) ELSE c_name END AS key, CASE WHEN p THEN 'person' ELSE 'company' END AS verdict
 FROM (SELECT c_name, c_mktsegment = 'HOUSEHOLD' AS p FROM customer WHERE c_acctbal > 1000)""")
 def new_verdicts(t):
     asked = t.customer.select(F.col("c_name").alias("name"), "c_acctbal", "c_mktsegment")

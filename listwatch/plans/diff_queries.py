@@ -16,14 +16,15 @@ l AS (SELECT DISTINCT l_orderkey AS k, CAST(l_shipdate AS DATE) AS d FROM lineit
 
 
 def snapshots(t: Tables):
+    lines = t.heavy("lineitem")
     day = F.col("l_shipdate").cast("date").alias("day")
     mark = F.col("l_orderkey").alias("mark")
     late = F.col("l_linenumber") + F.when(F.col("l_quantity") > 25, 1).otherwise(0)
-    old = t.lineitem.where(F.col("l_returnflag").isin("A", "N")).groupBy(mark, day).agg(
+    old = lines.where(F.col("l_returnflag").isin("A", "N")).groupBy(mark, day).agg(
         F.min("l_linenumber").cast("string").alias("clock"), F.min("l_suppkey").cast("string").alias("room"))
-    new = t.lineitem.where(F.col("l_returnflag").isin("R", "N")).groupBy(mark, day).agg(
+    new = lines.where(F.col("l_returnflag").isin("R", "N")).groupBy(mark, day).agg(
         F.min(late).cast("string").alias("clock"), F.max("l_suppkey").cast("string").alias("room"))
-    listed = t.lineitem.where(F.col("l_returnflag").isin("R", "N") | (F.col("l_linestatus") == "O")).select(mark, day).distinct()
+    listed = lines.where(F.col("l_returnflag").isin("R", "N") | (F.col("l_linestatus") == "O")).select(mark, day).distinct()
     return old, new, listed
 
 
@@ -57,11 +58,12 @@ WHERE (s, k, d) NOT IN (SELECT s, k, d FROM n) AND NOT coalesce(complete AND d B
 UNION ALL SELECT s, k, strftime(d, '%Y-%m-%d'), clock FROM n WHERE rel""")
 def merge_snapshot(t):
     from listwatch.operators.calendar import derived_period
+    lines = t.heavy("lineitem")
     day = F.col("l_shipdate").cast("date").alias("day")
     key = [F.col("l_suppkey").alias("source"), F.col("l_orderkey").alias("mark"), day]
-    existing = t.lineitem.where(F.col("l_returnflag").isin("A", "N")).groupBy(*key).agg(
+    existing = lines.where(F.col("l_returnflag").isin("A", "N")).groupBy(*key).agg(
         F.min("l_linenumber").cast("string").alias("clock"))
-    listed = t.lineitem.where(F.col("l_returnflag") == "R").groupBy(*key).agg(
+    listed = lines.where(F.col("l_returnflag") == "R").groupBy(*key).agg(
         F.max("l_linenumber").cast("string").alias("clock"), F.bool_or(F.col("l_linestatus") == "O").alias("relevant"))
     periods = derived_period(listed, ["source"], "day").select(
         "source", F.date_add("start", 300).alias("start"), F.date_sub("end", 300).alias("end"),
