@@ -6,18 +6,19 @@ from listwatch.functions.events import person_hash
 from listwatch.functions.names import initials, party_label
 
 
-def verdict_of(names: DataFrame, name: str, persons: DataFrame, companies: DataFrame) -> DataFrame:
+def verdict_of(names: DataFrame, name: str, persons: DataFrame, companies: DataFrame, salt: str = "person") -> DataFrame:
     """Verdict per distinct name: person (by hash), company (by name), or NULL.
 
     ``persons(hash)`` and ``companies(name)`` hold valid cache entries only.
     """
-    known = names.select(name).distinct().withColumn("_h", person_hash(F.col(name)))
+    known = names.select(name).distinct().withColumn("_h", person_hash(F.col(name), salt))
     known = known.join(persons.select(F.col("hash").alias("_h")).distinct().withColumn("_p", F.lit(True)), "_h", "left")
     known = known.join(companies.select(F.col("name").alias(name)).distinct().withColumn("_c", F.lit(True)), name, "left")
     return known.select(name, F.when(F.col("_p"), "person").when(F.col("_c"), "company").alias("verdict"))
 
 
-def redact(rows: DataFrame, key: str, persons: DataFrame, companies: DataFrame, is_new: str = "is_new") -> DataFrame:
+def redact(rows: DataFrame, key: str, persons: DataFrame, companies: DataFrame, is_new: str = "is_new",
+           salt: str = "person") -> DataFrame:
     """Parties with persons reduced to initials and the case label built from the shown names.
 
     A new row with any undecided name loses all parties and its title.  The parties of a row are
@@ -25,7 +26,7 @@ def redact(rows: DataFrame, key: str, persons: DataFrame, companies: DataFrame,
     """
     listed = rows.select(key, F.posexplode("parties").alias("pos", "name"))
     shortable = listed.where(initials(F.col("name")) != F.col("name"))
-    verdicts = verdict_of(shortable, "name", persons, companies)
+    verdicts = verdict_of(shortable, "name", persons, companies, salt)
     judged = (listed.join(verdicts.withColumn("_asked", F.lit(True)), "name", "left")
               .withColumn("_unknown", F.col("_asked").isNotNull() & F.col("verdict").isNull())
               .withColumn("_shown", F.when(F.col("verdict") == "person", initials(F.col("name"))).otherwise(F.col("name"))))
@@ -44,7 +45,7 @@ def redact(rows: DataFrame, key: str, persons: DataFrame, companies: DataFrame,
         hide.alias("suppressed"))
 
 
-def new_verdicts(asked: DataFrame, answered_persons: DataFrame, decided: DataFrame) -> DataFrame:
+def new_verdicts(asked: DataFrame, answered_persons: DataFrame, decided: DataFrame, salt: str = "person") -> DataFrame:
     """Cache entries from a round of answers: persons as hashes only, companies by name.
 
     Names returned that were not asked about are dropped; undecided names are not stored.
@@ -52,5 +53,5 @@ def new_verdicts(asked: DataFrame, answered_persons: DataFrame, decided: DataFra
     known = asked.select("name").distinct().join(decided.select("name").distinct(), "name", "left_semi")
     flagged = known.join(answered_persons.select("name").distinct().withColumn("_p", F.lit(True)), "name", "left")
     is_person = F.coalesce("_p", F.lit(False))
-    return flagged.select(F.when(is_person, person_hash(F.col("name"))).otherwise(F.col("name")).alias("key"),
+    return flagged.select(F.when(is_person, person_hash(F.col("name"), salt)).otherwise(F.col("name")).alias("key"),
                           F.when(is_person, "person").otherwise("company").alias("verdict"))
