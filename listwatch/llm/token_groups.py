@@ -242,7 +242,8 @@ class JaccardJoin:
                 yield pd.DataFrame({"class_id": [class_id(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
 
         wanted = members.select(F.col("sample.k").alias("k"), F.col("sample.t").alias("t"))
-        rows = docs.withColumns({"k": id_key("id"), "t": text_key("text")}).join(wanted, ["k", "t"], "left_semi")
+        # A merge join at every size: candidates grow with the corpus, so they are never broadcast.
+        rows = docs.withColumns({"k": id_key("id"), "t": text_key("text")}).join(wanted.hint("shuffle_merge"), ["k", "t"], "left_semi")
         return rows.select("text").mapInPandas(tokenise, "class_id long, tokens array<long>").dropDuplicates(["class_id"])
 
     def _chunk(self, chunks: Column) -> Column:
