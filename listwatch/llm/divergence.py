@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from listwatch.llm.common import staged
 
 SPACE = r"\x20\x09-\x0D"
-#: Character classes; white space and what is in no class are counted besides.
-CLASSES = ("a-z", "A-Z", "0-9", r".,;:!?'\"()\-", "#*$%&|<>", r"^\x00-\x7F")
+#: Character classes; symbols, white space and the rest (lower-case letters mostly) are counted besides.
+CLASSES = ("A-Z", "0-9", r".,;:!?'\"()\-", r"^\x00-\x7F")
 #: The most frequent function words of a language.
 COMMON = {
     "en": ("the", "of", "and", "to", "in", "a", "is", "that", "it", "was", "for", "on", "are", "as", "with", "at", "be", "this",
@@ -29,29 +29,26 @@ COMMON = {
 }
 
 
-def repeat_words(words: Column, n: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the text.
+def with_repeat_words(rows: DataFrame) -> DataFrame:
+    """``n_repeat_words`` for ``words``: words inside 3-word windows that occur twice or more in the text.
 
     Every window is a number: the upper bits of its hash, the lower ones its place.  Sorted, equal
-    windows are neighbours.
+    windows are neighbours.  The steps are columns of their own, so none is evaluated per element.
     """
-    places = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n))) - 1
-    upper = lambda x: x.bitwiseAND(F.bitwise_not(places))
-    windows = F.transform(F.sequence(F.lit(0), n.cast("int") - 3), lambda i: upper(
-        F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))).bitwiseOR(i.cast("long")))
-    ordered = F.sort_array(windows)
-    return F.when(n < 3, F.lit(0)).otherwise(_covered(ordered, upper, places))
-
-
-def _covered(ordered: Column, upper, places: Column) -> Column:
-    # Each element next to its neighbours: the list, shifted by one either way.
-    none = F.array(F.lit(-1).cast("long"))
-    before = F.concat(none, F.slice(ordered, F.lit(1), F.size(ordered) - 1))
-    pairs = F.zip_with(ordered, before, lambda x, y: F.when(upper(x) == upper(y), F.array(y, x)))
-    starts = F.flatten(F.array_compact(pairs))
-    inside = F.flatten(F.transform(starts, lambda x: F.array(
-        x.bitwiseAND(places), x.bitwiseAND(places) + 1, x.bitwiseAND(places) + 2)))
-    return F.size(F.array_distinct(inside)).cast("long")
+    n, place_bits = F.size("words"), F.length(F.bin(F.size("words")))
+    rows = rows.withColumns({"_low": F.call_function("shiftleft", F.lit(1).cast("long"), place_bits) - 1})
+    rows = rows.withColumn("_high", F.bitwise_not("_low"))
+    windows = F.transform(F.slice("words", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(
+        w, F.get("words", i + 1), F.get("words", i + 2)).bitwiseAND(F.col("_high")).bitwiseOR(i.cast("long")))
+    rows = rows.withColumn("_windows", F.sort_array(windows))
+    upper = lambda x: x.bitwiseAND(F.col("_high"))
+    after = F.slice("_windows", 2, F.greatest(F.size("_windows"), F.lit(1)))
+    # Both of each two equal neighbours; the last element has none after it.
+    pairs = F.zip_with("_windows", after, lambda x, y: F.when(upper(x) == upper(y), F.array(x, y)))
+    rows = rows.withColumn("_pairs", F.filter(pairs, lambda p: p.isNotNull()))
+    inside = F.transform(F.flatten("_pairs"), lambda x: F.array(*[x.bitwiseAND(F.col("_low")) + k for k in range(3)]))
+    rows = rows.withColumn("n_repeat_words", F.size(F.array_distinct(F.flatten(inside))).cast("long"))
+    return rows.drop("_low", "_high", "_windows", "_pairs")
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -72,7 +69,7 @@ class Divergence:
     """
 
     class_limit: float = 0.30
-    word_limit: float = 0.45
+    word_limit: float = 0.30
     least_words: int = 100
     least_chars: int = 300
     least_docs: int = 20
@@ -84,26 +81,32 @@ class Divergence:
         """Counts and histograms of every row."""
         text = F.coalesce(F.col(self.text), F.lit(""))
         rows = docs.select(F.col(self.id).alias("id"), F.col(self.lang).alias("lang"), text.alias("text"))
-        rows = rows.withColumn("words", F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != "")).withColumn(
-            "lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
+        rows = rows.withColumns({"words": F.array_remove(F.split("text", f"[{SPACE}]+"), ""),
+                                 "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))})
+        rows = with_repeat_words(rows)
         common = sorted({w for words in COMMON.values() for w in words})
-        rows = rows.withColumn("known", F.filter("words", lambda w: w.isin(*common)))
+        known = F.array_join(F.filter("words", lambda w: w.isin(*common)), "  ")
+        rows = rows.withColumn("known", F.concat(F.lit(" "), known, F.lit(" ")))
         lists = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
         length = F.length("text")
         counts = [length - F.length(F.regexp_replace("text", f"[{c}]+", "")) for c in CLASSES]
+        # Every known word between two spaces of its own: what replacing one shortens the string by gives its count.
+        bytes_ = F.octet_length
+        counted = lambda c: ((bytes_("known") - bytes_(F.replace("known", F.concat(F.lit(" "), c, F.lit(" ")))))
+                             / (bytes_(c) + 2)).cast("int")
         rows = rows.select(
             "id", "lang", F.size("words").cast("long").alias("n_words"),
             F.length(F.regexp_replace("text", f"[{SPACE}]+", "")).cast("long").alias("word_chars"), length.alias("n_chars"),
             F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            repeat_words(F.col("words"), F.size("words")).cast("long").alias("n_repeat_words"),
-            F.array(*counts).alias("classes"),
-            F.transform(lists[F.col("lang")], lambda c: F.size(F.filter("known", lambda k: k == c))).alias("common"))
+            "n_repeat_words", F.array(*counts).alias("classes"),
+            F.transform(lists[F.col("lang")], counted).alias("common"))
         total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
         space = (F.col("n_chars") - F.col("word_chars")).cast("int")
         rows = rows.withColumns({
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-            "classes": F.concat("classes", F.array(space, F.col("n_chars") - space - total(F.col("classes")))),
+            "classes": F.concat("classes", F.array(F.col("n_symbols").cast("int"), space,
+                                                   F.col("n_chars") - space - F.col("n_symbols").cast("int") - total(F.col("classes")))),
             "common": F.concat("common", F.array(F.col("n_words").cast("int") - total(F.col("common"))))})
         shares = lambda a, n: F.transform(a, lambda x: x / F.greatest(n, F.lit(1)))
         return rows.withColumns({"classes": shares(F.col("classes"), F.col("n_chars")),
@@ -111,7 +114,7 @@ class Divergence:
 
     def references(self, measured: DataFrame) -> DataFrame:
         """lang, ref_classes, ref_common: mean shares of the documents that pass the base rules."""
-        bins = len(CLASSES) + 2, max(map(len, COMMON.values())) + 1
+        bins = len(CLASSES) + 3, max(map(len, COMMON.values())) + 1
         sound = measured.where(~F.col("base_failed") & F.col("common").isNotNull())
         means = [[F.avg(F.get(a, F.lit(i))).alias(f"{a}{i}") for i in range(n)] for a, n in zip(("classes", "common"), bins)]
         refs = sound.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *means[0], *means[1]).where(F.col("n") >= self.least_docs)

@@ -84,7 +84,8 @@ def tree_events(source: str) -> Iterator[Event]:
         if not tag:
             continue
         if found[1]:
-            n = reach({tag}, set() if tag in SCOPE else SCOPE if counts.get("td") or counts.get("th") else set())
+            # An inline element that a block was opened in stays open: its end tag ends no block.
+            n = reach({tag}, set() if tag in SCOPE else SCOPE if tag in BLOCKS else BLOCKS | SCOPE)
             for _ in range(n):
                 yield end()
             if not n and tag in ("p", "br"):

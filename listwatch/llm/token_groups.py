@@ -183,8 +183,8 @@ class JaccardJoin:
         """
         found = self.components(docs)
         chosen = (found.where("n_shingles > 0")
-                  .groupBy("component_id").agg(F.min(F.struct(F.col(self.id).isNull(), id_key(self.id).alias("k"),
-                                                              F.col("text_key").alias("t"))).alias("s")))
+                  .groupBy("component_id").agg(F.min(F.struct(F.col(self.id).isNull(), F.col(self.id).alias("i"),
+                                                              id_key(self.id).alias("k"), F.col("text_key").alias("t"))).alias("s")))
         # A component of nameless rows has no id; each class of it stays then.
         nameless = found.where(F.col("n_shingles") > 0).where(F.col("component_id").isNull())
         kept = (chosen.where("component_id is not null").select("s.k", "s.t")

@@ -74,7 +74,7 @@ class ToxicityTrainer:
     example the model has no features and finds nothing toxic.
     """
 
-    sample: int = 12_000
+    sample: int = 8_000
     width: int = 20_000
     least: int = 4
     epochs: int = 60
@@ -91,30 +91,35 @@ class ToxicityTrainer:
                  .where((fold_of("id") != 0) & F.col("label").isNotNull()).groupBy("id").agg(F.max("label").alias("label")))
         known, toxic = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
         if not toxic:
-            return Model(np.empty(0, np.int64), np.empty(0), -20.0)
+            return Model(np.empty(0, np.uint32), np.empty(0), -20.0)
         # Both samples are bounded: a share of the ids, by hash, that gives `sample` rows.
         wanted = marks.where("label = 1").where(self._share(toxic)).select("id")
-        positive = self._collect(rows.join(F.broadcast(wanted), "id", "left_semi"))
-        total = rows.count()
-        unlabelled = self._collect(rows.where(self._share(total)))
-        return self._train(positive, unlabelled, toxic / known)
+        positive = self._collect(rows.join(F.broadcast(wanted), "id", "left_semi"), None)
+        pos, n = np.unique(np.concatenate(positive), return_counts=True)
+        pos = pos[n >= self.least]
+        unlabelled = self._collect(rows.where(self._share(rows.count())), pos)
+        return self._train([d[np.isin(d, pos)] for d in positive], unlabelled, toxic / known)
 
     def _share(self, rows: int) -> Column:
         return F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < int(min(1.0, self.sample / max(1, rows)) * (1 << 30))
 
-    def _collect(self, rows: DataFrame) -> list[np.ndarray]:
+    def _collect(self, rows: DataFrame, wanted: np.ndarray | None) -> list[np.ndarray]:
+        """Features of the sampled documents (only the ``wanted`` ones), four bytes each."""
         def featurise(batches):
             for pdf in batches:
-                yield pd.DataFrame({"id": pdf["id"], "f": [document_features(t) for t in pdf["text"]]})
+                found = [np.array(document_features(t), np.uint32) for t in pdf["text"]]
+                if wanted is not None:
+                    found = [f[np.isin(f, wanted)] for f in found]
+                yield pd.DataFrame({"f": [f.tobytes() for f in found]})
 
-        found = rows.mapInPandas(featurise, f"id {rows.schema['id'].dataType.simpleString()}, f array<long>")
-        return [np.array(r["f"], np.int64) for r in found.orderBy("id", F.hash("f")).collect()]
+        # Sorted, so that the order of the rows does not reach the training.
+        found = sorted(r["f"] for r in rows.mapInPandas(featurise, "f binary").collect())
+        return [np.frombuffer(f, np.uint32) for f in found]
 
     def _train(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
         # Features that toxic documents have clearly more often than the unlabelled text.
         pos, n_pos = np.unique(np.concatenate(positive), return_counts=True)
-        pos, n_pos = pos[n_pos >= self.least], n_pos[n_pos >= self.least]
-        un, n_un = np.unique(np.concatenate([*unlabelled, np.empty(0, np.int64)]), return_counts=True)
+        un, n_un = np.unique(np.concatenate([*unlabelled, np.empty(0, np.uint32)]), return_counts=True)
         at = np.minimum(np.searchsorted(un, pos), max(0, len(un) - 1))
         seen = np.where(un[at] == pos, n_un[at], 0) if len(un) else np.zeros(len(pos))
         lift = (n_pos / len(positive)) / ((seen + 1) / (len(unlabelled) + 1))

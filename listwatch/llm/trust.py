@@ -5,8 +5,9 @@ Trust flows from hosts that the rules allow along the links between hosts (perso
 distrust flows from hosts that they block against the links, to whoever links there.  A host is
 blocked when its distrust reaches a threshold and exceeds its trust.
 
-Seeds are shares: a host of which a rule covers every tenth page is a tenth of a seed.  A host without
-links in the direction of flow keeps what it has, so without links scores are the seeds.
+Seeds are shares: a host of which a rule covers every tenth page is a tenth of a seed.  Scores are those
+of PageRank divided by (1 - damping): seed + damping * (what flows in).  A full seed has at least 1, and
+without links scores are the seeds.
 """
 
 from dataclasses import dataclass
@@ -101,16 +102,13 @@ class TrustFilter:
         sums = flows.groupBy("kind", "host").agg(F.sum("weight").alias("all"))
         flows = staged(flows.join(sums, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("all")).alias("share")),
                        "flows")
-        ends = sums.select("kind", "host", F.lit(True).alias("flows"))
-        state = staged(seeds.join(ends, ["kind", "host"], "left").select(
-            "kind", "host", "seed", F.coalesce("flows", F.lit(False)).alias("flows"), F.col("seed").alias("score")), "state")
+        state = staged(seeds.withColumn("score", F.col("seed")), "state")
         for _ in range(self.rounds):
             received = (flows.join(state.select("kind", "host", "score"), ["kind", "host"])
                         .groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("in")))
-            kept = F.when(F.col("flows"), F.lit(0.0)).otherwise(F.col("score"))
-            new = (1 - self.damping) * F.col("seed") + self.damping * (F.coalesce("in", F.lit(0.0)) + kept)
+            new = F.col("seed") + self.damping * F.coalesce("in", F.lit(0.0))
             state = state.join(received, ["kind", "host"], "left").select(
-                "kind", "host", "seed", "flows", F.col("score").alias("old"), new.alias("score"))
+                "kind", "host", "seed", F.col("score").alias("old"), new.alias("score"))
             state = staged(state, "state")
             change = state.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
             if change is None or change <= self.tolerance:
