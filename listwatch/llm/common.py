@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from listwatch.session import materialise, scratch_dir
 
 #: Entries after which a worker forgets its words and starts anew: bounds its memory, changes no result.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 17
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

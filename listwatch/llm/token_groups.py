@@ -49,7 +49,9 @@ class Segments:
 
     Sizes fall into steps of ratio 100 / percent, so partners are at most one step apart and both
     use the layout of the larger one's step.  A step has d + 1 + spare segments, so partners agree
-    on more than ``spare``.  A set with at most ``spare`` empty segments therefore leaves those out.
+    on more than ``spare``.  A set with at most ``spare`` empty segments therefore leaves those out, and
+    shares at least spare + 1 less its empty ones: a single segment in common, as a frequent shingle
+    gives, is not enough.
     """
 
     def __init__(self, percent: int):
@@ -61,8 +63,9 @@ class Segments:
             self.starts.append(self.starts[-1] * 100 // self.percent + 1)
         return int(np.searchsorted(self.starts, n, "right")) - 1
 
-    def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        n, found = len(tokens), []
+    def __call__(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
+        """The digests, and how many of them a partner holds at least."""
+        n, found, need = len(tokens), [], []
         scrambled = mix(tokens)
         own = self._step(n)
         for step in range(own, self._step(n * 100 // self.percent) + 1):
@@ -78,8 +81,10 @@ class Segments:
             np.add.at(sums, at, scrambled)
             filled = np.bincount(at, minlength=count) > 0
             digests = mix(sums + mix(np.arange(count, dtype=np.uint64) + np.uint64(step << 32)))
-            found.append(digests[filled] if count - filled.sum() <= spare else digests)
-        return np.concatenate(found) if found else np.empty(0, np.uint64)
+            empty = int(count - filled.sum())
+            found.append(digests[filled] if empty <= spare else digests)
+            need.append(max(1, spare + 1 - empty))
+        return (np.concatenate(found), min(need)) if found else (np.empty(0, np.uint64), 1)
 
 
 class _Merged:
@@ -209,28 +214,31 @@ class JaccardJoin:
             measure, f"id {kind}, text_key long, n long, class_id long")
 
     def _shared_segments(self, docs: DataFrame) -> DataFrame:
-        """(segment, class_id, holders) for the segments that two or more classes hold."""
+        """(segment, class_id, need, holders) for the segments that two or more classes hold."""
         words, percent = self.words, self.percent
 
         def cut(batches):
             segments, done = Segments(percent), set()
             for pdf in batches:
-                out, ids = [], []
+                out, ids, needs = [], [], []
                 for text in pdf["text"]:
                     tokens = shingle_set(text, words)
                     # Copies within a task are sent once: a hot class costs one set of rows per task.
                     if len(tokens) and (c := class_id(tokens)) not in done:
                         done.add(c)
-                        out.append(segments(tokens))
-                        ids.append(np.full(len(out[-1]), c, np.int64))
+                        digests, need = segments(tokens)
+                        out.append(digests)
+                        ids.append(np.full(len(digests), c, np.int64))
+                        needs.append(np.full(len(digests), need, np.int16))
                 if out:
-                    yield pd.DataFrame({"segment": np.concatenate(out).view(np.int64), "class_id": np.concatenate(ids)})
+                    yield pd.DataFrame({"segment": np.concatenate(out).view(np.int64), "class_id": np.concatenate(ids),
+                                        "need": np.concatenate(needs)})
 
-        rows = docs.select("text").mapInPandas(cut, "segment long, class_id long")
+        rows = docs.select("text").mapInPandas(cut, "segment long, class_id long, need short")
         same = W.partitionBy("segment")
         return (rows.withColumns({"lo": F.min("class_id").over(same), "hi": F.max("class_id").over(same),
                                   "holders": F.count(F.lit(1)).over(same)})
-                .where("lo < hi").select("segment", "class_id", "holders").distinct())
+                .where("lo < hi").groupBy("segment", "class_id").agg(F.min("need").alias("need"), F.first("holders").alias("holders")))
 
     def _tokens(self, docs: DataFrame, members: DataFrame) -> DataFrame:
         """(class_id, tokens) of the member classes, from one text of each."""
@@ -252,19 +260,22 @@ class JaccardJoin:
     def _links(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """(class_id, root) rows that span all links between different classes."""
         shared = staged(self._shared_segments(docs), "segments")
-        home = shared.groupBy("class_id").agg(F.max(F.struct("holders", "segment"))["segment"].alias("home"))
-        members = classes.join(home, "class_id").select("class_id", "n", "sample", "home")
+        home = shared.groupBy("class_id").agg(F.max(F.struct("holders", "segment"))["segment"].alias("home"),
+                                              F.count(F.lit(1)).alias("held"), F.min("need").alias("need")).where("held >= need")
+        members = classes.join(home, "class_id").select("class_id", "n", "sample", "home", "need")
         chunks = members.groupBy("home").agg(F.ceil(F.sum("n") / self.block_tokens).alias("chunks"))
         members = staged(members.join(chunks, "home").select(
-            "class_id", "n", "sample", F.xxhash64("home", self._chunk(F.col("chunks"))).alias("block")), "members")
+            "class_id", "n", "sample", "need", F.xxhash64("home", self._chunk(F.col("chunks"))).alias("block")), "members")
         tokens = staged(self._tokens(docs, members), "tokens")
 
         # Each two blocks that share a segment meet once: classes of the lower block visit the higher one.
-        held = shared.select("segment", "class_id").join(members.select("class_id", "n", "block"), "class_id")
+        held = shared.select("segment", "class_id").join(members.select("class_id", "n", "need", "block"), "class_id")
         across = held.groupBy("segment").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi")
         held = staged(held.join(across.select("segment"), "segment", "left_semi"), "held")
         target = held.select("segment", F.col("block").alias("to")).distinct()
-        visits = (held.join(target, "segment").where("block < to").select("class_id", "n", F.col("to").alias("block")).distinct())
+        # The bound on the overlap with a whole block: too few common segments, no partner in it.
+        visits = (held.join(target, "segment").where("block < to").groupBy("class_id", "n", "need", F.col("to").alias("block"))
+                  .agg(F.count(F.lit(1)).alias("common")).where("common >= need").select("class_id", "n", "block"))
         visits = staged(visits, "visits")
         load = visits.groupBy("block").agg(F.ceil(F.sum("n") / self.block_tokens).alias("parts"))
         guests = visits.join(load, "block").select(

@@ -32,7 +32,7 @@ class Features(dict):
     """Feature numbers of a word, remembered per worker process: hashes of the word and of two beginnings."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_WORDS // 4:
+        if len(self) >= CACHE_WORDS // 2:
             self.clear()
         core = word.strip(MARKS)
         names = {f"4{core[:4]}", f"5{core[:5]}", f"w{core}"} if len(core) > 3 else {f"w{core}"} if core else ()
@@ -50,6 +50,12 @@ def document_features(text: str | None) -> list[int]:
     return sorted(found)
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    at = np.searchsorted(known, values)
+    return known[np.minimum(at, len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights of the features that the model knows, by feature number in ascending order."""
@@ -98,7 +104,7 @@ class ToxicityTrainer:
         pos, n = np.unique(np.concatenate(positive), return_counts=True)
         pos = pos[n >= self.least]
         unlabelled = self._collect(rows.where(self._share(rows.count())), pos)
-        return self._train([d[np.isin(d, pos)] for d in positive], unlabelled, toxic / known)
+        return self._train([d[among(d, pos)] for d in positive], unlabelled, toxic / known)
 
     def _share(self, rows: int) -> Column:
         return F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < int(min(1.0, self.sample / max(1, rows)) * (1 << 30))
@@ -109,7 +115,7 @@ class ToxicityTrainer:
             for pdf in batches:
                 found = [np.array(document_features(t), np.uint32) for t in pdf["text"]]
                 if wanted is not None:
-                    found = [f[np.isin(f, wanted)] for f in found]
+                    found = [f[among(f, wanted)] for f in found]
                 yield pd.DataFrame({"f": [f.tobytes() for f in found]})
 
         # Sorted, so that the order of the rows does not reach the training.
@@ -130,7 +136,7 @@ class ToxicityTrainer:
             return Model(known, np.empty(0), -20.0)
 
         def rows_of(docs):
-            inside = [np.searchsorted(known, d[np.isin(d, known)]) for d in docs]
+            inside = [np.searchsorted(known, d[among(d, known)]) for d in docs]
             return inside, np.array([len(x) for x in inside])
 
         (p_rows, p_len), (u_rows, u_len) = rows_of(positive), rows_of(unlabelled)
@@ -150,7 +156,7 @@ class ToxicityTrainer:
 
         # An epoch is a pass over the unlabelled text, at least ten steps.
         steps = self.epochs * max(10, -(-len(u_rows) // self.batch))
-        for step in range(1, min(steps, 3000) + 1):
+        for step in range(1, min(steps, 600) + 1):
             p_pick = rng.integers(0, len(p_rows), min(self.batch, len(p_rows)))
             _, g_toxic = gradient(p_rows, p_len, p_pick, 1.0)
             l_not, g_not = gradient(p_rows, p_len, p_pick, -1.0)
