@@ -50,10 +50,12 @@ def month_section(shown: Column, window_first: Column, today: Column) -> Column:
 
 def month_sections(items: DataFrame, shown: str, window_first: Column, today: Column) -> DataFrame:
     """Count per month of the window, empty months included (at most twelve)."""
+    # Items older than the oldest month shown count there.
+    first = F.greatest(F.trunc(window_first, "MM"), F.add_months(F.trunc(today, "MM"), -11))
     months = items.sparkSession.range(1).select(F.explode(F.sequence(
-        F.greatest(F.trunc(window_first, "MM"), F.add_months(F.trunc(today, "MM"), -11)), F.trunc(today, "MM"),
+        first, F.trunc(today, "MM"),
         F.expr("INTERVAL 1 MONTH"))).alias("_m")).select(F.date_format("_m", "yyyy-MM").alias("month"))
-    counts = items.groupBy(month_section(F.col(shown), window_first, today).alias("month")).agg(
+    counts = items.groupBy(month_section(F.col(shown), first, today).alias("month")).agg(
         F.count(F.lit(1)).alias("items"))
     return months.join(counts, "month", "left").withColumn("items", F.coalesce("items", F.lit(0)))
 

@@ -67,11 +67,14 @@ def squeeze_text(s: str) -> str:
 
 def statute_numbers(texts: Column) -> Column:
     """Distinct statute numbers (``121/2000``) cited in an array of texts, in order."""
-    whole = F.array_join(F.coalesce(texts, F.array().cast("array<string>")), "\n")
-    number = F.regexp_extract_all(whole, F.lit(STATUTE), F.lit(1))
-    year = F.regexp_extract_all(whole, F.lit(STATUTE), F.lit(2))
-    return F.array_distinct(F.zip_with(
-        number, year, lambda n, y: F.concat(n.cast("int").cast("string"), F.lit("/"), y)))
+    def cited(text: Column) -> Column:
+        number = F.regexp_extract_all(text, F.lit(STATUTE), F.lit(1))
+        year = F.regexp_extract_all(text, F.lit(STATUTE), F.lit(2))
+        return F.zip_with(number, year, lambda n, y: F.concat(n.cast("int").cast("string"), F.lit("/"), y))
+
+    # Text by text: a number at the end of one and a year in the next are no citation.
+    each = F.array_compact(F.coalesce(texts, F.array().cast("array<string>")))
+    return F.array_distinct(F.flatten(F.transform(each, cited)))
 
 
 def contains_join(items: DataFrame, dim: DataFrame, key: str, text: str) -> DataFrame:

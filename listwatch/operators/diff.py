@@ -85,10 +85,12 @@ def merge_snapshot(existing: DataFrame, listed: DataFrame, periods: DataFrame, s
     """
     key = [*source, mark, day]
     kept = existing.join(listed.select(*key).distinct(), key, "left_anti")
-    covers = periods.select(*source, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("complete").alias("_c"))
-    kept = kept.join(covers, source, "left")
-    covered = F.col("_c") & F.col(day).between(F.col("_s"), F.col("_e"))
-    kept = kept.where(~F.coalesce(covered, F.lit(False))).select(*existing.columns)
+    covers = periods.where("complete").select(*[F.col(c).alias(f"_{c}") for c in source], F.col("start").alias("_s"), F.col("end").alias("_e"))
+    same = F.col(day).between(F.col("_s"), F.col("_e"))
+    for c in source:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    # An anti-join: several snapshots of a source neither repeat a row nor bring one back.
+    kept = kept.join(covers, same, "left_anti").select(*existing.columns)
     return kept.unionByName(listed.where(F.col(relevant)).select(*existing.columns))
 
 

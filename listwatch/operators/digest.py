@@ -43,16 +43,16 @@ def prompt_line(label: Column, tag: Column, day: Column, title: Column, heading:
     return F.concat(head, F.when(~missing(summary), F.concat(F.lit("\n   "), summary)).otherwise(""))
 
 
-def prompt_input(numbered: DataFrame, line: Column) -> DataFrame:
+def prompt_input(numbered: DataFrame, line: Column, cap: int = MAX_ITEMS) -> DataFrame:
     """One row with the whole numbered list; its length is bounded by the digest cap."""
-    pairs = numbered.where(F.col("number") <= MAX_ITEMS).agg(F.array_sort(F.collect_list(F.struct("number", line.alias("l")))).alias("p"))
+    pairs = numbered.where(F.col("number") <= cap).agg(F.array_sort(F.collect_list(F.struct("number", line.alias("l")))).alias("p"))
     return pairs.select(F.array_join(F.transform("p", lambda x: x["l"]), "\n").alias("input"))
 
 
-def input_fingerprint(numbered: DataFrame, guid: str, summary: str) -> DataFrame:
+def input_fingerprint(numbered: DataFrame, guid: str, summary: str, cap: int = MAX_ITEMS) -> DataFrame:
     """Ordered, versioned hash of the digest input; bounded by the digest cap."""
     line = F.concat(F.col(guid), F.lit("|"), F.col(summary), F.lit("\n"))
-    pairs = numbered.where(F.col("number") <= MAX_ITEMS).agg(F.array_sort(F.collect_list(F.struct("number", line.alias("l")))).alias("p"))
+    pairs = numbered.where(F.col("number") <= cap).agg(F.array_sort(F.collect_list(F.struct("number", line.alias("l")))).alias("p"))
     text = F.concat(F.lit(f"v{FORMAT_VERSION}\n"), F.array_join(F.transform("p", lambda x: x["l"]), ""))
     return pairs.select(F.sha2(text, 256).alias("fingerprint"))
 

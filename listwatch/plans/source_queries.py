@@ -218,25 +218,25 @@ def works(t):
 
 
 @query("s7_query_bindings", "S7 X4 F13", sql="""
-SELECT '6' || year(o_orderdate) || 'CJ' || lpad(CAST(o_custkey AS VARCHAR), 4, '0') AS celex, 'C-' || o_custkey || '/' || substr(CAST(year(o_orderdate) AS VARCHAR), 3, 2) AS mark,
-  CASE WHEN min(o_orderkey) % 2 = 0 THEN 'rozsudek' ELSE 'usnesení' END AS kind FROM orders WHERE o_orderstatus <> 'P' AND o_custkey < 10000 GROUP BY o_custkey, year(o_orderdate)""")
+SELECT '6' || (1990 + o_custkey // 10000) || 'CJ' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS celex, 'C-' || o_custkey % 10000 || '/' || substr(CAST(1990 + o_custkey // 10000 AS VARCHAR), 3, 2) AS mark,
+  CASE WHEN min(o_orderkey) % 2 = 0 THEN 'rozsudek' ELSE 'usnesení' END AS kind FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey""")
 def query_bindings(t):
-    celex = F.concat(F.lit("6"), F.year("o_orderdate"), F.lit("CJ"), F.lpad(F.col("o_custkey").cast("string"), 4, "0"))
+    celex = F.concat(F.lit("6"), F.expr("1990 + o_custkey div 10000"), F.lit("CJ"), F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0"))
     kind = F.when(F.col("o_orderstatus") == "P", "REPORT").when(F.col("o_orderkey") % 2 == 0, "JUDG").otherwise("ORDER")
     raw = F.concat(F.lit('{"results":{"bindings":[{"celex":{"type":"x","value":"'), celex, F.lit('"},"typ":{"value":"http://t/'), kind, F.lit('"}}]}}'))
-    rows = FE.bindings(t.heavy("orders").where(F.col("o_custkey") < 10000).select("o_orderkey", raw.alias("raw")), ["o_orderkey"], "raw").withColumn("pos", F.col("o_orderkey"))
+    rows = FE.bindings(t.heavy("orders").select("o_orderkey", raw.alias("raw")), ["o_orderkey"], "raw").withColumn("pos", F.col("o_orderkey"))
     return FE.decision_bindings(rows).select("celex", "mark", "kind")
 
 
 @query("s7_notice_bindings", "S7 F13", sql="""
-SELECT '62026CN' || lpad(CAST(o_orderkey AS VARCHAR), 4, '0') AS celex, 'Firma' || o_custkey AS parties, 'Soud ' || o_orderstatus AS referring_court, strftime(o_orderdate, '%Y-%m-%d') AS filed FROM orders
-WHERE o_orderkey < 10000 AND o_orderpriority <> '5-LOW'""")
+SELECT '6' || (1990 + o_orderkey // 10000) || 'CN' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS celex, 'Firma' || o_custkey AS parties, 'Soud ' || o_orderstatus AS referring_court, strftime(o_orderdate, '%Y-%m-%d') AS filed FROM orders
+WHERE o_orderpriority <> '5-LOW'""")
 def notice_bindings(t):
-    celex = F.concat(F.lit("62026CN"), F.lpad(F.col("o_orderkey").cast("string"), 4, "0"))
+    celex = F.concat(F.lit("6"), F.expr("1990 + o_orderkey div 10000"), F.lit("CN"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"))
     title = F.when(F.col("o_orderpriority") == "5-LOW", "Žaloba").otherwise(F.concat(
         F.lit("Věc C-1/26, Firma"), "o_custkey", F.lit(": Žádost o rozhodnutí o předběžné otázce, kterou podal Soud "), "o_orderstatus", F.lit(" dne 1. ledna")))
     raw = F.concat(F.lit('{"results":{"bindings":[{"celex":{"value":"'), celex, F.lit('"},"nazev_cs":{"value":"'), title, F.lit('"},"podano":{"value":"'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('"}}]}}'))
-    rows = FE.bindings(t.heavy("orders").where(F.col("o_orderkey") < 10000).select("o_orderkey", raw.alias("raw")), ["o_orderkey"], "raw").withColumn("pos", F.col("o_orderkey"))
+    rows = FE.bindings(t.heavy("orders").select("o_orderkey", raw.alias("raw")), ["o_orderkey"], "raw").withColumn("pos", F.col("o_orderkey"))
     return FE.notice_bindings(rows).select("celex", "parties", "referring_court", "filed")
 
 

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Texts may be long: a batch for Python holds few of them.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # Top-k per group cuts every map task to k rows before the shuffle, up to this k.
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
@@ -35,7 +37,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
+    elif sc.master.split("[")[0] == "local":
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="listwatch-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before using this operator")

@@ -115,7 +115,10 @@ def outage_job(state: EpochTable) -> Callable[[DataFrame, int], None]:
         spark = checks.sparkSession
         before = current(state.before(spark, epoch), "source").select(
             "source", F.col("last_ok").alias("_ok"), F.col("down_since").alias("_down"))
-        now = S.outage_status(checks, "source", "at", "ok")
+        # A check that comes late, from before the last known success, says nothing new.
+        known = before.select(F.col("source").alias("_source"), F.col("_ok").alias("_last"))
+        late = (F.col("source") == F.col("_source")) & (F.col("at") <= F.col("_last"))
+        now = S.outage_status(checks.join(known, late, "left_anti"), "source", "at", "ok")
         both = now.join(before, "source", "left")
         ok = F.greatest("last_ok", "_ok")
         carried = F.col("last_ok").isNull() & F.col("_down").isNotNull()
