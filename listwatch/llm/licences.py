@@ -6,8 +6,8 @@ corpus's own paragraphs as the unknown class.  Temperature and the probability t
 are calibrated on held-out variations and paragraphs.  A prediction stands only when the paragraph
 shares enough word pairs with a notice of that family.
 
-Paragraphs are lines.  Only n-grams of the notices have weights; a paragraph without any of their word
-pairs cannot be confirmed, so it is unknown without being scored.
+Paragraphs are lines.  Only n-grams of the notices have weights; a paragraph that shares too few word
+pairs with every notice could not be confirmed, so it is unknown without being scored.
 """
 
 import re
@@ -58,20 +58,55 @@ def notice_words(paragraph: str) -> list[bytes]:
     return [w for x in SPLIT.split(paragraph.encode().lower()) if (w := x.strip(b".-"))]
 
 
+def longer(shorter: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams with one more word, from those of n words and of single words."""
+    return mix(shorter[:-1] + np.uint64(n)) + words[n:] if len(words) > n else np.empty(0, np.uint64)
+
+
+def word_pairs(words: list[bytes]) -> np.ndarray:
+    """Hashes of the 2-grams, in order."""
+    h = word_hashes(words)
+    return longer(h, h, 1)
+
+
 def grams(words: list[bytes]) -> list[np.ndarray]:
     """Hashes of the 1-, 2- and 3-grams, each in order."""
-    out = [word_hashes(words)]
-    for n in (1, 2):
-        h = out[0]
-        out.append(mix(out[-1][:-1] + np.uint64(n)) + h[n:] if len(h) > n else np.empty(0, np.uint64))
-    return out
+    h = word_hashes(words)
+    pairs = longer(h, h, 1)
+    return [h, pairs, longer(pairs, h, 2)]
+
+
+class Templates:
+    """The word pairs of every notice, as a table (pair x notice)."""
+
+    def __init__(self, notices: list[list[list[bytes]]]):
+        sets = [np.unique(word_pairs(n)) for family in notices for n in family]
+        self.family = np.array([f for f, family in enumerate(notices) for _ in family])
+        self.sizes = np.array([len(s) for s in sets])
+        self.pairs = np.unique(np.concatenate(sets))
+        self.holds = np.stack([np.isin(self.pairs, s) for s in sets], axis=1)
+
+    def at(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs in the table, and which of them are in it."""
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return at, self.pairs[at] == pairs
+
+    def shares(self, pairs: np.ndarray) -> np.ndarray:
+        """Per notice the share of word pairs common to it and the paragraph (of the smaller of both)."""
+        own = np.unique(pairs)
+        at, known = self.at(own)
+        return self.holds[at[known]].sum(axis=0) / np.maximum(1, np.minimum(len(own), self.sizes))
+
+    def overlap(self, family: int, pairs: np.ndarray) -> float:
+        """The best share among the notices of the family."""
+        return float(self.shares(pairs)[self.family == family].max())
 
 
 @dataclass(frozen=True)
 class LicenceModel:
     vocabulary: np.ndarray
     weights: np.ndarray
-    pairs: tuple
+    templates: Templates
     temperature: float
     known_at: float
 
@@ -94,9 +129,7 @@ class LicenceModel:
 
     def overlap(self, family: int, words: list[bytes]) -> float:
         """Best share of word pairs common to the paragraph and a notice of the family (of the smaller of both)."""
-        own = np.unique(grams(words)[1])
-        shared = [np.isin(own, notice).sum() / max(1, min(len(own), len(notice))) for notice in self.pairs[family]]
-        return float(max(shared))
+        return self.templates.overlap(family, word_pairs(words))
 
 
 def varied(rng: np.random.Generator, notice: list[bytes], other: list[bytes]) -> list[bytes]:
@@ -138,10 +171,9 @@ class LicenceScan:
         rng = np.random.default_rng(11)
         notices = [[notice_words(n) for n in NOTICES[f]] for f in FAMILIES]
         vocabulary = np.unique(np.concatenate([g for family in notices for n in family for g in grams(n)]))
-        pairs = tuple(tuple(np.unique(grams(n)[1]) for n in family) for family in notices)
-        blank = LicenceModel(vocabulary, np.zeros((len(vocabulary) + 2, len(FAMILIES) + 1)), pairs, 1.0, 0.5)
-        unknown = [w for p in paragraphs if (w := notice_words(p))
-                   and max(blank.overlap(f, w) for f in range(len(FAMILIES))) < self.confirm]
+        templates = Templates(notices)
+        blank = LicenceModel(vocabulary, np.zeros((len(vocabulary) + 2, len(FAMILIES) + 1)), templates, 1.0, 0.5)
+        unknown = [w for p in paragraphs if (w := notice_words(p)) and templates.shares(word_pairs(w)).max() < self.confirm]
         other = [w for p in unknown[:200] for w in p]
         samples = [(f, varied(rng, n, other)) for f, family in enumerate(notices) for n in family for _ in range(self.variants)]
         samples += [(f, n) for f, family in enumerate(notices) for n in family for _ in range(4)]
@@ -161,7 +193,7 @@ class LicenceScan:
         p = self._softmax(logits / temperature)
         strange = p[y[held] == len(FAMILIES), :-1].max(axis=1, initial=0)
         known_at = max(0.5, float(np.quantile(strange, 1 - self.false_rate)) if len(strange) else 0.5)
-        return LicenceModel(vocabulary, weights.astype(float), pairs, temperature, min(known_at, 0.95))
+        return LicenceModel(vocabulary, weights.astype(float), templates, temperature, min(known_at, 0.95))
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
@@ -199,20 +231,23 @@ class LicenceScan:
 
 def find(model: LicenceModel, text: str | None, confirm: float) -> Iterator[dict]:
     """The confirmed licence paragraphs of one text."""
-    start, notices = 0, np.unique(np.concatenate([p for family in model.pairs for p in family]))
+    start, templates = 0, model.templates
     lines = (text or "").split("\n")
     words = [notice_words(x) for x in lines]
     # The pairs of all lines at once; those over a line's end belong to none.
     ends = np.cumsum([len(w) for w in words])
-    pairs = grams([w for line in words for w in line])[1]
-    hits = np.flatnonzero(np.isin(pairs, notices))
+    pairs = word_pairs([w for line in words for w in line])
+    hits = np.flatnonzero(templates.at(pairs)[1])
     line_of = np.searchsorted(ends, hits, "right")
     wanted = set(line_of[hits + 1 < ends[line_of]].tolist()) if len(hits) else set()
     for i, line in enumerate(lines):
         if i in wanted:
-            p = model.probabilities(words[i])
-            best = int(p.argmax())
-            if best < len(FAMILIES) and p[best] >= model.known_at and (o := model.overlap(best, words[i])) >= confirm:
-                yield {"paragraph": i, "start": start, "length": len(line), "family": FAMILIES[best],
-                       "probability": float(p[best]), "overlap": o}
+            own = pairs[ends[i] - len(words[i]): ends[i] - 1]
+            # No family could be confirmed below that share, whatever the classifier says.
+            if templates.shares(own).max() >= confirm:
+                p = model.probabilities(words[i])
+                best = int(p.argmax())
+                if best < len(FAMILIES) and p[best] >= model.known_at and (o := templates.overlap(best, own)) >= confirm:
+                    yield {"paragraph": i, "start": start, "length": len(line), "family": FAMILIES[best],
+                           "probability": float(p[best]), "overlap": o}
         start += len(line) + 1
