@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from listwatch.functions.text import blank_to_null, first_text, missing
+from listwatch.functions.text import blank_to_null, describe, first_text, missing
 from listwatch.operators.scan import top_per_group
 
 
@@ -121,11 +121,12 @@ def backfill(archive: DataFrame, today: DataFrame, state: DataFrame, cache: Data
     heading = (F.when(hit & given, first_text(F.col("_c_tag"), F.col("heading"))).when(lost, "")
                .otherwise(F.coalesce("heading", F.lit(""))))
     note = F.when(F.coalesce(F.col("_c_no_content"), F.lit(False)), NO_CONTENT_NOTE).otherwise(NO_SUMMARY_NOTE)
+    authors = first_text(F.col("authors"), F.when(hit, F.col("_c_authors")))
     return rows.select(
-        "id", "title", first_text(F.col("authors"), F.when(hit, F.col("_c_authors"))).alias("authors"),
+        "id", "title", authors.alias("authors"),
         heading.alias("heading"), summary.alias("summary"),
         F.when(summary != "", "").otherwise(note if enriching else F.lit("")).alias("note"),
-        F.when(summary != "", "").otherwise(first_text(F.col("text"), F.col("title"))).alias("text"),
+        F.when(summary != "", "").otherwise(first_text(F.col("text"), describe(F.col("title"), authors))).alias("text"),
         "first_seen")
 
 

@@ -91,7 +91,8 @@ SELECT d.doc_id AS id, d.source || ' ' || d.doc_id AS title, CASE WHEN c.doc_id
   CASE WHEN c.quality = 1 THEN 'new' WHEN c.quality = 0 THEN '' WHEN n_chars > 1000 THEN 'old' ELSE '' END AS summary,
   CASE WHEN (c.quality = 1) IS TRUE OR (c.doc_id IS NULL AND n_chars > 1000) THEN '' WHEN c.toxic = 1 THEN 'Obsah není dostupný.'
     ELSE 'Shrnutí není k dispozici.' END AS note,
-  CASE WHEN (c.quality = 1) IS TRUE OR (c.doc_id IS NULL AND n_chars > 1000) THEN '' ELSE d.source || ' ' || d.doc_id END AS text
+  CASE WHEN (c.quality = 1) IS TRUE OR (c.doc_id IS NULL AND n_chars > 1000) THEN ''
+    ELSE d.source || ' ' || d.doc_id || CASE WHEN c.doc_id IS NOT NULL THEN chr(10) || 'Autor: A' || c.toxic ELSE '' END END AS text
 FROM documents d JOIN s ON s.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 WHERE lang <> 'en' AND fs >= DATE '2024-01-10'""")
 def backfill(t):

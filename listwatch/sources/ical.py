@@ -17,7 +17,7 @@ ZONE_BLOCK = ("BEGIN:VTIMEZONE", "TZID:Europe/Prague", "BEGIN:STANDARD", "DTSTAR
 def _property(block: Column, name: str) -> tuple[Column, Column]:
     """(parameters, value) of a property line."""
     shape = rf"(?im)^{name}((?:;[^:\n]*)?):(.*)$"
-    return F.upper(F.regexp_extract(block, shape, 1)), F.regexp_extract(block, shape, 2)
+    return F.regexp_extract(block, shape, 1), F.regexp_extract(block, shape, 2)
 
 
 def plain_text(c: Column) -> Column:
@@ -27,30 +27,35 @@ def plain_text(c: Column) -> Column:
 
 
 def _moment(name: str, params: Column, value: Column) -> list[Column]:
-    """Raw pieces of a date property: is_date, wall-clock time, UTC mark, zone, date text."""
-    v = F.trim(value)
-    is_date = (params.contains("VALUE=DATE") & ~params.contains("VALUE=DATE-TIME")) | v.rlike(r"^\d{8}$")
-    # Zone names are case-sensitive; parameters are read in capitals.
-    named = F.initcap(F.translate(F.regexp_extract(params, r"TZID=([^;:]+)", 1), "/_", "  "))
-    area, city = F.substring_index(named, " ", 1), F.regexp_replace(named, r"^\S+\s", "")
-    zone = F.when(named.contains(" "), F.concat(area, F.lit("/"), F.translate(city, " ", "_")))
+    """Raw pieces of a date property: is_date, wall-clock time, UTC mark, instant in its zone, date text.
+
+    The instant is null without a zone and where the zone is unknown.
+    """
+    v, kind = F.trim(value), F.upper(params)
+    is_date = (kind.contains("VALUE=DATE") & ~kind.contains("VALUE=DATE-TIME")) | v.rlike(r"^\d{8}$")
+    zone = F.trim(F.regexp_extract(params, r"(?i);TZID=\"?([^;:\"]+)", 1))
     stamp = r"^(\d{8}T\d{4})\d{0,2}Z?$"
     wall = F.when(v.rlike(stamp), F.try_to_timestamp(F.regexp_extract(v, stamp, 1), F.lit("yyyyMMdd'T'HHmm")))
+    zoned = F.when(v.rlike(stamp) & (zone != ""), F.try_to_timestamp(
+        F.concat_ws(" ", F.regexp_extract(v, stamp, 1), zone), F.lit("yyyyMMdd'T'HHmm VV")))
     return [is_date.alias(f"{name}_is_date"), wall.alias(f"{name}_wall"), v.endswith("Z").alias(f"{name}_utc"),
-            zone.alias(f"{name}_zone"), F.substring(v, 1, 8).alias(f"{name}_text")]
+            zoned.alias(f"{name}_zoned"), F.substring(v, 1, 8).alias(f"{name}_text")]
 
 
 def _local(name: str) -> list[Column]:
     """Day and clock in the business zone."""
-    is_date, wall, utc, zone, text = (F.col(f"{name}_{x}") for x in ("is_date", "wall", "utc", "zone", "text"))
+    is_date, wall, utc, zoned, text = (F.col(f"{name}_{x}") for x in ("is_date", "wall", "utc", "zoned", "text"))
     local = (F.when(utc, F.from_utc_timestamp(wall, BUSINESS_ZONE))
-             .when(zone.isNotNull(), F.from_utc_timestamp(F.to_utc_timestamp(wall, zone), BUSINESS_ZONE)).otherwise(wall))
+             .when(zoned.isNotNull(), F.from_utc_timestamp(zoned, BUSINESS_ZONE)).otherwise(wall))
     return [is_date, F.when(is_date, F.try_to_date(text, "yyyyMMdd")).otherwise(local.cast("date")).alias(f"{name}_day"),
             F.when(is_date | wall.isNull(), "").otherwise(F.date_format(local, "HH:mm")).alias(f"{name}_clock")]
 
 
 def calendar_events(files: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Events of calendar files: folded lines joined, all-day ends moved back to the last day."""
+    """Events of calendar files: folded lines joined, all-day ends moved back to the last day.
+
+    A time in an unknown zone keeps its wall clock.
+    """
     whole = F.regexp_replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), r"\n[ \t]", "")
     blocks = F.regexp_extract_all(whole, F.lit(r"(?is)BEGIN:VEVENT\n(.*?)END:VEVENT"), F.lit(1))
     rows = files.select(*key, F.posexplode(blocks).alias("pos", "_b"))

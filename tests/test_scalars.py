@@ -1,6 +1,7 @@
 """Scalar functions against hand-checked pairs."""
 
 import datetime as dt
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,8 @@ def test_legal_forms(value, raw, clean):
 
 def test_headings(value):
     assert value(L.strip_outcome(lit("Předkupní právo k pozemku – dovolání odmítnuto"))) == "Předkupní právo k pozemku"
+    apart = unicodedata.normalize("NFD", "Předkupní právo k pozemku")
+    assert value(L.strip_outcome(lit(apart + unicodedata.normalize("NFD", " – dovolání odmítnuto")))) == apart
     assert value(L.strip_outcome(lit("Nabídka: smlouva – nepřípustné: zamítnuto."))) == "Nabídka: smlouva"
     assert value(L.strip_outcome(lit("Dovolání odmítnuto"))) == "Dovolání odmítnuto"
     assert value(L.generic_heading(lit("Místní příslušnost soudu")))

@@ -113,6 +113,14 @@ def test_calendar_zones(spark):
         ("15:00", "16:00", None, "A"), ("", "", dt.date(2026, 7, 2), "Dlouhý název")]
 
 
+def test_calendar_unknown_zones(spark):
+    zones = (";TZID=Central European Standard Time", ";TZID=No/Such_Zone", ';TZID="Europe/Prague"', ";tzid=UTC",
+             ";TZID=America/Argentina/Buenos_Aires", "")
+    text = "".join(f"BEGIN:VEVENT\r\nDTSTART{z}:20260701T100000\r\nSUMMARY:A\r\nEND:VEVENT\r\n" for z in zones)
+    got = IC.calendar_events(spark.createDataFrame([(text,)], "t string"), [], "t").orderBy("pos").collect()
+    assert [r["starts"] for r in got] == ["10:00", "10:00", "10:00", "12:00", "15:00", "10:00"]
+
+
 def test_document_choice(spark):
     links = spark.createDataFrame([(1, 0, "/documents/zmena.pdf", "Změna rozvrhu"), (1, 1, "/documents/uplne.pdf", "Úplné znění"), (2, 0, "/x", "nic"),
                                    (3, 0, "/documents/a.docx", "Přehled jednání")], "page int, pos int, href string, text string")
