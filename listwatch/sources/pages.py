@@ -10,6 +10,7 @@ from listwatch.functions.marks import display_mark, docket_number, mark_key, mar
 from listwatch.functions.text import first_text, fold, missing, squeeze, strip_space, unescape
 from listwatch.operators.scan import first_per_key, top_per_group
 from listwatch.operators.staging import where_computed
+from listwatch.session import materialise
 
 JUNK = ("script", "style", "nav", "header", "footer", "form")
 HEAD_JUNK = ("head", "script", "style", "noscript")
@@ -236,7 +237,6 @@ def statute_citation(article: Column, section: Column, paragraph: Column, letter
 # --- embedded schema.org events ------------------------------------------------------------
 
 CONTAINERS = ("@graph", "itemListElement", "item", "event", "events", "subEvent")
-MAX_DEPTH = 4
 
 
 def _listed(v: Column) -> Column:
@@ -251,18 +251,23 @@ def _is_event(v: Column) -> Column:
 
 
 def embedded_events(pages: DataFrame, key: list[str], html: str) -> DataFrame:
-    """schema.org events of the pages' JSON-LD, found through lists, graphs and item lists."""
+    """schema.org events of the pages' JSON-LD, found through lists, graphs and item lists at any depth.
+
+    Each level is cut with a reliable checkpoint, so a page is parsed once; the walk ends with the first
+    level that holds nothing.
+    """
     script = r"(?is)<script\b[^>]*type\s*=\s*[\"'][^\"']*ld\+json[^\"']*[\"'][^>]*>(.*?)</script>"
-    blocks = pages.select(*key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(script), F.lit(1))).alias("block", "json"))
-    level = blocks.select(*key, F.try_parse_json("json").alias("d")).select(*key, F.explode(_listed(F.col("d"))).alias("v"))
-    found = None
-    for depth in range(MAX_DEPTH):
-        level = level.withColumn("is_event", _is_event(F.col("v")))
-        hits = where_computed(level, F.col("is_event")).drop("is_event")
-        found = hits if found is None else found.unionByName(hits)
-        if depth + 1 < MAX_DEPTH:
-            children = F.flatten(F.array(*[_listed(F.try_variant_get("v", f"$['{c}']", "variant")) for c in CONTAINERS]))
-            level = where_computed(level, ~F.col("is_event")).select(*key, F.explode(children).alias("v"))
+    blocks = pages.select(*key, F.explode(F.regexp_extract_all(F.col(html), F.lit(script), F.lit(1))).alias("json"))
+    level = materialise(blocks.select(*key, F.explode(_listed(F.try_parse_json("json"))).alias("v"))
+                        .withColumn("is_event", _is_event(F.col("v"))))
+    found = level.where("is_event")
+    while not level.isEmpty():
+        v = F.col("v")
+        held = F.flatten(F.array(*[_listed(F.try_variant_get(v, f"$['{c}']", "variant")) for c in CONTAINERS]))
+        children = F.when(F.schema_of_variant(v).startswith("ARRAY"), _listed(v)).otherwise(held)
+        level = materialise(level.where("not is_event").select(*key, F.explode(children).alias("v"))
+                            .withColumn("is_event", _is_event(F.col("v"))))
+        found = found.unionByName(level.where("is_event"))
     return found.select(*key, *_event_fields(F.col("v")))
 
 

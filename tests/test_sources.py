@@ -121,6 +121,18 @@ def test_calendar_unknown_zones(spark):
     assert [r["starts"] for r in got] == ["10:00", "10:00", "10:00", "12:00", "15:00", "10:00"]
 
 
+def test_embedded_events_at_any_depth(spark):
+    event = '{"@type":"Event","name":"%s","startDate":"2026-07-01T10:00:00"}'
+    deep = event % "deep"
+    for c in ("item", "itemListElement", "events", "@graph", "subEvent", "event"):
+        deep = '{"@type":"ItemList","%s":[%s]}' % (c, deep)
+    page = lambda *json: "".join(f'<script type="application/ld+json">{j}</script>' for j in json)
+    rows = [(1, page(deep, f"[[[{event % 'listed'}]], null, 3]")), (2, page("{broken", "[]")), (3, ""), (4, None)]
+    got = PG.embedded_events(spark.createDataFrame(rows, "page int, html string"), ["page"], "html").collect()
+    assert sorted((r["page"], r["title"]) for r in got) == [(1, "deep"), (1, "listed")]
+    assert PG.embedded_events(spark.createDataFrame([], "page int, html string"), ["page"], "html").count() == 0
+
+
 def test_document_choice(spark):
     links = spark.createDataFrame([(1, 0, "/documents/zmena.pdf", "Změna rozvrhu"), (1, 1, "/documents/uplne.pdf", "Úplné znění"), (2, 0, "/x", "nic"),
                                    (3, 0, "/documents/a.docx", "Přehled jednání")], "page int, pos int, href string, text string")
