@@ -84,7 +84,15 @@ def page_text(t):
     return t.heavy("pages").select("page_id", PG.page_text(F.col("html")).alias("text"))
 
 
-@query("s17_text_with_links", "S17")
+@query("s17_text_with_links", "S17", sql=r"""
+WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+  '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<nav\b[^>]*>.*?</nav\s*>', '', 'g'),
+  '(?is)<header\b[^>]*>.*?</header\s*>', '', 'g'), '(?is)<footer\b[^>]*>.*?</footer\s*>', '', 'g'), '(?is)<form\b[^>]*>.*?</form\s*>', '', 'g') AS h FROM pages),
+l AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)<a\b[^>]*?href\s*=\s*["'']/([^"'']*)["''][^>]*>(.*?)</a>', '\2 &lt;https://listing.example/\1&gt;', 'g'),
+  '(?is)<a\b[^>]*?href\s*=\s*["''](http[^"'']*)["''][^>]*>(.*?)</a>', '\2 &lt;\1&gt;', 'g') AS h FROM s),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<br\s*/?>|</p\s*>|</div\s*>|</tr\s*>|</h\d\s*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS h FROM l),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS h FROM b)
+SELECT page_id, regexp_replace(trim(regexp_replace(regexp_replace(h, '[\t\r\f\v\p{Zs}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' ' || chr(10)), '\n{2,}', chr(10), 'g') AS text FROM e""")
 def text_with_links(t):
     return t.heavy("pages").select("page_id", PG.page_text_with_links(F.col("html"), "https://listing.example").alias("text"))
 
@@ -199,9 +207,9 @@ def feed_items(t):
     rss = F.concat(F.lit("<rss><channel><title>c</title><lastBuildDate>Fri, 03 Aug 2001 10:00:00 GMT</lastBuildDate><item><title><![CDATA[Title "), "o_custkey", F.lit(" &amp; more]]></title><link>https://j.example/a/"), "o_orderkey",
                    F.lit("?rss=1</link><pubDate>Po, "), F.date_format("o_orderdate", "dd MMM yyyy"), F.lit(" 02:00:00 +0200</pubDate><dc:creator>Jan Novák (Author)</dc:creator><dc:creator>Eva Malá; jan novák</dc:creator><description>&lt;p&gt;Abstract Text "), "o_orderpriority",
                    F.lit("&lt;/p&gt;</description>"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("<prism:doi>10.1093/X"), "o_orderkey", F.lit("</prism:doi>"))).otherwise(""), F.lit("</item></channel></rss>"))
-    atom = F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><entry><title type='html'>Title "), "o_custkey", F.lit(" &amp;amp; more</title><link href='https://j.example/a/"), "o_orderkey",
+    atom = F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><entry><title type='html'>Title "), "o_custkey", F.lit(" &amp;amp; more</title><link rel='self' href='https://j.example/feed'/><link href='https://j.example/a/"), "o_orderkey",
                     F.lit("'/><published>"), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'"), F.lit("</published><author><name>Jan Novák</name></author><author><name>Eva Malá</name></author><summary>Text "), "o_orderpriority",
-                    F.lit("</summary>"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("<id>x</id><dc:identifier>doi:10.1093/x"), "o_orderkey", F.lit("</dc:identifier>"))).otherwise(""), F.lit("</entry></feed>"))
+                    F.lit(" Volume 63 Online ISSN 0165-075X</summary>"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("<id>x</id><dc:identifier>doi:10.1093/x"), "o_orderkey", F.lit("</dc:identifier>"))).otherwise(""), F.lit("</entry></feed>"))
     feeds = t.heavy("orders").select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, rss).otherwise(atom).alias("xml"))
     items = FE.feed_items(feeds, ["o_orderkey"], "xml", F.lit("2001-08-01").cast("timestamp"))
     return items.select("o_orderkey", "title", "doi", "link", "authors", "abstract", day_text("published").alias("published"))

@@ -23,6 +23,10 @@ RUNTIME_CONF = {
 }
 
 
+#: Most that ``spread`` shuffles, however many cores there are.
+SPREAD_BYTES = 1 << 30
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
@@ -52,11 +56,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 def spread(df: DataFrame) -> DataFrame:
     """Input for CPU-heavy parsing, split over all cores.
 
-    Only an input with fewer splits than cores is shuffled: it is small.  A large one has more
-    splits than cores already and is returned as it is.
+    Only files of at most ``SPREAD_BYTES`` in all are shuffled, and only if they have fewer splits
+    than there are cores; the rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if df.rdd.getNumPartitions() >= cores or _file_bytes(df) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
+
+
+def _file_bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def materialise(df: DataFrame) -> DataFrame:

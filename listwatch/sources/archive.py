@@ -9,8 +9,6 @@ from listwatch.functions.text import missing
 from listwatch.operators.report import fingerprint
 from listwatch.session import materialise
 
-MAX_DIRTY = 100_000
-
 
 def read_archive(spark: SparkSession, root: str, schema: T.StructType, months: list[str] | None = None,
                  first: str | None = None, last: str | None = None) -> DataFrame:
@@ -37,6 +35,12 @@ def route(found: DataFrame, index: DataFrame) -> DataFrame:
         "month", F.coalesce("_m", month_key(F.col("first_seen")))).drop("_m")
 
 
+def _partitions(rows: DataFrame) -> list[tuple[str, str]]:
+    """The (court, month) partitions of some rows: never more than the folders of the archive, which
+    listing it brings to the driver anyway."""
+    return [(r["court"], r["month"]) for r in rows.select("court", "month").distinct().collect()]
+
+
 def _only(df: DataFrame, pairs) -> DataFrame:
     """Rows of the listed (court, month) partitions, as a filter that prunes the scan."""
     by_court: dict[str, list[str]] = {}
@@ -56,10 +60,7 @@ def upsert(spark: SparkSession, root: str, schema: T.StructType, rows: DataFrame
     index = read_index(spark, index_root)
     # The batch is read several times below, and the index it depends on is about to change.
     routed = materialise(route(rows, index))
-    # One pair per touched month: bounded by the number of partitions, not by the data.
-    dirty = [(r["court"], r["month"]) for r in routed.select("court", "month").distinct().limit(MAX_DIRTY + 1).collect()]
-    if len(dirty) > MAX_DIRTY:
-        raise ValueError("too many partitions touched at once; split the batch")
+    dirty = _partitions(routed)
     if not dirty:
         return 0
     columns = [f.name for f in schema]
@@ -87,10 +88,7 @@ def read_index(spark: SparkSession, root: str) -> DataFrame:
 def lookup(spark: SparkSession, root: str, schema: T.StructType, index_root: str, ids: DataFrame) -> DataFrame:
     """Records by id, whatever their age: the index names the partitions, only those are read."""
     wanted = read_index(spark, index_root).join(ids.select("court", "id"), ["court", "id"], "left_semi")
-    pairs = [(r["court"], r["month"]) for r in wanted.select("court", "month").distinct().limit(MAX_DIRTY + 1).collect()]
-    if len(pairs) > MAX_DIRTY:
-        return read_archive(spark, root, schema).join(ids.select("court", "id"), ["court", "id"], "left_semi")
-    return _only(read_archive(spark, root, schema), pairs).join(ids.select("court", "id"), ["court", "id"], "left_semi")
+    return _only(read_archive(spark, root, schema), _partitions(wanted)).join(ids.select("court", "id"), ["court", "id"], "left_semi")
 
 
 def window_rows(archive: DataFrame, start: Column, end: Column | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from listwatch.operators.staging import where_computed
 MAX_AGE_DAYS = 365
 # Note in front of titles published early, ISSN footer of abstracts.
 EARLY = r"(?i)\s*\[pre-?publication\]"
+ISSN_FOOTER = r"\s*Volume\s+\d+\s+(?:Online\s+)?ISSN\s+[\dXx-]+\s*$"
 DECISION_SUBTITLE = r"(?i)^\s*(decision|judgment|judgement|order|opinion|ruling)\b|case no\."
 
 
@@ -33,6 +34,14 @@ def plain_abstract(html: Column) -> Column:
     return F.regexp_replace(s, r"(?i)^\s*Abstract\s*", "")
 
 
+def _address(xml: Column) -> Column:
+    """Address of the first Atom link to the page itself, else of the first link; blank without one."""
+    links = F.regexp_extract_all(xml, F.lit(r"(?s)<(?:[\w.-]+:)?link\b([^>]*\bhref=[^>]*)>"), F.lit(1))
+    page = F.filter(links, lambda a: ~a.rlike(r"\brel\s*=") | a.rlike(r"\brel\s*=\s*[\"']alternate[\"']"))
+    chosen = F.coalesce(F.get(page, F.lit(0)), F.get(links, F.lit(0)), F.lit(""))
+    return F.regexp_extract(chosen, r"\bhref=[\"']([^\"']*)[\"']", 1)
+
+
 def feed_items(feeds: DataFrame, key: list[str], xml: str, now: Column) -> DataFrame:
     """Articles of RSS 2.0, RSS 1.0 and Atom feeds.
 
@@ -43,13 +52,13 @@ def feed_items(feeds: DataFrame, key: list[str], xml: str, now: Column) -> DataF
     head = F.regexp_extract(x, r"(?s)<channel\b[^>]*>(.*?)<(?:[\w.-]+:)?(?:item|entry)\b", 1)
     rows = feeds.select(*key, F.regexp_extract(x, r"(?s)<lastBuildDate>(.*?)</lastBuildDate>", 1).alias("_b"), head.alias("_head"),
                         F.concat(_with_tag(x, "item"), _with_tag(x, "entry")).alias("_items"))
-    rows = rows.select(*key, feed_time(F.col("_b")).alias("_built"), _first(F.col("_head"), "pubDate").alias("_c"),
+    rows = rows.select(*key, feed_time(F.col("_b")).alias("_built"), first_text(_first(F.col("_head"), "pubDate"), _first(F.col("_head"), "date")).alias("_c"),
                        F.posexplode("_items").alias("pos", "_item"))
     item = F.col("_item")
     names = ("title", "link", "doi", "identifier", "guid", "pubDate", "date", "published", "updated", "description", "summary", "content")
     raw = rows.select(
         *key, "pos", "_built", "_c", *[_first(item, n).alias(f"_{n}") for n in names],
-        F.regexp_extract(item, r"(?s)<(?:[\w.-]+:)?link\b[^>]*href=[\"']([^\"']*)[\"']", 1).alias("_href"),
+        _address(item).alias("_href"),
         _elements(item, "creator").alias("_creators"), _elements(item, "name").alias("_names"))
     # One column per step: each field is cut out, decoded and read once.
     plain = raw.select(*key, "pos", "_built", "_href", feed_time(F.col("_c")).alias("_channel"), *[_text(F.col(f"_{n}")).alias(f"_{n}") for n in names],
@@ -62,7 +71,7 @@ def feed_items(feeds: DataFrame, key: list[str], xml: str, now: Column) -> DataF
     named = read.select(
         *key, "pos", "_built", "_channel", "_link", "authors", clean_title(F.col("_title")).alias("title"),
         doi_of(F.col("_doi"), F.col("_identifier"), F.col("_guid"), F.col("_link")).alias("doi"),
-        plain_abstract(F.col("_abstract")).alias("abstract"),
+        squeeze(F.regexp_replace(plain_abstract(F.col("_abstract")), ISSN_FOOTER, "")).alias("abstract"),
         F.coalesce("_pubDate", "_date", "_published", "_updated").alias("_dated"))
     address = F.when(F.col("doi") != "", F.concat(F.lit("https://doi.org/"), "doi")).otherwise(
         F.replace(without_query(F.col("_link")), F.lit(" "), F.lit("%20")))
