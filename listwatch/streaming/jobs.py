@@ -68,16 +68,21 @@ def first_seen_job(state: EpochTable, out: EpochTable, guid: str, assigned: Call
     return batch
 
 
-RETRY_STATE = "id string, failures bigint, text_waits bigint, next_attempt timestamp, reason string, done boolean"
+RETRY_STATE = "id string, failures bigint, text_waits bigint, next_attempt timestamp, reason string, done boolean, ok_at timestamp"
 
 
 def retry_job(state: EpochTable) -> Callable[[DataFrame, int], None]:
-    """Retry state from outcomes (id, reason, at); a blank reason is a success and clears it."""
+    """Retry state from outcomes (id, reason, at); a blank reason is a success and clears it.
+
+    An outcome that comes late, from before the last known success, says nothing new.
+    """
     def batch(outcomes: DataFrame, epoch: int) -> None:
         spark = outcomes.sparkSession
         last = (state.before(spark, epoch).groupBy("id")
-                .agg(F.max_by(F.struct("failures", "text_waits", "done"), "epoch").alias("s"))
-                .select("id", *[F.when(F.col("s.done"), 0).otherwise(F.col(f"s.{c}")).alias(f"_{c}") for c in ("failures", "text_waits")]))
+                .agg(F.max_by(F.struct("failures", "text_waits", "done", "ok_at"), "epoch").alias("s"))
+                .select("id", F.col("s.ok_at").alias("_ok_at"), *[F.when(F.col("s.done"), 0).otherwise(F.col(f"s.{c}")).alias(f"_{c}") for c in ("failures", "text_waits")]))
+        known = last.select(F.col("id").alias("_id"), "_ok_at")
+        outcomes = outcomes.join(known, (F.col("id") == F.col("_id")) & (F.col("at") <= F.col("_ok_at")), "left_anti")
         success = F.max(F.when(F.col("reason") == "", F.col("at"))).alias("ok_at")
         ok = outcomes.groupBy("id").agg(success)
         # Only outcomes after the last success of the batch count.
@@ -95,7 +100,7 @@ def retry_job(state: EpochTable) -> Callable[[DataFrame, int], None]:
         state.write(merged.select(
             "id", fails.cast("bigint").alias("failures"), waits.cast("bigint").alias("text_waits"),
             F.when(~done, F.timestamp_add("HOUR", hours, F.col("l.at"))).alias("next_attempt"),
-            F.when(~done, F.col("l.reason")).alias("reason"), done.alias("done")), epoch)
+            F.when(~done, F.col("l.reason")).alias("reason"), done.alias("done"), F.greatest("ok_at", "_ok_at").alias("ok_at")), epoch)
 
     return batch
 
@@ -114,7 +119,7 @@ def outage_job(state: EpochTable) -> Callable[[DataFrame, int], None]:
     def batch(checks: DataFrame, epoch: int) -> None:
         spark = checks.sparkSession
         before = current(state.before(spark, epoch), "source").select(
-            "source", F.col("last_ok").alias("_ok"), F.col("down_since").alias("_down"))
+            "source", F.col("last_ok").alias("_ok"), F.col("last_check").alias("_check"), F.col("down_since").alias("_down"))
         # A check that comes late, from before the last known success, says nothing new.
         known = before.select(F.col("source").alias("_source"), F.col("_ok").alias("_last"))
         late = (F.col("source") == F.col("_source")) & (F.col("at") <= F.col("_last"))
@@ -122,10 +127,11 @@ def outage_job(state: EpochTable) -> Callable[[DataFrame, int], None]:
         both = now.join(before, "source", "left")
         ok = F.greatest("last_ok", "_ok")
         carried = F.col("last_ok").isNull() & F.col("_down").isNotNull()
-        since = F.when(carried, F.col("_down")).otherwise(F.col("down_since"))
+        since = F.when(carried, F.least("_down", "down_since")).otherwise(F.col("down_since"))
+        checked = F.greatest("last_check", "_check")
         status = (F.when(since.isNull(), "ok")
-                  .when(F.col("last_check") < since + F.expr(f"INTERVAL {S.OUTAGE_HOURS} HOURS"), "warning").otherwise("error"))
-        state.write(both.select("source", ok.alias("last_ok"), "last_check", since.alias("down_since"), status.alias("status")), epoch)
+                  .when(checked < since + F.expr(f"INTERVAL {S.OUTAGE_HOURS} HOURS"), "warning").otherwise("error"))
+        state.write(both.select("source", ok.alias("last_ok"), checked.alias("last_check"), since.alias("down_since"), status.alias("status")), epoch)
 
     return batch
 

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from listwatch.sources import archive as AR, dims as DI, ical as IC, pages as PG
+from listwatch.sources import archive as AR, dims as DI, feeds as FE, ical as IC, pages as PG
 
 SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("first_seen", T.TimestampType()),
                        T.StructField("court", T.StringType()), T.StructField("month", T.StringType())])
@@ -26,6 +26,18 @@ def place(tmp_path):
     return tmp_path / "archive", str(tmp_path / "archive"), str(tmp_path / "index")
 
 
+def test_feed_takes_the_page_link_and_cuts_the_issn_footer(spark):
+    entry = ("<feed><entry><title>First</title><link rel='self' href='https://j.example/feed'/><link rel=\"alternate\" href=\"https://j.example/a\"/>"
+             "<summary>About it Volume 63 Online ISSN 0165-075X</summary></entry>"
+             "<entry><title>Second</title><link rel='self' href='https://j.example/b'/></entry></feed>")
+    rss = ("<rdf><channel><title>c</title><dc:date>2026-08-01T00:00:00Z</dc:date></channel><item><title>Third</title>"
+           "<link>https://j.example/c</link><dc:date>2026-08-01T00:00:00Z</dc:date></item></rdf>")
+    feeds = spark.createDataFrame([(1, entry), (2, rss)], "k int, x string")
+    rows = FE.feed_items(feeds, ["k"], "x", F.lit("2026-08-02").cast("timestamp")).orderBy("title").collect()
+    assert [(r["link"], r["abstract"], r["estimated"]) for r in rows] == [
+        ("https://j.example/a", "About it", True), ("https://j.example/b", "", True), ("https://j.example/c", "", True)]
+
+
 def test_upsert_rewrites_only_touched_months(spark, place):
     folder, root, index = place
     assert AR.upsert(spark, root, SCHEMA, rec(spark, ("1", "a", "2026-08-01", "ns"), ("2", "b", "2026-09-01", "ns"), ("3", "c", "2026-09-02", "nss")), index) == 3

@@ -41,6 +41,26 @@ def test_retry(spark, tmp_path):
     assert now == {"x": (1, 1, t(3, 1), False), "y": (0, 0, None, True), "z": (1, 0, t(4, 1), False)}
 
 
+def test_retry_ignores_outcomes_before_the_last_success(spark, tmp_path):
+    src, schema = str(tmp_path / "in"), "id string, reason string, at timestamp"
+    state = J.EpochTable(str(tmp_path / "state"), J.RETRY_STATE)
+    for b in ([("x", "", t(5))], [("x", "ai-selhani", t(3))], [("x", "ai-selhani", t(5)), ("x", "ai-selhani", t(6))]):
+        J.run(feed(spark, src, b, schema), J.retry_job(state), str(tmp_path / "cp"))
+    r = J.current(state.read(spark), "id").first()
+    assert (r["failures"], r["done"], r["ok_at"]) == (1, False, t(5))
+
+
+def test_outage_with_late_checks(spark, tmp_path):
+    src, schema = str(tmp_path / "in"), "source string, at timestamp, ok boolean"
+    state = J.EpochTable(str(tmp_path / "state"), J.OUTAGE_STATE)
+    got = []
+    for b in ([("s", t(3), True)], [("s", t(2), False)], [("s", t(6), False)], [("s", t(5), False)]):
+        J.run(feed(spark, src, b, schema), J.outage_job(state), str(tmp_path / "cp"))
+        r = J.current(state.read(spark), "source").first()
+        got.append((r["status"], r["down_since"], r["last_check"]))
+    assert got == [("ok", None, t(3)), ("ok", None, t(3)), ("warning", t(6), t(6)), ("warning", t(5), t(6))]
+
+
 def test_outage(spark, tmp_path):
     src, schema = str(tmp_path / "in"), "source string, at timestamp, ok boolean"
     state = J.EpochTable(str(tmp_path / "state"), J.OUTAGE_STATE)
