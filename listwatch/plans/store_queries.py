@@ -103,8 +103,14 @@ def distinct_names(t):
     return t.part.select("p_partkey", F.array_join(distinct_ignoring_case(names), ",").alias("names"))
 
 
-def event_stream(t: Tables):
-    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
+def run_in_batches(t: Tables, place: str, columns: list, job, batches: int = 3) -> None:
+    """The events as inputs that arrive one after another, each a micro-batch that meets the state of those before."""
+    low, high = t.events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    step = ((high or 0) - (low or 0)) // batches + 1
+    number = F.coalesce(F.floor((F.unix_micros("ts") - F.lit(low)) / F.lit(step)), F.lit(0))
+    for k in range(batches):
+        t.events.where(number == k).write.mode("append").parquet(f"{place}/in")
+        J.run(t.spark.readStream.schema(t.events.schema).parquet(f"{place}/in").select(*columns), job, f"{place}/checkpoint")
 
 
 @query("t1_streaming_first_seen", "T1 J1", sql="""
@@ -113,8 +119,8 @@ def streaming_first_seen(t):
     place = scratch_dir(t.spark, "first-seen")
     state = J.EpochTable(f"{place}/state", "guid string, first_seen timestamp")
     out = J.EpochTable(f"{place}/out", "event_id bigint, guid string, ts timestamp, first_seen timestamp")
-    items = event_stream(t).select("event_id", F.concat_ws("-", "user_id", "event_type").alias("guid"), "ts")
-    J.run(items, J.first_seen_job(state, out, "guid", lambda df: F.col("ts")), f"{place}/checkpoint")
+    items = [F.col("event_id"), F.concat_ws("-", "user_id", "event_type").alias("guid"), F.col("ts")]
+    run_in_batches(t, place, items, J.first_seen_job(state, out, "guid", lambda df: F.col("ts")))
     return out.read(t.spark).groupBy("guid", F.date_format("first_seen", SECOND).alias("first_seen")).agg(F.count("*").alias("items"))
 
 
@@ -127,8 +133,7 @@ def streaming_retry(t):
     place = scratch_dir(t.spark, "retry")
     state = J.EpochTable(f"{place}/state", J.RETRY_STATE)
     reason = F.when(F.col("event_type") == "purchase", "").when(F.col("event_type") == "click", "bez-textu").otherwise("ai-selhani")
-    J.run(event_stream(t).select(F.col("user_id").cast("string").alias("id"), reason.alias("reason"), F.col("ts").alias("at")),
-          J.retry_job(state), f"{place}/checkpoint")
+    run_in_batches(t, place, [F.col("user_id").cast("string").alias("id"), reason.alias("reason"), F.col("ts").alias("at")], J.retry_job(state))
     return J.current(state.read(t.spark), "id").select("id", "failures", "text_waits")
 
 
@@ -140,8 +145,8 @@ SELECT source, CASE WHEN since IS NULL THEN 'ok' WHEN last_check < since + INTER
 def streaming_outage(t):
     place = scratch_dir(t.spark, "outage")
     state = J.EpochTable(f"{place}/state", J.OUTAGE_STATE)
-    J.run(event_stream(t).select(F.col("user_id").cast("string").alias("source"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("ok")),
-          J.outage_job(state), f"{place}/checkpoint")
+    checks = [F.col("user_id").cast("string").alias("source"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("ok")]
+    run_in_batches(t, place, checks, J.outage_job(state))
     return J.current(state.read(t.spark), "source").select("source", "status")
 
 
@@ -150,6 +155,6 @@ SELECT CAST(user_id AS VARCHAR) AS mark, event_type AS change, strftime(min(ts),
 def streaming_change_log(t):
     place = scratch_dir(t.spark, "changes")
     state = J.EpochTable(f"{place}/state", "mark string, change string, found timestamp")
-    J.run(event_stream(t).select(F.col("user_id").cast("string").alias("mark"), F.col("event_type").alias("change"), F.col("ts").alias("found")),
-          J.change_log_job(state, ["mark", "change"], "found"), f"{place}/checkpoint")
+    changes = [F.col("user_id").cast("string").alias("mark"), F.col("event_type").alias("change"), F.col("ts").alias("found")]
+    run_in_batches(t, place, changes, J.change_log_job(state, ["mark", "change"], "found"))
     return state.read(t.spark).select("mark", "change", F.date_format("found", SECOND).alias("found"))
