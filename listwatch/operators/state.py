@@ -65,10 +65,9 @@ def prune_state(state: DataFrame, now: Column, days: int | None = KEEP_STATE_DAY
 
 def prune_cache(cache: DataFrame, state: DataFrame, key: str, now: Column, days: int = KEEP_STATE_DAYS) -> DataFrame:
     """Cache entries whose key was first seen within ``days``; kept whole while the state is empty."""
-    live = prune_state(state, now, days).select(key).distinct()
-    if state.isEmpty():
-        return cache
-    return cache.join(live, key, "left_semi")
+    live = prune_state(state, now, days).select(key).distinct().withColumn("_live", F.lit(True))
+    empty = state.limit(1).agg(F.count(F.lit(1))).scalar() == 0
+    return cache.join(live, key, "left").where(F.col("_live") | empty).drop("_live")
 
 
 # --- launches and bulk returns -------------------------------------------------------------

@@ -443,13 +443,13 @@ def scripts(t):
 
 
 @query("x17_party_labels", "X17 X18", sql="""
-SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'Jan Novák' || c_nationkey || ' v. ÚPV' ELSE 'Bayer v. ' || c_mktsegment || ' a další' END AS label, 'J. N.' AS initials, 'petr košík' || c_nationkey AS judge, 'Jakub Camrda' AS judge_name FROM customer""")
+SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'Jan Novák' || c_nationkey || ' v. ÚPV' ELSE 'Bayer v. ' || c_mktsegment || ' a další' END AS label, 'J. N.' AS initials, 'petr dubovák' || c_nationkey AS judge, 'Adam Vymyšlený' AS judge_name FROM customer""")
 def party_labels(t):
     person = F.concat(F.lit("Ing. Jan Novák"), "c_nationkey")
     parties = F.when(F.col("c_nationkey") % 2 == 0, F.array(person, F.lit("Úřad průmyslového vlastnictví ČR"))).otherwise(
         F.array(F.lit("Bayer AG"), F.lit("Bayer IP GmbH"), F.concat("c_mktsegment", F.lit(" a.s.")), F.lit("Další")))
     return t.customer.select("c_custkey", N.party_label(parties).alias("label"), N.initials(F.concat(person, F.lit(" Ph.D. MBA"))).alias("initials"),
-                             N.judge_key(F.concat(F.lit("JUDr. Mgr. Petr Košík"), "c_nationkey", F.lit(", Ph.D."))).alias("judge"), N.given_name_first(F.lit("CAMRDA Jakub")).alias("judge_name"))
+                             N.judge_key(F.concat(F.lit("JUDr. Mgr. Petr Dubovák"), "c_nationkey", F.lit(", Ph.D."))).alias("judge"), N.given_name_first(F.lit("VYMYŠLENÝ Adam")).alias("judge_name"))
 
 
 @query("x19_article_keys", "X19", sql="""

@@ -111,9 +111,9 @@ def test_names(value):
     people = F.array(lit("Karel Jedna"), lit("Karla Šestá"))
     assert value(N.party_label(people, F.transform(people, N.initials))) == "K. J. v. K. Š."
     assert value(N.party_label(F.array().cast("array<string>"))) == ""
-    assert value(N.given_name_first(lit("CAMRDA Jakub"))) == "Jakub Camrda"
+    assert value(N.given_name_first(lit("VYMYŠLENÝ Adam"))) == "Adam Vymyšlený"
     assert value(N.given_name_first(lit("Bartoň Michal"))) == "Michal Bartoň"
-    assert value(N.judge_key(lit("JUDr. Mgr. Petr Košík, Ph.D."))) == "petr košík"
+    assert value(N.judge_key(lit("JUDr. Mgr. Petr Dubovák, Ph.D."))) == "petr dubovák"
     lines = F.array(*[lit(x) for x in ("Alfa", "s r.o.", "Jan Novák", "Ph.D. MBA", "MBA Consulting")])
     assert value(N.merge_continuations(lines)) == ["Alfa s r.o.", "Jan Novák Ph.D. MBA", "MBA Consulting"]
     assert value(N.clean_authors(lit("Jan Novák (Author), Eva Malá and jan novák"))) == "Jan Novák, Eva Malá"
