@@ -204,6 +204,25 @@ def test_held_out_accuracy(spark):
     assert all(zlib.crc32(str(d).encode()) % 5 == 0 for d in rows.doc_id)
 
 
+def test_training_takes_its_whole_sample(spark, monkeypatch):
+    """More rows than 8,000 and fewer than the sample: all outside fold 0 train; long tables get more steps."""
+    taken = []
+    monkeypatch.setattr(toxicity.ToxicityTrainer, "_train", lambda self, pos, un, prior: taken.append((len(pos), len(un))))
+    docs = spark.range(12_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"))
+    labels = spark.range(12_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    toxicity.ToxicityTrainer().fit(docs, labels)
+    outside = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(12_500))
+    assert 8_000 < outside < 12_000 and taken == [(outside, outside)]
+    monkeypatch.undo()
+
+    calls, sigmoid = [], toxicity._sigmoid
+    monkeypatch.setattr(toxicity, "_sigmoid", lambda x: calls.append(1) or sigmoid(x))
+    trainer = toxicity.ToxicityTrainer(sample=20_500, batch=2_048)
+    trainer._train([np.array([7], np.uint32)] * 8, [np.array([9], np.uint32)] * 20_500, 0.5)
+    # Three gradients a step, 60 passes of 11 steps.
+    assert len(calls) == 3 * 60 * 11
+
+
 def test_toxicity_of_odd_rows(spark):
     rows = [(i, ("rotten scoundrel " if i % 4 == 0 else "") + f"calm text number{i % 9} here") for i in range(400)]
     docs = spark.createDataFrame(ODD + rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
