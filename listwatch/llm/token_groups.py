@@ -229,12 +229,12 @@ class JaccardJoin:
                         digests, need = segments(tokens)
                         out.append(digests)
                         ids.append(np.full(len(digests), c, np.int64))
-                        needs.append(np.full(len(digests), need, np.int16))
+                        needs.append(np.full(len(digests), need, np.int64))
                 if out:
                     yield pd.DataFrame({"segment": np.concatenate(out).view(np.int64), "class_id": np.concatenate(ids),
                                         "need": np.concatenate(needs)})
 
-        rows = docs.select("text").mapInPandas(cut, "segment long, class_id long, need short")
+        rows = docs.select("text").mapInPandas(cut, "segment long, class_id long, need long")
         same = W.partitionBy("segment")
         return (rows.withColumns({"lo": F.min("class_id").over(same), "hi": F.max("class_id").over(same),
                                   "holders": F.count(F.lit(1)).over(same)})

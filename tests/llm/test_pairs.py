@@ -104,6 +104,17 @@ def test_similar_sets_share_a_segment():
                     assert np.isin(x, y).sum() >= max(need, other)
 
 
+def test_need_of_a_very_long_text_passes_16_bits(spark):
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 1_000, 4_200_000))
+    tokens = shingle_set(text, 3)
+    digests, need = Segments(90)(tokens)
+    assert len(tokens) > 4_000_000 and need > np.iinfo(np.int16).max and len(digests) > need
+    docs = spark.createDataFrame([(2, text), (1, text + " other end"), (3, "short one")], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in JaccardJoin(words=3, percent=90).components(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
+
+
 def test_matrix_opens_every_group_that_has_a_partner():
     texts = [t for _, t in corpus(5)]
     sets = [shingle_set(t, 3) for t in texts]
