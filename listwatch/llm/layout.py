@@ -16,11 +16,18 @@ from pyspark.sql import DataFrame, functions as F
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: What is between semicolons that are in no quotes or brackets.
+DECLARATION = re.compile(r"""(?:[^;"'(]|"[^"]*"|'[^']*'|\((?:[^)"']|"[^"]*"|'[^']*')*\)|["'(])+""")
 
 # Fixed values of the markup language: which elements are empty, raw, invisible, blocks or spaced.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe object audio video canvas svg math datalist".split())
+UNSEEN = frozenset("head script style title template noscript iframe object audio video canvas datalist".split())
+#: Drawings and formulas, and what HTML is in again; of their elements, those that are not shown and those that are labels.
+ROOTS = frozenset("svg math foreignobject".split())
+METADATA = frozenset("annotation annotation-xml title desc defs metadata symbol clippath mask pattern marker".split())
+LABELS = frozenset("text mi mn mo ms mtext".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr".split())
 BLOCKS = SPACED | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header "
                             "hgroup html legend li main menu nav section summary tr caption".split())
@@ -48,15 +55,20 @@ def tree_events(source: str) -> Iterator[Event]:
     """("start" | "end", tag, attributes) and ("text", text, {}), balanced and with implied tags."""
     open_: list[str] = []
     counts: dict[str, int] = {}
+    roots: list[str] = []
 
     def start(tag: str, found: dict) -> Event:
         open_.append(tag)
         counts[tag] = counts.get(tag, 0) + 1
+        if tag in ROOTS:
+            roots.append(tag)
         return "start", tag, found
 
     def end() -> Event:
         tag = open_.pop()
         counts[tag] -= 1
+        if tag in ROOTS:
+            roots.pop()
         return "end", tag, {}
 
     def reach(tags: set | frozenset, border: set | frozenset) -> int:
@@ -81,7 +93,12 @@ def tree_events(source: str) -> Iterator[Event]:
         if not found:
             break
         at, tag = found.end(), (found[2] or "").lower()
+        foreign = roots and roots[-1] != "foreignobject"
         if not tag:
+            if foreign and found[0].startswith("<![CDATA["):
+                close = source.find("]]>", found.start())
+                yield "text", source[found.start() + 9: close if close >= 0 else len(source)], {}
+                at = close + 3 if close >= 0 else len(source)
             continue
         if found[1]:
             # An inline element that a block was opened in stays open: its end tag ends no block.
@@ -110,7 +127,8 @@ def tree_events(source: str) -> Iterator[Event]:
             yield start("tr", {})
         opened = start(tag, attributes(found[3]))
         yield opened
-        if tag in VOID:
+        # Only drawings and formulas have elements that end themselves.
+        if tag in VOID or (foreign and found[3].endswith("/")):
             yield end()
         elif tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
@@ -121,10 +139,26 @@ def tree_events(source: str) -> Iterator[Event]:
         yield end()
 
 
-def hidden(tag: str, found: dict) -> bool:
-    style = re.sub(r"\s+", "", found.get("style", "").lower())
-    return (tag in UNSEEN or "hidden" in found or "display:none" in style or "visibility:hidden" in style
-            or (tag == "input" and found.get("type", "").lower() == "hidden"))
+def declared(style: str) -> dict[str, str]:
+    """Properties of a style attribute; of several the last counts, one that is important before others."""
+    found, important = {}, set()
+    for m in DECLARATION.finditer(COMMENT.sub(" ", style.lower())):
+        name, _, value = m[0].partition(":")
+        name, value = name.strip(), value.strip()
+        plain = re.sub(r"\s*!\s*important$", "", value)
+        if plain != value:
+            important.add(name)
+        elif name in important:
+            continue
+        found[name] = plain
+    return found
+
+
+def hidden(tag: str, found: dict, foreign: bool) -> bool:
+    """Whether an element is not shown; ``foreign`` in drawings and formulas, where attributes are properties too."""
+    style = {**(found if foreign else {}), **declared(found.get("style", ""))}
+    return (tag in UNSEEN or (foreign and tag in METADATA) or "hidden" in found or style.get("display") == "none"
+            or style.get("visibility") == "hidden" or (tag == "input" and found.get("type", "").lower() == "hidden"))
 
 
 class _Flow:
@@ -195,15 +229,24 @@ def render(source: str | None) -> str:
     """The visible text of a page; null and empty pages give the empty text."""
     flows, tables, lists, rows = [_Flow()], [], [], []
     unseen = pre = 0
+    #: Open drawings, formulas and HTML inside them, each with whether it has had a label.
+    roots: list[list] = []
     for kind, value, found in tree_events(source or ""):
         flow = flows[-1]
         if kind == "text":
             if not unseen:
                 flow.add(value, bool(pre))
             continue
-        if unseen or (kind == "start" and hidden(value, found)):
+        foreign = bool(roots) and roots[-1][0] != "foreignobject"
+        if unseen or (kind == "start" and hidden(value, found, foreign or value in ("svg", "math"))):
             unseen += (1 if kind == "start" else -1)
             continue
+        if value in ROOTS:
+            roots.append([value, False]) if kind == "start" else roots.pop()
+        elif foreign and kind == "start" and value in LABELS:
+            if roots[-1][1]:
+                flow.add(" ", False)
+            roots[-1][1] = True
         if kind == "start":
             if value == "br":
                 flow.break_line(keep=bool(flow.current) or bool(flow.lines))

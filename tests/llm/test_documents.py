@@ -299,6 +299,21 @@ def test_rendering(source, text):
     assert render(source) == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ('<div style="backface-visibility: hidden">slide</div>', "slide"), ('<p style="-x-display:none;color:red">a', "a"),
+    ('<p style="--visibility:hidden">a', "a"), ("<p style=\"background:url('a;display:none;b')\">a", "a"),
+    ('<p style="/* display:none; */ color:red">a', "a"), ('<p style="display:none;display:block">a', "a"),
+    ('<p style="color:red; DISPLAY : None !important; display:block">a</p>b', "b"), ('<p style="visibility:hidden">a</p>b', "b"),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>, so", "Let x = 2, so"),
+    ("<svg><title>t</title><desc>d</desc><defs><text>e</text></defs><text>North</text><text>South</text></svg>", "North South"),
+    ("<svg><defs/><title/><path d='M0'/><text>seen</text></svg> after", "seen after"), ("<desc>plain</desc>", "plain"),
+    ("<svg><text><![CDATA[a < b]]></text><text display='none'>c</text></svg>", "a < b"),
+    ("<svg><foreignObject><p>in HTML</p></foreignObject></svg>", "in HTML"), ("<svg style='display:none'><text>a</text></svg>b", "b"),
+])
+def test_only_what_is_hidden_is_dropped(source, text):
+    assert render(source) == text
+
+
 def test_deep_and_broken_pages(spark):
     deep = "<div>" * 20_000 + "x" + "<li>" * 5_000 + "y"
     assert render(deep).split() == ["x", "-", "y"]
