@@ -163,6 +163,10 @@ class JaccardJoin:
 
     def components(self, docs: DataFrame) -> DataFrame:
         """id, text_key, n_shingles, class_id (null without shingles), class_size, component_id per row."""
+        return self._rooted(docs).drop("root")
+
+    def _rooted(self, docs: DataFrame) -> DataFrame:
+        """The columns of ``components`` and root, the component's own class: an id can be in several components."""
         docs = docs.select(F.col(self.id).alias("id"), F.col(self.text).alias("text"))
         rows = staged(self._sets(docs), "sets")
         classes = staged(
@@ -172,27 +176,28 @@ class JaccardJoin:
         links = connected(self._links(docs, classes).withColumnsRenamed({"class_id": "u", "root": "v"}))
         named = (links.join(classes, links["node"] == classes["class_id"])
                  .groupBy("root").agg(F.min("first_id").alias("lowest")))
-        named = links.join(named, "root").select(F.col("node").alias("class_id"), "lowest")
+        named = links.join(named, "root").select(F.col("node").alias("class_id"), "root", "lowest")
         classes = staged(classes.join(named, "class_id", "left").select(
-            "class_id", "class_size", F.coalesce("lowest", "first_id").alias("lowest")), "components")
+            "class_id", "class_size", F.coalesce("root", "class_id").alias("root"),
+            F.coalesce("lowest", "first_id").alias("lowest")), "components")
         # Both sides are plain scans, so a class of many copies is split at run time.
         return rows.join(classes, "class_id", "left").select(
             F.col("id").alias(self.id), "text_key", F.col("n").alias("n_shingles"), "class_id",
             F.coalesce("class_size", F.lit(1)).alias("class_size"),
-            F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("id")).alias("component_id"))
+            F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("id")).alias("component_id"), "root")
 
     def keep_one(self, docs: DataFrame) -> DataFrame:
         """Rows of ``docs`` without the near copies: of each component the row with the smallest id stays.
 
         Rows with the same id and text are one document.  Documents without shingles all stay.
         """
-        found = self.components(docs)
-        chosen = (found.where("n_shingles > 0")
-                  .groupBy("component_id").agg(F.min(F.struct(F.col(self.id).isNull(), F.col(self.id).alias("i"),
+        found = self._rooted(docs)
+        chosen = (found.where("n_shingles > 0 and component_id is not null")
+                  .groupBy("root").agg(F.min(F.struct(F.col(self.id).isNull(), F.col(self.id).alias("i"),
                                                               id_key(self.id).alias("k"), F.col("text_key").alias("t"))).alias("s")))
         # A component of nameless rows has no id; each class of it stays then.
         nameless = found.where(F.col("n_shingles") > 0).where(F.col("component_id").isNull())
-        kept = (chosen.where("component_id is not null").select("s.k", "s.t")
+        kept = (chosen.select("s.k", "s.t")
                 .union(nameless.select(id_key(self.id), "text_key"))
                 .union(found.where("n_shingles = 0").select(id_key(self.id), "text_key")).distinct())
         kept = staged(kept, "kept")

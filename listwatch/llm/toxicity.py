@@ -76,7 +76,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class ToxicityTrainer:
     """Parameters: at most about ``sample`` documents of each kind, ``width`` features, Adam steps.
 
-    Labels that are null are unlabelled.  Ids that are null or repeated are allowed.  Without a toxic
+    Labels that are null are unlabelled.  Ids that are null or repeated are allowed.  Without the text of a toxic
     example the model has no features and finds nothing toxic.
     """
 
@@ -101,6 +101,8 @@ class ToxicityTrainer:
         # Both samples are bounded: a share of the ids, by hash, that gives `sample` rows.
         wanted = marks.where("label = 1").where(self._share(toxic)).select("id")
         positive = self._collect(rows.join(F.broadcast(wanted), "id", "left_semi"), None)
+        if not positive:
+            return Model(np.empty(0, np.uint32), np.empty(0), -20.0)
         pos, n = np.unique(np.concatenate(positive), return_counts=True)
         pos = pos[n >= self.least]
         unlabelled = self._collect(rows.where(self._share(rows.count())), pos)

@@ -223,6 +223,14 @@ def test_training_takes_its_whole_sample(spark, monkeypatch):
     assert len(calls) == 3 * 60 * 11
 
 
+def test_toxic_labels_without_their_documents(spark):
+    labels = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    docs = spark.createDataFrame([(100 + i, f"clean {i}") for i in range(20)], "doc_id long, text string")
+    for rows in (docs, docs.limit(0)):
+        model = toxicity.ToxicityTrainer().fit(rows, labels)
+        assert not len(model.known) and toxicity.score(rows, model).where("score >= 0.5").count() == 0
+
+
 def test_toxicity_of_odd_rows(spark):
     rows = [(i, ("rotten scoundrel " if i % 4 == 0 else "") + f"calm text number{i % 9} here") for i in range(400)]
     docs = spark.createDataFrame(ODD + rows, "doc_id long, text string").withColumn("score", F.lit("clash"))

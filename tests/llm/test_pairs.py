@@ -87,6 +87,13 @@ def test_other_columns_do_not_matter_and_keep_one_returns_them(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
 
 
+def test_an_id_of_two_unrelated_texts_keeps_both(spark):
+    a, b = ("".join(f"{w}{i} " for i in range(60)) for w in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + "end"), (3, b + "end"), (1, a)], "doc_id long, text string")
+    kept = JaccardJoin().keep_one(docs)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, a), (1, b)]
+
+
 def test_similar_sets_share_a_segment():
     rng = np.random.default_rng(3)
     for percent in (60, 80, 90):
