@@ -32,23 +32,26 @@ COMMON = {
 def with_repeat_words(rows: DataFrame) -> DataFrame:
     """``n_repeat_words`` for ``words``: words inside 3-word windows that occur twice or more in the text.
 
-    Every window is a number: the upper bits of its hash, the lower ones its place.  Sorted, equal
-    windows are neighbours.  The steps are columns of their own, so none is evaluated per element.
+    Every window is its hash and its place.  Sorted, equal windows are neighbours; neighbours with one hash are
+    compared word by word.  The steps are columns of their own, so none is evaluated per element.
     """
-    n, place_bits = F.size("words"), F.length(F.bin(F.size("words")))
-    rows = rows.withColumns({"_low": F.call_function("shiftleft", F.lit(1).cast("long"), place_bits) - 1})
-    rows = rows.withColumn("_high", F.bitwise_not("_low"))
-    windows = F.transform(F.slice("words", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(
-        w, F.get("words", i + 1), F.get("words", i + 2)).bitwiseAND(F.col("_high")).bitwiseOR(i.cast("long")))
+    windows = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0))), lambda w, i: F.struct(
+        F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("at")))
     rows = rows.withColumn("_windows", F.sort_array(windows))
-    upper = lambda x: x.bitwiseAND(F.col("_high"))
+
+    def equal(x: Column, y: Column) -> Column:
+        found = x["h"] == y["h"]
+        for k in range(3):
+            found = found & (F.get("words", x["at"] + k) == F.get("words", y["at"] + k))
+        return found
+
     after = F.slice("_windows", 2, F.greatest(F.size("_windows"), F.lit(1)))
     # Both of each two equal neighbours; the last element has none after it.
-    pairs = F.zip_with("_windows", after, lambda x, y: F.when(upper(x) == upper(y), F.array(x, y)))
+    pairs = F.zip_with("_windows", after, lambda x, y: F.when(equal(x, y), F.array(x["at"], y["at"])))
     rows = rows.withColumn("_pairs", F.filter(pairs, lambda p: p.isNotNull()))
-    inside = F.transform(F.flatten("_pairs"), lambda x: F.array(*[x.bitwiseAND(F.col("_low")) + k for k in range(3)]))
+    inside = F.transform(F.flatten("_pairs"), lambda x: F.array(*[x + k for k in range(3)]))
     rows = rows.withColumn("n_repeat_words", F.size(F.array_distinct(F.flatten(inside))).cast("long"))
-    return rows.drop("_low", "_high", "_windows", "_pairs")
+    return rows.drop("_windows", "_pairs")
 
 
 def distance(p: Column, q: Column) -> Column:

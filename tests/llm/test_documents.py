@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from listwatch.llm import licences, toxicity
-from listwatch.llm.divergence import CLASSES, COMMON, Divergence, distance
+from listwatch.llm.divergence import CLASSES, COMMON, Divergence, distance, with_repeat_words
 from listwatch.llm.layout import render, visible_text
 from listwatch.llm.licences import FAMILIES, NOTICES, LicenceScan, find, notice_words
 from listwatch.llm.mixing import Mixture, allocate
@@ -165,6 +165,12 @@ def test_base_counts_equal_brute_force(spark):
     assert not any(r["kept"] and r["base_failed"] for r in found) and Divergence().judge(docs.limit(0)).count() == 0
 
 
+def test_long_text_without_repeats_has_none(spark):
+    words = F.transform(F.sequence(F.lit(1), F.lit(5_000_000)), lambda i: i.cast("string"))
+    rows = spark.range(1).select(words.alias("words"))
+    assert with_repeat_words(rows).select("n_repeat_words").first()[0] == 0
+
+
 def test_histograms_and_distance(spark):
     docs = spark.createDataFrame([(1, "The the cat, of THE of 12 #é", "en")], "doc_id long, text string, lang string")
     row = Divergence().measure(docs).first()
