@@ -8,11 +8,14 @@ from listwatch.llm.digest_index import ExactDedup
 from listwatch.llm.divergence import Divergence
 from listwatch.llm.layout import visible_text
 from listwatch.llm.licences import LicenceScan
+from listwatch.llm.middle import FillInMiddle
 from listwatch.llm.mixing import Mixture
+from listwatch.llm.packages import WarcPackages
 from listwatch.llm.packing import Packing
 from listwatch.llm.quotes import QuotationLinks
 from listwatch.llm.token_groups import JaccardJoin
 from listwatch.llm.trust import Rule, TrustFilter
+from listwatch.llm.whitening import Whitening
 from listwatch.plans.registry import query
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -138,3 +141,54 @@ def op9(t):
 def op10(t):
     """Rule or link-graph verdict of every page's url."""
     return TrustFilter(RULES).judge(t.pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op11_embedding_whitening", "")
+def op11(t):
+    """Every embedding whitened along its first 32 components."""
+    return Whitening().transform(t.embeddings)
+
+
+MIDDLE_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(cast(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+             ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(units)::BIGINT AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+             greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p"""
+
+
+@query("op12_fill_in_middle", "", MIDDLE_SQL)
+def op12(t):
+    """Every document in fill-in-the-middle form, and the text that its output gives back."""
+    fill = FillInMiddle()
+    found = fill.transform(t.documents).withColumn("restored", fill.restored(F.col("output"), F.col("form")))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2("restored", 256).alias("restored_sha256"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+                  min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(h, 1 + 10 * (i // 8)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p"""
+
+
+@query("op13_warc_packages", "", WARC_SQL)
+def op13(t):
+    """Every page's record, read back from the packages that all pages were written to."""
+    packages = WarcPackages()
+    found = packages.read(packages.places(packages.write(t.pages)), payload=False)
+    broken = F.raise_error(F.concat_ws(": ", "path", "problem"))
+    kind = F.when(F.col("problem").isNotNull(), broken).otherwise(F.col("type"))
+    return found.select(F.col("name").cast("long").alias("page_id"), "payload_bytes", "payload_digest", kind.alias("record_type"),
+                        F.col("refers_to").cast("long").alias("refers_to"))
