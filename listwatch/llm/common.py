@@ -27,6 +27,17 @@ def id_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("null"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it, whatever its case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered per worker process."""
 

@@ -1,6 +1,6 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table (digest, doc_id) bucketed and sorted by digest.  A batch of new data is reduced
+The index is a table (digest, doc_id) bucketed and sorted by digest; a table beside it says how many buckets it has.  A batch of new data is reduced
 to one row per digest, anti-joined with the index by sort-merge (the index side needs no shuffle) and
 what is new is appended, one file per bucket.  Running a batch again appends nothing.
 """
@@ -10,6 +10,7 @@ import uuid
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from listwatch.llm.common import id_key, staged
@@ -24,16 +25,24 @@ def text_digest(texts: pd.Series) -> pd.Series:
 
 @dataclass
 class DigestIndex:
-    """The index under ``path``; an existing one is opened with the bucket count it was made with."""
+    """The index under ``path``; an existing one is opened with the bucket count it was made with, whatever is asked for."""
 
     spark: SparkSession
     path: str
     buckets: int = 64
 
     def __post_init__(self):
-        self.name = f"digest_index_{hashlib.md5(self.path.encode()).hexdigest()}"
+        about = f"{self.path}/about"
+        try:
+            self.buckets = self.spark.read.schema("buckets int").parquet(about).agg(F.min("buckets")).first()[0] or self.buckets
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            self.spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.mode("ignore").parquet(about)
+        # The count is in the name: a session that knows the table under another count makes its own entry.
+        self.name = f"digest_index_{hashlib.md5(self.path.encode()).hexdigest()}_{self.buckets}"
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, doc_id BIGINT) USING parquet "
-                       f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+                       f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/rows'")
 
     def rows(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.name)
@@ -61,7 +70,7 @@ class ExactDedup:
     text it knows keeps its earlier document.
 
     Null and empty texts are equal.  A null id is smaller than any other.  Of rows that repeat both
-    text and id one stays.  Other columns are carried along by ``keep_one`` and ignored otherwise.
+    text and id one stays.  Other columns are carried along by ``keep_one``, whatever their names, and ignored otherwise.
     """
 
     batches: int = 2
@@ -73,8 +82,9 @@ class ExactDedup:
         index = index or temporary_index(docs.sparkSession)
         rows = self._indexed(docs, index)
         sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-        best = (rows.join(index.rows().hint("merge").select("digest", F.col("doc_id").alias("keep_id")), "digest")
-                .where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("row").alias("keep_row")))
+        # By digest and id, with the copies of a row reduced first: a hot text is dealt by its ids.
+        own = rows.groupBy("digest", id_key("id").alias("k")).agg(F.max("row").alias("keep_row"))
+        best = own.join(index.rows().hint("shuffle_merge").select("digest", id_key("doc_id").alias("k")), ["digest", "k"]).drop("k")
         groups = (index.rows().select("digest", F.col("doc_id").alias("keep_id"))
                   .join(sizes, "digest").join(best, "digest", "left"))
         # Written first: then both sides of the next join are plain scans and a hot text is split at run time.
@@ -87,11 +97,12 @@ class ExactDedup:
         """Rows of ``docs`` that stay, with all their columns."""
         index = index or temporary_index(docs.sparkSession)
         self._indexed(docs, index)
-        rows = docs.withColumns({"_digest": text_digest(F.col(self.text)), "_id": id_key(self.id)})
-        kept = index.rows().select(F.col("digest").alias("_digest"), id_key("doc_id").alias("_id"))
+        # The columns travel in a struct, so helper columns clash with none of them.
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_digest(F.col(self.text)).alias("digest"),
+                           id_key(self.id).alias("k"))
+        kept = index.rows().select("digest", id_key("doc_id").alias("k"))
         # The id is part of the key, so copies of a hot text are not sent to one task.
-        rows = rows.join(kept.hint("shuffle_merge"), ["_digest", "_id"], "left_semi")
-        return rows.dropDuplicates(["_digest", "_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return rows.join(kept.hint("shuffle_merge"), ["digest", "k"], "left_semi").dropDuplicates(["digest", "k"]).select("row.*")
 
     def _indexed(self, docs: DataFrame, index: DigestIndex) -> DataFrame:
         """(row, id, digest) of every row, after the index has taken them in."""

@@ -4,7 +4,8 @@ The tree builder turns markup into balanced events: it supplies tags that HTML i
 ends the one before, a block ends a paragraph, a row belongs to a table) and ends what is left open.
 The renderer walks the events once, without recursion, so depth of nesting is no limit: visibility
 rules drop hidden parts, blocks are spaced as they are laid out, lists get marks and indents, and the
-cells of a table are aligned in columns.
+cells of a table are aligned in columns.  Alignment and indents are bounded, so the text is at most a small
+multiple of the page, and every scan of the markup is linear, whatever is left open in it.
 """
 
 import html
@@ -14,11 +15,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-#: What is between semicolons that are in no quotes or brackets.
-DECLARATION = re.compile(r"""(?:[^;"'(]|"[^"]*"|'[^']*'|\((?:[^)"']|"[^"]*"|'[^']*')*\)|["'(])+""")
+#: The most that lists are indented, and the widest cell that a column is aligned to.
+INDENT, ALIGNED = 64, 64
+#: Most characters that alignment makes of one of a row's own; a row beyond that is written without.
+GROWTH = 16
 
 # Fixed values of the markup language: which elements are empty, raw, invisible, blocks or spaced.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -47,6 +50,74 @@ HEAD = frozenset("base link meta title style script noscript template head html"
 Event = tuple[str, str, dict]
 
 
+class Closing:
+    """First ``mark`` outside of quotes from a place on.
+
+    Answers are kept by the quotes and marks that they pass, so all questions together cost one
+    pass over the source.
+    """
+
+    def __init__(self, source: str, mark: str):
+        self.source, self.mark = source, mark
+        self.special = re.compile(f"[\"'{re.escape(mark)}]")
+        self.known: dict[int, int] = {}
+        self.run = (0, -1)
+        self.none_from = len(source)
+
+    def _next(self, at: int) -> int:
+        """The next quote or mark."""
+        if at >= self.none_from:
+            return -1
+        if not self.run[0] <= at <= self.run[1]:
+            found = self.special.search(self.source, at)
+            if not found:
+                self.none_from = at
+                return -1
+            self.run = (at, found.start())
+        return self.run[1]
+
+    def __call__(self, at: int) -> int:
+        passed = []
+        while True:
+            place = self._next(at)
+            if place < 0 or place in self.known:
+                found = self.known.get(place, -1)
+                break
+            passed.append(place)
+            if self.source[place] == self.mark:
+                found = place
+                break
+            end = self.source.find(self.source[place], place + 1)
+            if end < 0:
+                found = -1
+                break
+            at = end + 1
+        for place in passed:
+            self.known[place] = found
+        return found
+
+
+class Markup:
+    """Tags, comments and declarations of a page, in order."""
+
+    def __init__(self, source: str):
+        self.source, self.closing, self.last = source, Closing(source, ">"), source.rfind(">")
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether an end tag, tag, attributes) of what follows; comments and declarations have no tag."""
+        while (at := self.source.find("<", at)) >= 0:
+            if self.source.startswith("<!--", at):
+                end = self.source.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(self.source), False, "", ""
+            if self.source[at + 1: at + 2] in ("!", "?"):
+                if at < self.last:
+                    return at, self.source.index(">", at) + 1, False, "", ""
+            elif (name := NAME.match(self.source, at)) and (end := self.closing(name.end())) >= 0:
+                return at, end + 1, bool(name[1]), name[2].lower(), self.source[name.end(): end]
+            at += 1
+        return None
+
+
 def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(next((v for v in m.groups()[1:] if v is not None), "")) for m in ATTRIBUTE.finditer(source)}
 
@@ -81,10 +152,10 @@ def tree_events(source: str) -> Iterator[Event]:
                     return 0
         return 0
 
-    at = 0
+    at, markup = 0, Markup(source)
     while at < len(source):
-        found = TOKEN.search(source, at)
-        text = source[at: found.start() if found else len(source)]
+        found = markup.next(at)
+        text = source[at: found[0] if found else len(source)]
         if text:
             if counts.get("head") and text.strip():
                 for _ in range(reach({"head"}, set())):
@@ -92,15 +163,15 @@ def tree_events(source: str) -> Iterator[Event]:
             yield "text", html.unescape(text), {}
         if not found:
             break
-        at, tag = found.end(), (found[2] or "").lower()
+        begin, at, ends, tag, inside = found
         foreign = roots and roots[-1] != "foreignobject"
         if not tag:
-            if foreign and found[0].startswith("<![CDATA["):
-                close = source.find("]]>", found.start())
-                yield "text", source[found.start() + 9: close if close >= 0 else len(source)], {}
+            if foreign and source.startswith("<![CDATA[", begin):
+                close = source.find("]]>", begin)
+                yield "text", source[begin + 9: close if close >= 0 else len(source)], {}
                 at = close + 3 if close >= 0 else len(source)
             continue
-        if found[1]:
+        if ends:
             # An inline element that a block was opened in stays open: its end tag ends no block.
             n = reach({tag}, set() if tag in SCOPE else SCOPE if tag in BLOCKS else BLOCKS | SCOPE)
             for _ in range(n):
@@ -125,10 +196,10 @@ def tree_events(source: str) -> Iterator[Event]:
                     break
         if tag in ("td", "th") and counts.get("table") and not reach({"tr"}, {"table"}):
             yield start("tr", {})
-        opened = start(tag, attributes(found[3]))
+        opened = start(tag, attributes(inside))
         yield opened
         # Only drawings and formulas have elements that end themselves.
-        if tag in VOID or (foreign and found[3].endswith("/")):
+        if tag in VOID or (foreign and inside.endswith("/")):
             yield end()
         elif tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
@@ -139,11 +210,30 @@ def tree_events(source: str) -> Iterator[Event]:
         yield end()
 
 
+def declarations(style: str) -> Iterator[str]:
+    """What is between semicolons that are in no quotes or brackets; one that is never closed encloses nothing."""
+    closing, unclosed, begin, at = Closing(style, ")"), set(), 0, 0
+    while at < len(style):
+        c = style[at]
+        if c == ";":
+            yield style[begin:at]
+            begin = at + 1
+        elif c in "\"'" and c not in unclosed:
+            end = style.find(c, at + 1)
+            if end < 0:
+                unclosed.add(c)
+            at = max(at, end)
+        elif c == "(":
+            at = max(at, closing(at + 1))
+        at += 1
+    yield style[begin:]
+
+
 def declared(style: str) -> dict[str, str]:
     """Properties of a style attribute; of several the last counts, one that is important before others."""
     found, important = {}, set()
-    for m in DECLARATION.finditer(COMMENT.sub(" ", style.lower())):
-        name, _, value = m[0].partition(":")
+    for declaration in declarations(COMMENT.sub(" ", style.lower())):
+        name, _, value = declaration.partition(":")
         name, value = name.strip(), value.strip()
         plain = re.sub(r"\s*!\s*important$", "", value)
         if plain != value:
@@ -166,11 +256,14 @@ class _Flow:
 
     def __init__(self):
         self.lines: list[str] = []
+        #: Characters of text that went in, without what layout adds.
+        self.weight = 0
         self.current = ""
         self.lead = self.indent = ""
         self.gap = False
 
     def add(self, text: str, kept: bool) -> None:
+        self.weight += len(text)
         if kept:
             first, *more = text.split("\n")
             self.current += first
@@ -202,28 +295,46 @@ class _Flow:
 
 class _Table:
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
+        #: Per row the cells: lines, columns and weight.
+        self.rows: list[list[tuple[list[str], int, int]]] = []
 
     def lines(self) -> list[str]:
-        """Rows with every column as wide as its widest cell; a cell over several columns widens none."""
+        """Rows with columns as wide as their widest cell up to ``ALIGNED``; a cell over several columns widens none.
+
+        Wider lines are not filled up, and what follows them stands where they end.  A row that alignment
+        would make more than ``GROWTH`` times as long as it is keeps single gaps between its cells.
+        """
         widths: dict[int, int] = {}
         for row in self.rows:
             column = 0
-            for text, span in row:
+            for text, span, _ in row:
                 if span == 1:
-                    widths[column] = max([widths.get(column, 0), *map(len, text)])
+                    widths[column] = max([widths.get(column, 0), *(n for n in map(len, text) if n <= ALIGNED)])
                 column += span
         out = []
         for row in self.rows:
-            for i in range(max([1, *(len(t) for t, _ in row)])):
-                line, column = "", 0
-                for text, span in row:
-                    width = sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
-                    line += (text[i] if i < len(text) else "").ljust(width) + "  "
-                    column += span
-                out.append(line.rstrip())
+            out += self._row(row, widths)
         return [x for x in out if x]
 
+    def _row(self, row: list[tuple[list[str], int, int]], widths: dict[int, int]) -> list[str]:
+        room, column, filled = [], 0, 0
+        for text, span, _ in row:
+            room.append(min(ALIGNED, sum(widths.get(c, 0) for c in range(column, min(column + span, len(widths)))) + 2 * (span - 1)))
+            column += span
+        height = max([1, *(len(text) for text, _, _ in row)])
+        for i in range(height if row else 0):
+            last = max((k for k, (text, _, _) in enumerate(row) if i < len(text)), default=-1)
+            filled += sum(room[:last]) + 2 * last + (len(row[last][0][i]) if last >= 0 else 0)
+            if filled > GROWTH * (sum(w for _, _, w in row) + 4 * len(row)):
+                return ["  ".join(text[k] for text, _, _ in row if k < len(text)) for k in range(height)]
+        out = []
+        for i in range(height):
+            line = ""
+            for (text, _, _), width in zip(row, room):
+                line += (text[i] if i < len(text) else "").ljust(width) + "  "
+            out.append(line.rstrip())
+        return out
+
 
 def render(source: str | None) -> str:
     """The visible text of a page; null and empty pages give the empty text."""
@@ -263,7 +374,7 @@ def render(source: str | None) -> str:
                 outer = lists[-1] if lists else ["ul", 0, ""]
                 outer[1] += 1
                 mark = f"{outer[1]}. " if outer[0] == "ol" else "- "
-                flow.lead, flow.indent = outer[2] + mark, outer[2] + " " * len(mark)
+                flow.lead, flow.indent = outer[2] + mark, (outer[2] + " " * len(mark))[:INDENT]
             elif value == "table":
                 tables.append(_Table())
                 rows.append(len(flows))
@@ -271,7 +382,7 @@ def render(source: str | None) -> str:
                 tables[-1].rows.append([])
             elif value in ("td", "th") and tables and tables[-1].rows:
                 span = found.get("colspan", "")
-                tables[-1].rows[-1].append(([], min(max(int(span), 1), 1000) if span.isdigit() else 1))
+                tables[-1].rows[-1].append(([], min(max(int(span), 1), 1000) if span.isdecimal() and len(span) < 9 else 1, 0))
                 flows.append(_Flow())
             elif value in ("td", "th"):
                 flow.add(" ", False)
@@ -282,11 +393,13 @@ def render(source: str | None) -> str:
         if value in ("td", "th") and tables and len(flows) > rows[-1]:
             flow.break_line()
             flows.pop()
-            tables[-1].rows[-1][-1][0].extend(x for x in flow.lines if x)
+            _, span, _ = tables[-1].rows[-1].pop()
+            tables[-1].rows[-1].append(([x for x in flow.lines if x], span, flow.weight))
             continue
         if value == "table" and tables:
             table = tables.pop()
             rows.pop()
+            flow.weight += sum(weight for row in table.rows for _, _, weight in row)
             for line in table.lines():
                 flow.current = line
                 flow.break_line(keep=True)

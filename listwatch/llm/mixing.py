@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from listwatch.llm.common import staged
+from listwatch.llm.common import free_names, staged
 
 #: Hex digits of the digest that name a bucket: 4,096 buckets per leaf and epoch.
 DIGITS = 3
@@ -83,7 +83,10 @@ class Mixture:
         return self._budgets(self._placed(docs).select("_domain", "_lang", "_source", "_tokens"))
 
     def mix(self, docs: DataFrame) -> DataFrame:
-        """The chosen rows with all their columns, ``_epoch`` (from 0) and ``_tokens``; one row per epoch taken."""
+        """The chosen rows with all their columns, and _domain, _lang, _source, _tokens and _epoch (from 0); one row per epoch taken.
+
+        Columns of the documents keep their values: an added name that they have gets more underscores.
+        """
         leaf = ["_domain", "_lang", "_source"]
         placed = self._placed(docs)
         small = staged(placed.select("_domain", "_lang", "_source", "_tokens", "_key"), "places")
@@ -101,7 +104,6 @@ class Mixture:
             F.min(F.struct(F.col("_bucket").alias("end"), (F.col("_rest") - F.col("upto") + F.col("n")).alias("room"))).alias("e"))
         ends = staged(plan.join(ends, leaf, "left").select(*leaf, "_whole", "_rest", "e.end", "e.room"), "ends")
 
-        columns = [F.col(f"`{c}`") for c in docs.columns]
         rows = placed.join(ends, leaf).withColumn("_digest", self._digest(F.col("_whole")))
         bucket = F.substring("_digest", 1, DIGITS)
         # Whole epochs, and the partial one where the bucket lies before the end.
@@ -111,15 +113,17 @@ class Mixture:
         # Equal digests have equal sums: repeated rows are taken together.
         upto = F.sum("_tokens").over(W.partitionBy(*leaf).orderBy("_digest"))
         last = last.withColumn("_upto", upto).where(F.col("_upto") <= F.col("room")).withColumn("_epoch", F.col("_whole"))
-        extra = [*[F.col(c) for c in leaf], F.col("_tokens"), F.col("_epoch")]
-        return taken.select(*columns, *extra).union(last.select(*columns, *extra))
+        names = [*leaf, "_tokens", "_epoch"]
+        extra = [F.col(c).alias(name) for c, name in zip(names, free_names(docs, *names))]
+        return taken.select("_row.*", *extra).union(last.select("_row.*", *extra))
 
     def _placed(self, docs: DataFrame) -> DataFrame:
         text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-        return docs.withColumns({
-            "_domain": text(F.expr(self.domain)), "_lang": text(F.col("lang")), "_source": text(F.col("source")),
-            "_tokens": word_tokens(self.text),
-            "_key": F.coalesce(F.col(self.id).cast("string"), F.md5(F.coalesce(F.col(self.text), F.lit(""))))})
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        return docs.select(
+            row.alias("_row"), text(F.expr(self.domain)).alias("_domain"), text(F.col("lang")).alias("_lang"),
+            text(F.col("source")).alias("_source"), word_tokens(self.text).alias("_tokens"),
+            F.coalesce(F.col(self.id).cast("string"), F.md5(F.coalesce(F.col(self.text), F.lit("")))).alias("_key"))
 
     def _digest(self, epoch: Column) -> Column:
         return F.md5(F.concat_ws(":", F.lit(str(self.seed)), epoch.cast("string"), F.col("_key")))

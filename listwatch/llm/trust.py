@@ -1,13 +1,15 @@
 """URL filters by link-graph propagation, in built-in functions only.
 
 Rules decide the urls that they fit; the longest rule wins.  Other urls are judged by their host.
-Trust flows from hosts that the rules allow along the links between hosts (personalised PageRank);
-distrust flows from hosts that they block against the links, to whoever links there.  A host is
+Trust flows from hosts that the rules allow along the links between hosts (personalised PageRank):
+a host divides what it has among the hosts it links to.  Distrust flows from hosts that they block
+against the links, to whoever links there, and counts by the share of a host's own links that lead
+to distrusted hosts: the expected visits to blocked hosts, damped at each step, of a walk along links that starts
+at the host.  It does not shrink with the number of hosts that link to a blocked one.  A host is
 blocked when its distrust reaches a threshold and exceeds its trust.
 
-Seeds are shares: a host of which a rule covers every tenth page is a tenth of a seed.  Scores are those
-of PageRank divided by (1 - damping): seed + damping * (what flows in).  A full seed has at least 1, and
-without links scores are the seeds.
+Seeds are shares: a host of which a rule covers every tenth page is a tenth of a seed.  Scores are
+seed + damping * (what flows in).  A full seed has at least 1, and without links scores are the seeds.
 """
 
 from dataclasses import dataclass
@@ -48,17 +50,16 @@ def _longest(rules: tuple[Rule, ...], host: Column, path: Column, value) -> Colu
 
 @dataclass(frozen=True)
 class TrustFilter:
-    """``damping``, ``rounds`` and ``tolerance`` are those of the PageRank; ``limit`` is the distrust that blocks.
+    """``damping`` is that of the PageRank, rounds go on until no score moves by more than ``tolerance``; ``limit`` blocks.
 
     A null url, or one without ``://``, has the empty host and path, fits no rule and is allowed; the
     empty host takes part in no link.  Null html has no links.  Repeated pages count repeatedly in
-    their host's seed shares; repeated links weigh more.  Relative links and links to the own host
-    are no edges.  Other columns are ignored.
+    their host's seed shares; repeated links weigh more.  Links that begin with ``//`` name a host
+    like those with a scheme; relative links and links to the own host are no edges.  Other columns are ignored.
     """
 
     rules: tuple[Rule, ...]
     damping: float = 0.85
-    rounds: int = 40
     tolerance: float = 1e-6
     limit: float = 0.5
     id: str = "page_id"
@@ -81,7 +82,8 @@ class TrustFilter:
         """(source, target, weight) between different hosts."""
         found = pages.select(host_of(F.col("url")).alias("source"), F.explode(
             F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("link"))
-        found = found.select("source", host_of(F.col("link")).alias("target"))
+        link = F.when(F.col("link").startswith("//"), F.concat(F.lit(":"), "link")).otherwise(F.col("link"))
+        found = found.select("source", host_of(link).alias("target"))
         return (found.where("source <> '' and target <> '' and source <> target")
                 .groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")))
 
@@ -97,13 +99,12 @@ class TrustFilter:
         seeds = own.union(linked)
         seeds = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "allowed", F.lit("distrust"), "barred"))
                              .alias("kind", "seed"))
-        flows = links.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "weight")
-        flows = flows.union(links.select(F.lit("distrust"), "target", "source", "weight"))
-        sums = flows.groupBy("kind", "host").agg(F.sum("weight").alias("all"))
-        flows = staged(flows.join(sums, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("all")).alias("share")),
-                       "flows")
+        sums = links.groupBy("source").agg(F.sum("weight").alias("all"))
+        shares = links.join(sums, "source").withColumn("share", F.col("weight") / F.col("all"))
+        flows = shares.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "share")
+        flows = staged(flows.union(shares.select(F.lit("distrust"), "target", "source", "share")), "flows")
         state = staged(seeds.withColumn("score", F.col("seed")), "state")
-        for _ in range(self.rounds):
+        while True:
             received = (flows.join(state.select("kind", "host", "score"), ["kind", "host"])
                         .groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("in")))
             new = F.col("seed") + self.damping * F.coalesce("in", F.lit(0.0))
