@@ -40,7 +40,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that meet the target weights: nine tenths of the tokens, no document twice."""
     configure(spark)
-    return Mixture(**TARGET, share=0.9, epochs=1).mix(docs).drop("_domain", "_lang", "_source", "_tokens", "_epoch")
+    mixed = Mixture(**TARGET, share=0.9, epochs=1).mix(docs)
+    return mixed.select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
