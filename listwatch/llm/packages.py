@@ -349,8 +349,10 @@ class WarcPackages:
             if file:
                 file.close()
 
-        # Neighbours in a file stay together; a large package is still dealt to many tasks.
-        spread = places.repartition(F.col("path"), F.floor(F.col("at") / (4 << 20)))
+        # Neighbours in a file stay together; a large package is still dealt to many tasks.  The rows are small
+        # and the ranges are not, so the number of tasks is given and not merged by the size of the rows.
+        tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = places.repartition(tasks, F.col("path"), F.floor(F.col("at") / (4 << 20)))
         return spread.mapInArrow(fetch, "path string, at long, type string, name string, uri string, refers_to string, "
                                         "payload_bytes long, payload_digest string, problem string, payload binary")
 
