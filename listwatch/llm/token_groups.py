@@ -6,11 +6,18 @@ similar classes, and blocks into groups; per block a matrix (token x group) hold
 every group.  The overlap of a query with a group's union bounds its Jaccard similarity with every
 member, so only groups that reach the threshold are opened and compared exactly.
 
-Which blocks a class must visit is decided without loss: two sets with similarity of p percent
-differ in at most d = (100 - p) / (100 + p) * (their sizes) tokens.  The token space is cut into more
-than d segments by hash, so at least one segment holds the same tokens in both.  A class visits the
-blocks that share a segment with it.  Frequent shingles cannot open a block by themselves, because a
-segment has several tokens.
+Which blocks a class must visit is decided without loss, in two steps.  Two sets with similarity of p
+percent differ in at most d = (100 - p) / (100 + p) * (their sizes) tokens.  The token space is cut into
+more than d segments by hash, so at least one segment holds the same tokens in both; classes that share
+too few segments with any other have no partner, and most classes end there.  The tokens of the others
+are ordered by how many of them hold a token, rarest first.  Partners have one of the first
+n - ceil(p n / 100) + 1 tokens in common, so a class visits the blocks that hold one of its first tokens:
+frequent shingles, and passages that many texts share, come last in that order and open nothing.
+
+Links are found in two rounds.  In the first, classes are compared within their block, and each visits
+the lowest block of every first token, so a group of near copies becomes one component however many blocks
+it fills.  In the second, only tokens whose holders are not one component yet lead to visits, and only
+between different components.
 
 Answers are spanning links, never pairs: each task joins what it found in a local union-find and
 returns one row per class, and the classes are contracted to components in Spark.
@@ -49,9 +56,9 @@ class Segments:
 
     Sizes fall into steps of ratio 100 / percent, so partners are at most one step apart and both
     use the layout of the larger one's step.  A step has d + 1 + spare segments, so partners agree
-    on more than ``spare``.  A set with at most ``spare`` empty segments therefore leaves those out, and
-    shares at least spare + 1 less its empty ones: a single segment in common, as a frequent shingle
-    gives, is not enough.
+    on more than ``spare``.  Empty segments are left out, so a set shares at least spare + 1 less its empty
+    ones: a single segment in common, as a frequent shingle gives, is not enough.  A set with more empty
+    segments than that may share only empty ones; it needs none and is a candidate in any case.
     """
 
     def __init__(self, percent: int):
@@ -82,8 +89,8 @@ class Segments:
             filled = np.bincount(at, minlength=count) > 0
             digests = mix(sums + mix(np.arange(count, dtype=np.uint64) + np.uint64(step << 32)))
             empty = int(count - filled.sum())
-            found.append(digests[filled] if empty <= spare else digests)
-            need.append(max(1, spare + 1 - empty))
+            found.append(digests[filled])
+            need.append(max(0, spare + 1 - empty))
         return (np.concatenate(found), min(need)) if found else (np.empty(0, np.uint64), 1)
 
 
@@ -151,7 +158,8 @@ class JaccardJoin:
     out in chunks of about that many tokens (a longer document is a chunk of its own).
 
     Null and empty texts have no shingles and are linked with nothing.  Null ids are allowed: they
-    never name a component that has another id.  Repeated rows count as copies.  Other columns are ignored.
+    never name a component that has another id.  Repeated rows count as copies.  Other columns are ignored by
+    ``components`` and carried along by ``keep_one``, whatever their names.
     """
 
     words: int = 5
@@ -201,9 +209,9 @@ class JaccardJoin:
                 .union(nameless.select(id_key(self.id), "text_key"))
                 .union(found.where("n_shingles = 0").select(id_key(self.id), "text_key")).distinct())
         kept = staged(kept, "kept")
-        rows = docs.withColumns({"_k": id_key(self.id), "_t": text_key(self.text)})
-        rows = rows.join(kept.select(F.col("k").alias("_k"), F.col("t").alias("_t")), ["_k", "_t"], "left_semi")
-        return rows.dropDuplicates(["_k", "_t"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+        # The columns travel in a struct, so helper columns clash with none of them.
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key(self.id).alias("k"), text_key(self.text).alias("t"))
+        return rows.join(kept, ["k", "t"], "left_semi").dropDuplicates(["k", "t"]).select("row.*")
 
     def _sets(self, docs: DataFrame) -> DataFrame:
         words = self.words
@@ -219,7 +227,7 @@ class JaccardJoin:
             measure, f"id {kind}, text_key long, n long, class_id long")
 
     def _shared_segments(self, docs: DataFrame) -> DataFrame:
-        """(segment, class_id, need, holders) for the segments that two or more classes hold."""
+        """(segment, class_id, need, holders, shared) for the segments that two or more classes hold, and those of classes that need none."""
         words, percent = self.words, self.percent
 
         def cut(batches):
@@ -241,9 +249,10 @@ class JaccardJoin:
 
         rows = docs.select("text").mapInPandas(cut, "segment long, class_id long, need long")
         same = W.partitionBy("segment")
-        return (rows.withColumns({"lo": F.min("class_id").over(same), "hi": F.max("class_id").over(same),
+        return (rows.withColumns({"shared": F.min("class_id").over(same) < F.max("class_id").over(same),
                                   "holders": F.count(F.lit(1)).over(same)})
-                .where("lo < hi").groupBy("segment", "class_id").agg(F.min("need").alias("need"), F.first("holders").alias("holders")))
+                .where("shared or need = 0").groupBy("segment", "class_id")
+                .agg(F.min("need").alias("need"), F.first("holders").alias("holders"), F.first("shared").alias("shared")))
 
     def _tokens(self, docs: DataFrame, members: DataFrame) -> DataFrame:
         """(class_id, tokens) of the member classes, from one text of each."""
@@ -262,31 +271,74 @@ class JaccardJoin:
     def _chunk(self, chunks: Column) -> Column:
         return F.pmod(F.xxhash64("class_id"), chunks)
 
+    def _members(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
+        """(class_id, n, sample, block) of the classes that can have a partner."""
+        segments = staged(self._shared_segments(docs), "segments")
+        home = segments.groupBy("class_id").agg(F.max(F.struct("holders", "segment"))["segment"].alias("home"),
+                                                F.count_if("shared").alias("held"), F.min("need").alias("need")).where("held >= need")
+        members = classes.join(home, "class_id").select("class_id", "n", "sample", "home")
+        chunks = members.groupBy("home").agg(F.ceil(F.sum("n") / self.block_tokens).alias("chunks"))
+        return members.join(chunks, "home").select(
+            "class_id", "n", "sample", F.xxhash64("home", self._chunk(F.col("chunks"))).alias("block"))
+
+    def _first_tokens(self, tokens: DataFrame, members: DataFrame) -> DataFrame:
+        """(token, class_id, n, block) of every member's rarest tokens, less those that nobody else holds.
+
+        Partners share one of them: of n tokens at least n * percent / 100 are common, so the common ones
+        cannot all come after the first n - ceil(n * percent / 100) + 1 in an order that both follow.
+        """
+        each = tokens.select("class_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+        holders = each.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+        held, own = each.join(holders, "token"), W.partitionBy("class_id")
+        length = F.col("n") - F.ceil(F.col("n") * self.percent / F.lit(100)) + 1
+        first = (held.withColumns({"place": F.row_number().over(own.orderBy("holders", "token")), "held": F.count(F.lit(1)).over(own)})
+                 .where(F.col("place") <= length - (F.col("n") - F.col("held"))))
+        return first.select("token", "class_id").join(members.select("class_id", "n", "block"), "class_id")
+
     def _links(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """(class_id, root) rows that span all links between different classes."""
-        shared = staged(self._shared_segments(docs), "segments")
-        home = shared.groupBy("class_id").agg(F.max(F.struct("holders", "segment"))["segment"].alias("home"),
-                                              F.count(F.lit(1)).alias("held"), F.min("need").alias("need")).where("held >= need")
-        members = classes.join(home, "class_id").select("class_id", "n", "sample", "home", "need")
-        chunks = members.groupBy("home").agg(F.ceil(F.sum("n") / self.block_tokens).alias("chunks"))
-        members = staged(members.join(chunks, "home").select(
-            "class_id", "n", "sample", "need", F.xxhash64("home", self._chunk(F.col("chunks"))).alias("block")), "members")
+        members = staged(self._members(docs, classes), "members")
         tokens = staged(self._tokens(docs, members), "tokens")
-
-        # Each two blocks that share a segment meet once: classes of the lower block visit the higher one.
-        held = shared.select("segment", "class_id").join(members.select("class_id", "n", "need", "block"), "class_id")
-        across = held.groupBy("segment").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi")
-        held = staged(held.join(across.select("segment"), "segment", "left_semi"), "held")
-        target = held.select("segment", F.col("block").alias("to")).distinct()
-        # The bound on the overlap with a whole block: too few common segments, no partner in it.
-        visits = (held.join(target, "segment").where("block < to").groupBy("class_id", "n", "need", F.col("to").alias("block"))
-                  .agg(F.count(F.lit(1)).alias("common")).where("common >= need").select("class_id", "n", "block"))
-        visits = staged(visits, "visits")
+        first = staged(self._first_tokens(tokens, members), "first_tokens")
+        visits = staged(self._lowest_visits(first), "visits")
+        links = staged(self._compared(members, tokens, visits, inside=True), "links")
+        visits = staged(self._other_visits(first, links), "visits")
+        return links.union(self._compared(members, tokens, visits, inside=False))
+
+    def _lowest_visits(self, first: DataFrame) -> DataFrame:
+        """(class_id, n, block): every class and the lowest block of each of its first tokens."""
+        lowest = first.groupBy("token").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi")
+        return first.join(lowest, "token").where("block > lo").select("class_id", "n", F.col("lo").alias("block")).distinct()
+
+    def _other_visits(self, first: DataFrame, links: DataFrame) -> DataFrame:
+        """(class_id, n, block) that remain: other blocks, where a holder of the token is of another component."""
+        roots = connected(links.withColumnsRenamed({"class_id": "u", "root": "v"}))
+        held = first.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select(
+            "token", "class_id", "n", "block", F.coalesce("root", "class_id").alias("part"))
+        held = staged(held, "held")
+        tokens = held.groupBy("token").agg(F.min("block").alias("lo"), F.min("part").alias("one"), F.max("part").alias("other"))
+        # The component with most holders of a token: its classes need not visit blocks where it alone holds the token.
+        main = held.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "part"))["part"].alias("main"))
+        tokens = tokens.where("one < other").select("token", "lo").join(main, "token")
+        # Everybody has met the lowest block, so each two of the other blocks are left, the lower one as visitor.
+        held = staged(held.join(tokens, "token").where("block > lo").select(
+            "token", "class_id", "n", "block", (F.col("part") == F.col("main")).alias("main")), "apart")
+        hosts = held.groupBy("token", F.col("block").alias("to")).agg(
+            F.min("n").alias("least"), F.max("n").alias("most"), F.every("main").alias("pure"))
+        hosts = staged(hosts, "hosts")
+        near = (F.col("n") * self.percent <= F.col("most") * 100) & (F.col("least") * self.percent <= F.col("n") * 100)
+        met = lambda guests, hosts: guests.join(hosts, "token").where((F.col("block") < F.col("to")) & near).select(
+            "class_id", "n", F.col("to").alias("block"))
+        return met(held.where("not main"), hosts).union(met(held.where("main"), hosts.where("not pure"))).distinct()
+
+    def _compared(self, members: DataFrame, tokens: DataFrame, visits: DataFrame, inside: bool) -> DataFrame:
+        """(class_id, root) links that the visits, and with ``inside`` the blocks themselves, contain."""
         load = visits.groupBy("block").agg(F.ceil(F.sum("n") / self.block_tokens).alias("parts"))
         guests = visits.join(load, "block").select(
             "block", (F.lit(1) + self._chunk(F.col("parts"))).alias("part"), "class_id", F.lit(False).alias("member"))
-        hosts = members.join(load, "block", "left").select(
-            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(0)))).alias("part"), "class_id",
+        # Part 0 compares the members of a block with each other.
+        hosts = members.join(load, "block", "left" if inside else "inner").select(
+            "block", F.explode(F.sequence(F.lit(0 if inside else 1).cast("long"), F.coalesce("parts", F.lit(0)))).alias("part"), "class_id",
             F.lit(True).alias("member"))
         work = hosts.union(guests).join(tokens, "class_id")
         percent, group_size = self.percent, self.group_size
@@ -294,14 +346,15 @@ class JaccardJoin:
         def link(pdf: pd.DataFrame) -> pd.DataFrame:
             ids = pdf["class_id"].to_numpy()
             sets = [np.asarray(t, np.int64).view(np.uint64) for t in pdf["tokens"]]
-            inside = np.flatnonzero(pdf["member"].to_numpy(bool))
-            queries = inside if pdf["part"].iat[0] == 0 else np.flatnonzero(~pdf["member"].to_numpy(bool))
+            host = pdf["member"].to_numpy(bool)
+            queries = np.flatnonzero(host) if pdf["part"].iat[0] == 0 else np.flatnonzero(~host)
+            host = np.flatnonzero(host)
             merged = _Merged()
-            if len(inside) and len(queries) and (len(inside) > 1 or len(queries) > len(inside) or queries[0] != inside[0]):
-                matrix = TokenGroupMatrix([sets[i] for i in inside], percent, group_size)
+            if len(host) and len(queries) and (len(host) > 1 or len(queries) > len(host) or queries[0] != host[0]):
+                matrix = TokenGroupMatrix([sets[i] for i in host], percent, group_size)
                 for i in queries:
                     for j in matrix.partners(sets[i]):
-                        merged.join(int(ids[i]), int(ids[inside[j]]))
+                        merged.join(int(ids[i]), int(ids[host[j]]))
             found = [(x, merged.find(x)) for x in list(merged.up)]
             return pd.DataFrame([f for f in found if f[0] != f[1]], columns=["class_id", "root"], dtype="int64")
 

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from listwatch.llm.common import connected
+from listwatch.llm import token_groups
+from listwatch.llm.common import connected, staged
 from listwatch.llm.digest_index import DigestIndex, ExactDedup, temporary_index
 from listwatch.llm.token_groups import JaccardJoin, Segments, TokenGroupMatrix, class_id, shingle_set
 from listwatch.session import scratch_dir
@@ -167,6 +168,45 @@ def test_index_persists_and_a_batch_can_run_again(spark):
     assert again.rows().count() == 3
 
 
+@pytest.mark.parametrize("asked", [1, 64])
+def test_index_keeps_its_bucket_count(spark, asked):
+    path = scratch_dir(spark, f"index-{uuid.uuid4().hex}")
+    docs = spark.createDataFrame([(i, f"text {i % 150}") for i in range(200)], "doc_id long, text string")
+    ExactDedup().keep_one(docs, DigestIndex(spark, path, buckets=16))
+    again = DigestIndex(spark, path, buckets=asked)
+    found = ExactDedup().decisions(docs, again).collect()
+    assert again.buckets == 16 and again.rows().count() == 150
+    assert len(found) == 200 and sum(r["kept"] for r in found) == 150
+
+
+def test_columns_named_like_helpers_keep_their_values(spark):
+    rows = [(1, "same text", "mine", "k", "d"), (2, "same text", "yours", "l", "e"), (3, "other words", "theirs", "m", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k string, _t string, _id string")
+    for kept in (JaccardJoin().keep_one(docs), ExactDedup().keep_one(docs.withColumn("_digest", F.lit("x")))):
+        for r in kept.collect():
+            assert (r["_k"], r["_t"], r["_id"]) == rows[r["doc_id"] - 1][2:]
+
+
+def test_unrelated_texts_with_common_passages_visit_nobody(spark, monkeypatch):
+    rng, seen = random.Random(8), {}
+
+    def counting(df, name):
+        out = staged(df, name)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(token_groups, "staged", counting)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{rng.randrange(3_000)}" for _ in range(rng.randint(20, 90))) + " " + passage * (i % 3 == 0)) for i in range(10_000)]
+    near = " ".join(f"n{i}" for i in range(80))
+    rows += [(20_000 + i, near.replace(f"n{i % 70} ", "other ")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = JaccardJoin(words=5, percent=80, block_tokens=1_000).components(docs)
+    assert found.where("doc_id >= 20000").select("component_id").distinct().count() == 1
+    assert found.where("doc_id < 20000 and component_id <> doc_id").count() == 0
+    assert sum(seen["visits"]) < len(rows) and seen["first_tokens"][0] < 3 * len(rows)
+
+
 def test_index_side_of_the_anti_join_is_not_shuffled(spark):
     index = temporary_index(spark, 4)
     batch = spark.createDataFrame([(b"x", 1)], "digest binary, doc_id long")
