@@ -9,6 +9,7 @@ from listwatch.functions.text import distinct_ignoring_case
 from listwatch.plans.registry import Tables, query
 from listwatch.session import scratch_dir
 from listwatch.sources import archive as AR, dims as DI
+from listwatch.sources.keyed import KeyedTable
 from listwatch.streaming import jobs as J
 
 SECOND = "yyyy-MM-dd HH:mm:ss"
@@ -117,7 +118,7 @@ def run_in_batches(t: Tables, place: str, columns: list, job, batches: int = 3)
 SELECT user_id || '-' || event_type AS guid, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, count(*) AS items FROM events GROUP BY 1""")
 def streaming_first_seen(t):
     place = scratch_dir(t.spark, "first-seen")
-    state = J.EpochTable(f"{place}/state", "guid string, first_seen timestamp")
+    state = KeyedTable(f"{place}/state", ["guid"], "guid string, first_seen timestamp")
     out = J.EpochTable(f"{place}/out", "event_id bigint, guid string, ts timestamp, first_seen timestamp")
     items = [F.col("event_id"), F.concat_ws("-", "user_id", "event_type").alias("guid"), F.col("ts")]
     run_in_batches(t, place, items, J.first_seen_job(state, out, "guid", lambda df: F.col("ts")))
@@ -131,10 +132,10 @@ SELECT id, count(*) FILTER (WHERE reason = 'ai-selhani' AND (ok IS NULL OR ts >
 FROM o JOIN k USING (id) GROUP BY 1""")
 def streaming_retry(t):
     place = scratch_dir(t.spark, "retry")
-    state = J.EpochTable(f"{place}/state", J.RETRY_STATE)
+    state = KeyedTable(f"{place}/state", ["id"], J.RETRY_STATE)
     reason = F.when(F.col("event_type") == "purchase", "").when(F.col("event_type") == "click", "bez-textu").otherwise("ai-selhani")
     run_in_batches(t, place, [F.col("user_id").cast("string").alias("id"), reason.alias("reason"), F.col("ts").alias("at")], J.retry_job(state))
-    return J.current(state.read(t.spark), "id").select("id", "failures", "text_waits")
+    return state.read(t.spark).select("id", "failures", "text_waits")
 
 
 @query("t6_streaming_outage", "T6", sql="""
@@ -144,17 +145,17 @@ d AS (SELECT c.source, min(ts) AS since FROM c JOIN p USING (source) WHERE NOT o
 SELECT source, CASE WHEN since IS NULL THEN 'ok' WHEN last_check < since + INTERVAL 36 HOUR THEN 'warning' ELSE 'error' END AS status FROM p LEFT JOIN d USING (source)""")
 def streaming_outage(t):
     place = scratch_dir(t.spark, "outage")
-    state = J.EpochTable(f"{place}/state", J.OUTAGE_STATE)
+    state = KeyedTable(f"{place}/state", ["source"], J.OUTAGE_STATE)
     checks = [F.col("user_id").cast("string").alias("source"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("ok")]
     run_in_batches(t, place, checks, J.outage_job(state))
-    return J.current(state.read(t.spark), "source").select("source", "status")
+    return state.read(t.spark).select("source", "status")
 
 
 @query("t8_streaming_change_log", "T8", sql="""
 SELECT CAST(user_id AS VARCHAR) AS mark, event_type AS change, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS found FROM events GROUP BY 1, 2""")
 def streaming_change_log(t):
     place = scratch_dir(t.spark, "changes")
-    state = J.EpochTable(f"{place}/state", "mark string, change string, found timestamp")
+    state = KeyedTable(f"{place}/state", ["mark", "change"], "mark string, change string, found timestamp")
     changes = [F.col("user_id").cast("string").alias("mark"), F.col("event_type").alias("change"), F.col("ts").alias("found")]
-    run_in_batches(t, place, changes, J.change_log_job(state, ["mark", "change"], "found"))
+    run_in_batches(t, place, changes, J.change_log_job(state, "found"))
     return state.read(t.spark).select("mark", "change", F.date_format("found", SECOND).alias("found"))

@@ -8,6 +8,7 @@ from listwatch.functions.dates import month_key
 from listwatch.functions.text import missing
 from listwatch.operators.report import fingerprint
 from listwatch.session import materialise
+from listwatch.sources.keyed import KeyedTable
 
 
 def read_archive(spark: SparkSession, root: str, schema: T.StructType, months: list[str] | None = None,
@@ -57,9 +58,11 @@ def upsert(spark: SparkSession, root: str, schema: T.StructType, rows: DataFrame
     spread by id ranges, so a partition with a large share of the archive becomes several sorted
     files.  Returns the number of rewritten partitions.
     """
-    index = read_index(spark, index_root)
+    index = id_index(index_root)
     # The batch is read several times below, and the index it depends on is about to change.
-    routed = materialise(route(rows, index))
+    rows = materialise(rows)
+    known = index.before(spark, buckets=index.touched(rows))
+    routed = materialise(route(rows, known))
     dirty = _partitions(routed)
     if not dirty:
         return 0
@@ -68,26 +71,26 @@ def upsert(spark: SparkSession, root: str, schema: T.StructType, rows: DataFrame
     if _exists(spark, root):
         kept = _only(read_archive(spark, root, schema), dirty).join(incoming.select("court", "id"), ["court", "id"], "left_anti")
         incoming = kept.select(*columns).unionByName(incoming)
-    fresh = routed.join(index.select("court", "id"), ["court", "id"], "left_anti").select("court", "id", "month")
     # The index is written first: an interrupted run leaves ids that the next run still replaces in place.
-    fresh.write.mode("append").partitionBy("court").option("sep", "\t").csv(index_root)
+    index.replace(routed.join(known.select("court", "id"), ["court", "id"], "left_anti"), index.next_version(spark))
     (incoming.repartitionByRange("court", "month", "id").sortWithinPartitions("court", "month", "id")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("court", "month").json(root))
     return len(dirty)
 
 
-INDEX_SCHEMA = "id string, month string, court string"
+def id_index(root: str) -> KeyedTable:
+    """The month of every id, in buckets by (court, id)."""
+    return KeyedTable(root, ["court", "id"], "court string, id string, month string")
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
-    if not _exists(spark, root):
-        return spark.createDataFrame([], INDEX_SCHEMA)
-    return spark.read.schema(INDEX_SCHEMA).option("sep", "\t").csv(root).dropDuplicates(["court", "id"])
+    return id_index(root).read(spark)
 
 
 def lookup(spark: SparkSession, root: str, schema: T.StructType, index_root: str, ids: DataFrame) -> DataFrame:
-    """Records by id, whatever their age: the index names the partitions, only those are read."""
-    wanted = read_index(spark, index_root).join(ids.select("court", "id"), ["court", "id"], "left_semi")
+    """Records by id, whatever their age: the index buckets of the ids name the partitions, only those are read."""
+    index = id_index(index_root)
+    wanted = index.before(spark, buckets=index.touched(ids)).join(ids.select("court", "id"), ["court", "id"], "left_semi")
     return _only(read_archive(spark, root, schema), _partitions(wanted)).join(ids.select("court", "id"), ["court", "id"], "left_semi")
 
 

@@ -1,9 +1,10 @@
 """Streaming forms of the stateful operators.
 
-Every job is a ``foreachBatch`` over keyed state kept as Parquet, one partition per batch.  A batch
-reads the state of earlier batches and overwrites its own partition, so a batch that is run again
-after a failure gives the same files.  Rows are reduced per key by aggregates with map-side
-combine before anything is joined: a key that fills a batch costs one row.
+Every job is a ``foreachBatch`` over keyed state: one row per key, in buckets by the hash of the key.  A
+batch reads the buckets of its keys as they were before it and writes their next version, so a batch that is run
+again after a failure gives the same files, and the state is as large as its keys however many batches it
+took.  Rows are reduced per key by aggregates with map-side combine before anything is joined: a
+key that fills a batch costs one row.
 """
 
 from collections.abc import Callable
@@ -11,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from listwatch.operators import state as S
-from listwatch.session import configure
+from listwatch.session import configure, materialise
 from listwatch.sources.archive import _exists
+from listwatch.sources.keyed import KeyedTable
 
 
 class EpochTable:
@@ -46,22 +48,27 @@ def run(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint:
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def first_seen_job(state: EpochTable, out: EpochTable, guid: str, assigned: Callable[[DataFrame], Column],
+def _known_first(known: DataFrame, found: DataFrame, key: list[str], at: str) -> DataFrame:
+    """One row per key: what is known, else the earliest that was found."""
+    both = known.select(*key, at, F.lit(False).alias("new")).unionByName(found.select(*key, at, F.lit(True).alias("new")))
+    return both.groupBy(*key).agg(F.min(F.struct("new", at))[at].alias(at))
+
+
+def first_seen_job(state: KeyedTable, out: EpochTable, guid: str, assigned: Callable[[DataFrame], Column],
                    keep_since: Column | None = None) -> Callable[[DataFrame, int], None]:
-    """Items get the time their guid was first seen; new guids are appended to the state.
+    """Items get the time their guid was first seen; the state, keyed by guid, takes in new ones.
 
-    ``keep_since`` ignores older state rows, which is the retention of the state.
+    State rows from before ``keep_since`` count as unknown.  They are deleted when their bucket is
+    written, and each batch writes one further bucket in turn, so none stays for good.
     """
     def batch(items: DataFrame, epoch: int) -> None:
         spark = items.sparkSession
-        known = state.before(spark, epoch).select(guid, "first_seen")
-        if keep_since is not None:
-            known = known.where(F.col("first_seen") >= keep_since)
         items = items.persist()
-        found = items.where(F.coalesce(F.col(guid), F.lit("")) != "").groupBy(guid).agg(F.min(assigned(items)).alias("first_seen"))
-        state.write(found.join(known, guid, "left_anti"), epoch)
-        seen = known.unionByName(state.read(spark).where(F.col("epoch") == epoch).select(guid, "first_seen"))
-        first = seen.groupBy(guid).agg(F.min("first_seen").alias("first_seen"))
+        found = materialise(items.where(F.coalesce(F.col(guid), F.lit("")) != "").groupBy(guid).agg(F.min(assigned(items)).alias("first_seen")))
+        keep = F.lit(True) if keep_since is None else F.col("first_seen") >= keep_since
+        known = state.before(spark, epoch, state.touched(found)).where(keep).join(found.select(guid), guid, "left_semi")
+        first = materialise(_known_first(known, found, [guid], "first_seen"))
+        state.replace(first, epoch, None if keep_since is None else epoch, keep)
         out.write(items.join(first, guid), epoch)
         items.unpersist()
 
@@ -71,16 +78,15 @@ def first_seen_job(state: EpochTable, out: EpochTable, guid: str, assigned: Call
 RETRY_STATE = "id string, failures bigint, text_waits bigint, next_attempt timestamp, reason string, done boolean, ok_at timestamp"
 
 
-def retry_job(state: EpochTable) -> Callable[[DataFrame, int], None]:
+def retry_job(state: KeyedTable) -> Callable[[DataFrame, int], None]:
     """Retry state from outcomes (id, reason, at); a blank reason is a success and clears it.
 
     An outcome that comes late, from before the last known success, says nothing new.
     """
     def batch(outcomes: DataFrame, epoch: int) -> None:
         spark = outcomes.sparkSession
-        last = (state.before(spark, epoch).groupBy("id")
-                .agg(F.max_by(F.struct("failures", "text_waits", "done", "ok_at"), "epoch").alias("s"))
-                .select("id", F.col("s.ok_at").alias("_ok_at"), *[F.when(F.col("s.done"), 0).otherwise(F.col(f"s.{c}")).alias(f"_{c}") for c in ("failures", "text_waits")]))
+        last = state.before(spark, epoch, state.touched(outcomes)).select(
+            "id", F.col("ok_at").alias("_ok_at"), *[F.when(F.col("done"), 0).otherwise(F.col(c)).alias(f"_{c}") for c in ("failures", "text_waits")])
         known = last.select(F.col("id").alias("_id"), "_ok_at")
         outcomes = outcomes.join(known, (F.col("id") == F.col("_id")) & (F.col("at") <= F.col("_ok_at")), "left_anti")
         success = F.max(F.when(F.col("reason") == "", F.col("at"))).alias("ok_at")
@@ -97,7 +103,7 @@ def retry_job(state: EpochTable) -> Callable[[DataFrame, int], None]:
         waits = F.coalesce("_text_waits", F.lit(0)) * base + F.coalesce("w", F.lit(0))
         done = fails + waits == 0
         hours = S.backoff_hours(F.when(F.col("l.reason") == S.NO_TEXT, waits).otherwise(fails))
-        state.write(merged.select(
+        state.replace(merged.select(
             "id", fails.cast("bigint").alias("failures"), waits.cast("bigint").alias("text_waits"),
             F.when(~done, F.timestamp_add("HOUR", hours, F.col("l.at"))).alias("next_attempt"),
             F.when(~done, F.col("l.reason")).alias("reason"), done.alias("done"), F.greatest("ok_at", "_ok_at").alias("ok_at")), epoch)
@@ -105,20 +111,14 @@ def retry_job(state: EpochTable) -> Callable[[DataFrame, int], None]:
     return batch
 
 
-def current(table: DataFrame, key: str) -> DataFrame:
-    """Latest state row per key."""
-    rest = [c for c in table.columns if c not in (key, "epoch")]
-    return table.groupBy(key).agg(F.max_by(F.struct(*rest), "epoch").alias("s")).select(key, "s.*")
-
-
 OUTAGE_STATE = "source string, last_ok timestamp, last_check timestamp, down_since timestamp, status string"
 
 
-def outage_job(state: EpochTable) -> Callable[[DataFrame, int], None]:
+def outage_job(state: KeyedTable) -> Callable[[DataFrame, int], None]:
     """Per source: since when it is down, warning below 36 hours, then error; cleared by a success."""
     def batch(checks: DataFrame, epoch: int) -> None:
         spark = checks.sparkSession
-        before = current(state.before(spark, epoch), "source").select(
+        before = state.before(spark, epoch, state.touched(checks)).select(
             "source", F.col("last_ok").alias("_ok"), F.col("last_check").alias("_check"), F.col("down_since").alias("_down"))
         # A check that comes late, from before the last known success, says nothing new.
         known = before.select(F.col("source").alias("_source"), F.col("_ok").alias("_last"))
@@ -131,16 +131,16 @@ def outage_job(state: EpochTable) -> Callable[[DataFrame, int], None]:
         checked = F.greatest("last_check", "_check")
         status = (F.when(since.isNull(), "ok")
                   .when(checked < since + F.expr(f"INTERVAL {S.OUTAGE_HOURS} HOURS"), "warning").otherwise("error"))
-        state.write(both.select("source", ok.alias("last_ok"), checked.alias("last_check"), since.alias("down_since"), status.alias("status")), epoch)
+        state.replace(both.select("source", ok.alias("last_ok"), checked.alias("last_check"), since.alias("down_since"), status.alias("status")), epoch)
 
     return batch
 
 
-def change_log_job(state: EpochTable, key: list[str], found: str) -> Callable[[DataFrame, int], None]:
-    """Change log: every change is appended once, with the time it was first found."""
+def change_log_job(state: KeyedTable, found: str) -> Callable[[DataFrame, int], None]:
+    """Change log: every change, a key of the state, is taken in once, with the time it was first found."""
     def batch(changes: DataFrame, epoch: int) -> None:
-        known = state.before(changes.sparkSession, epoch).select(*key)
-        fresh = changes.groupBy(*key).agg(F.min(found).alias(found))
-        state.write(fresh.join(known, key, "left_anti"), epoch)
+        fresh = materialise(changes.groupBy(*state.key).agg(F.min(found).alias(found)))
+        known = state.before(changes.sparkSession, epoch, state.touched(fresh))
+        state.replace(_known_first(known, fresh, state.key, found), epoch)
 
     return batch
