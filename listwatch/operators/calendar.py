@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listwatch.functions.dates import minutes_of_day, monday_of
-from listwatch.operators.scan import HOT_ROWS, row_number_within, top_per_group
+from listwatch.operators.scan import row_number_within, top_per_group
 
 MAX_SPAN_DAYS = 7
 
@@ -34,11 +34,10 @@ def grid(events: DataFrame, day: str, any_day: Column, weeks: int = 3) -> DataFr
     return cells.where((F.col("column") < 5) | weekend.scalar())
 
 
-def order_within_day(events: DataFrame, day: list[str], clock: str, tie: list[Column],
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
+def order_within_day(events: DataFrame, day: list[str], clock: str, tie: list[Column]) -> DataFrame:
     """Position of each event in its day: by minutes, missing last, then the tie-break."""
     timed = events.withColumn("_m", minutes_of_day(F.col(clock)))
-    return row_number_within(timed, day, [F.col("_m"), *tie], "position", hot_rows).drop("_m")
+    return row_number_within(timed, day, [F.col("_m"), *tie], "position").drop("_m")
 
 
 def month_section(shown: Column, window_first: Column, today: Column) -> Column:
@@ -61,7 +60,7 @@ def month_sections(items: DataFrame, shown: str, window_first: Column, today: Co
 
 
 def folded_history(history: DataFrame, group: list[str], order: list[Column], reverse: list[Column],
-                   tail: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
+                   tail: int = 3) -> DataFrame:
     """First and last ``tail`` entries of each history; ``hidden`` counts the folded ones.
 
     Both ends are limited per group before the shuffle, the count is an aggregate.

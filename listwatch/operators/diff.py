@@ -1,9 +1,9 @@
 """Differences between successive snapshots of a calendar, and merging a snapshot in."""
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from listwatch.functions.text import empty_array, missing
-from listwatch.operators.scan import HOT_ROWS, first_per_key, row_number_within
+from listwatch.operators.scan import first_per_key
 
 CHANGE_DAYS, CHANGE_MAX = 30, 200
 # Codes and wording of changes.
@@ -22,8 +22,7 @@ def _wording(code: Column) -> Column:
 
 def snapshot_diff(old: DataFrame, new: DataFrame, listed: DataFrame, mark: list[str], day: str = "day",
                   carried: tuple[str, ...] = ("title", "clock"),
-                  attributes: tuple[tuple[str, str], ...] = (("clock", "cas"), ("room", "sin")),
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+                  attributes: tuple[tuple[str, str], ...] = (("clock", "cas"), ("room", "sin"))) -> DataFrame:
     """Changes between stored rows and a new snapshot of the same period.
 
     ``old`` and ``new`` hold the relevant rows, one per (mark, day); ``listed`` is the whole new
@@ -43,7 +42,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, listed: DataFrame, mark: list[
     in_old, in_new = F.col("_o").isNotNull(), F.col("_n").isNotNull()
     side = F.when(in_old & ~F.col("_l"), "gone").when(in_new & ~in_old, "come")
     loose = days.select(*key, side.alias("_side"), "_o").where(F.col("_side").isNotNull())
-    paired = row_number_within(loose, [*mark, "_side"], [F.col(day)], "_i", hot_rows)
+    # A mark has one row per day, so its groups are days of a published period.
+    paired = loose.withColumn("_i", F.row_number().over(W.partitionBy(*mark, "_side").orderBy(day)))
     gone, come = F.col("_side") == "gone", F.col("_side") == "come"
     pairs = paired.groupBy(*mark, "_i").agg(
         F.max(F.when(gone, F.col(day))).alias("_from"), F.max(F.when(come, F.col(day))).alias("_to"),

@@ -1,12 +1,11 @@
 """Monthly digest: selecting and numbering its input, reading the answer, resolving citations."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from listwatch.functions.dates import in_period
 from listwatch.functions.legal import without_legal_forms
 from listwatch.functions.text import missing, squeeze
 from listwatch.operators.classify import OBVIOUS_PARTY
-from listwatch.operators.scan import HOT_ROWS, row_number_within
 from listwatch.operators.staging import where_computed
 
 MAX_ITEMS, MAX_SOURCES = 300, 6
@@ -29,7 +28,7 @@ def pick_decisions(items: DataFrame, areas: list[str], start: Column, end: Colum
 def digest_items(decisions: DataFrame, articles: DataFrame, order: list[Column], cap: int = MAX_ITEMS) -> DataFrame:
     """Candidates of both products numbered newest first; at most ``cap`` rows."""
     both = decisions.unionByName(articles, allowMissingColumns=True).orderBy(*order).limit(cap)
-    return row_number_within(both, [], order, "number", HOT_ROWS)
+    return both.withColumn("number", F.row_number().over(W.orderBy(*order)).cast("bigint"))
 
 
 def prompt_line(label: Column, tag: Column, day: Column, title: Column, heading: Column, summary: Column,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from listwatch.operators.scan import HOT_ROWS, row_number_within
+from listwatch.operators.scan import row_number_within
 
 
 def priority_class(preferred: Column, overlaps_default: Column, procedural: Column) -> Column:
@@ -10,19 +10,17 @@ def priority_class(preferred: Column, overlaps_default: Column, procedural: Colu
     return F.when(F.coalesce(preferred | overlaps_default, F.lit(False)), 0).when(procedural, 2).otherwise(1)
 
 
-def fair_queue(items: DataFrame, source: str, source_order: str, order: list[Column],
-               hot_rows: int = HOT_ROWS) -> DataFrame:
+def fair_queue(items: DataFrame, source: str, source_order: str, order: list[Column]) -> DataFrame:
     """Round-robin over sources: ``turn`` is the rank inside the source, ``place`` the overall order."""
-    turns = row_number_within(items, [source], order, "turn", hot_rows)
-    return row_number_within(turns, [], [F.col("turn"), F.col(source_order)], "place", hot_rows)
+    turns = row_number_within(items, [source], order, "turn")
+    return row_number_within(turns, [], [F.col("turn"), F.col(source_order)], "place")
 
 
-def batches(items: DataFrame, order: list[Column], size: int, max_batches: int | None = None,
-            hot_rows: int = HOT_ROWS) -> DataFrame:
+def batches(items: DataFrame, order: list[Column], size: int, max_batches: int | None = None) -> DataFrame:
     """Fixed-size batches in the given order, optionally only the first ``max_batches``."""
     if max_batches is not None:
         items = items.orderBy(*order).limit(size * max_batches)
-    numbered = row_number_within(items, [], order, "place", hot_rows)
+    numbered = row_number_within(items, [], order, "place")
     return numbered.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("int"))
 
 

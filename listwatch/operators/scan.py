@@ -1,121 +1,62 @@
-"""Exact ordered analytics within groups, whatever the size of the largest group.
+"""Exact ordered analytics within groups, whatever the size of the table or of its largest group.
 
-A window function sends each group to one task, which is the right plan until one group holds a
-large share of the table.  The functions here count the groups first.  Ordinary groups take the
-window; groups above ``hot_rows`` are range-partitioned on (group, order) so that each is spread
-over many tasks, and the per-partition results are joined up with prefix offsets, of which there is
-one per partition.  Results are the same either way.
+A window function sends each group to one task, and a table without groups to a single one.  The
+functions here range-partition the rows on (group, order) instead, so that every group is spread over
+as many tasks as its rows need.  Within a partition a row's place is its position; what earlier
+partitions hold of a group is one offset per partition and group.  There is one path at every size.
 """
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from listwatch.session import materialise
 
-HOT_ROWS = 2_000_000
-RANGE_ROWS = 1_000_000
 
+def _placed(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Rows range-partitioned on (group, order), with their partition and position.
 
-def hot_groups(df: DataFrame, group: list[str], hot_rows: int) -> list:
-    """Groups above ``hot_rows`` with their sizes: at most total/hot_rows of them."""
-    size = F.count(F.lit(1)).alias("_size")
-    sizes = df.groupBy(*group).agg(size) if group else df.agg(size)
-    return sizes.where(F.col("_size") > hot_rows).collect()
-
-
-def _split(df: DataFrame, group: list[str], hot: list) -> tuple[DataFrame | None, DataFrame]:
-    """(rows of ordinary groups, rows of hot groups)."""
-    if not group:
-        return None, df
-    schema = T.StructType([df.schema[g] for g in group])
-    names = [f"_hot_{g}" for g in group]
-    keys = df.sparkSession.createDataFrame([tuple(r[g] for g in group) for r in hot], schema).toDF(*names)
-    match = F.lit(True)
-    for g, name in zip(group, names):
-        match = match & df[g].eqNullSafe(keys[name])
-    # The list of hot groups is bounded by total/hot_rows, hence small enough to broadcast.
-    keys = F.broadcast(keys)
-    return df.join(keys, match, "left_anti"), df.join(keys, match, "left_semi")
-
-
-def _place(df: DataFrame, group: list[str], order: list[Column], rows: int) -> DataFrame:
-    """Rows range-partitioned on (group, order) and numbered by partition and position."""
-    parts = max(2, -(-rows // RANGE_ROWS))
+    Ranges are sampled, so they are written once: the rows and their offsets have to agree on them.
+    """
     keys = [F.col(g) for g in group]
-    placed = (df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
-              .withColumn("_pos", F.monotonically_increasing_id())
-              .withColumn("_part", F.shiftright("_pos", 33)))
-    return materialise(placed)
+    placed = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return materialise(placed.withColumn("_pos", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_pos", 33)))
 
 
-def _with_runs(placed: DataFrame, group: list[str], aggs: list[Column], carry: list[tuple[str, Column]]) -> DataFrame:
-    """Join each row with its (partition, group) run and the values carried over from earlier runs."""
-    runs = placed.groupBy("_part", *group).agg(F.min("_pos").alias("_first"), *aggs)
-    for name, value in carry:
-        runs = runs.withColumn(name, value)
+def _with_runs(placed: DataFrame, group: list[str], held: Column, before: Column) -> DataFrame:
+    """Each row with the start of its (partition, group) run and what earlier runs of the group hold."""
+    runs = placed.groupBy("_part", *group).agg(F.min("_pos").alias("_first"), held.alias("_held"))
+    # A group has a run per partition that it reaches, few rows; AQE broadcasts them by their size.
+    runs = runs.withColumn("_before", before.over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
     runs = runs.select(*[F.col(c).alias(f"_r{c}") for c in runs.columns])
     match = placed["_part"] == runs["_r_part"]
     for g in group:
         match = match & placed[g].eqNullSafe(runs[f"_r{g}"])
-    # One row per partition and per hot group.
-    return placed.join(F.broadcast(runs), match)
+    return placed.join(runs, match)
 
 
-def _earlier(group: list[str]):
-    return W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+def _local(group: list[str]):
+    return W.partitionBy("_part", *group).orderBy("_pos")
 
 
-def row_number_within(df: DataFrame, group: list[str], order: list[Column], out: str,
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+def row_number_within(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
     """Exact ``row_number()``; ``order`` must be unique within the group."""
-    plain = F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("bigint")
-    hot = hot_groups(df, group, hot_rows)
-    if not hot:
-        return df.withColumn(out, plain)
-    cold, rest = _split(df, group, hot)
-    placed = _place(rest, group, order, sum(r["_size"] for r in hot))
-    numbered = _with_runs(placed, group, [F.count(F.lit(1)).alias("_n")], [
-        ("_before", F.coalesce(F.sum("_n").over(_earlier(group)), F.lit(0)))])
-    numbered = numbered.select(
-        *df.columns, (F.col("_r_before") + F.col("_pos") - F.col("_r_first") + 1).cast("bigint").alias(out))
-    return numbered if cold is None else cold.withColumn(out, plain).unionByName(numbered)
-
-
-def running_sum_within(df: DataFrame, group: list[str], order: list[Column], value: Column, out: str,
-                       hot_rows: int = HOT_ROWS) -> DataFrame:
+    numbered = _with_runs(_placed(df, group, order), group, F.count(F.lit(1)), F.sum("_held"))
+    place = F.coalesce("_r_before", F.lit(0)) + F.col("_pos") - F.col("_r_first") + 1
+    return numbered.select(*df.columns, place.cast("bigint").alias(out))
+
+
+def running_sum_within(df: DataFrame, group: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
     """Sum of ``value`` over the rows up to and including the current one."""
-    upto = (W.unboundedPreceding, W.currentRow)
-    df = df.withColumn("_v", value)
-    plain = F.sum("_v").over(W.partitionBy(*group).orderBy(*order).rowsBetween(*upto))
-    hot = hot_groups(df, group, hot_rows)
-    if not hot:
-        return df.withColumn(out, plain).drop("_v")
-    cold, rest = _split(df, group, hot)
-    placed = _place(rest, group, order, sum(r["_size"] for r in hot))
-    summed = _with_runs(placed, group, [F.sum("_v").alias("_n")], [
-        ("_before", F.coalesce(F.sum("_n").over(_earlier(group)), F.lit(0)))])
-    local = F.sum("_v").over(W.partitionBy("_part", *group).orderBy("_pos").rowsBetween(*upto))
-    summed = summed.withColumn(out, local + F.col("_r_before")).select(*df.columns, out)
-    both = summed if cold is None else cold.withColumn(out, plain).unionByName(summed)
-    return both.drop("_v")
-
-
-def previous_within(df: DataFrame, group: list[str], order: list[Column], value: Column, out: str,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+    summed = _with_runs(_placed(df.withColumn("_v", value), group, order), group, F.sum("_v"), F.sum("_held"))
+    local = F.sum("_v").over(_local(group).rowsBetween(W.unboundedPreceding, W.currentRow))
+    upto = F.when(local.isNotNull() | F.col("_r_before").isNotNull(), F.coalesce(local, F.lit(0)) + F.coalesce("_r_before", F.lit(0)))
+    return summed.withColumn(out, upto).select(*df.columns, out)
+
+
+def previous_within(df: DataFrame, group: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
     """``value`` of the preceding row of the group, NULL on its first row."""
-    df = df.withColumn("_v", value)
-    plain = F.lag("_v").over(W.partitionBy(*group).orderBy(*order))
-    hot = hot_groups(df, group, hot_rows)
-    if not hot:
-        return df.withColumn(out, plain).drop("_v")
-    cold, rest = _split(df, group, hot)
-    placed = _place(rest, group, order, sum(r["_size"] for r in hot))
-    linked = _with_runs(placed, group, [F.max_by("_v", "_pos").alias("_n")], [
-        ("_before", F.lag("_n").over(W.partitionBy(*group).orderBy("_part")))])
-    local = F.lag("_v").over(W.partitionBy("_part", *group).orderBy("_pos"))
-    linked = linked.withColumn(out, F.when(F.col("_pos") == F.col("_r_first"), F.col("_r_before")).otherwise(local))
-    linked = linked.select(*df.columns, out)
-    both = linked if cold is None else cold.withColumn(out, plain).unionByName(linked)
-    return both.drop("_v")
+    linked = _with_runs(_placed(df.withColumn("_v", value), group, order), group, F.max_by(F.struct("_v"), "_pos"), F.last("_held"))
+    before = F.when(F.col("_pos") == F.col("_r_first"), F.col("_r_before._v")).otherwise(F.lag("_v").over(_local(group)))
+    return linked.withColumn(out, before).select(*df.columns, out)
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, out: str = "rank") -> DataFrame:

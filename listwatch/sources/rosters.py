@@ -13,7 +13,6 @@ from listwatch.functions.marks import ROSTER_MARK, roster_mark
 from listwatch.functions.names import merge_continuations, party_label
 from listwatch.functions.text import squeeze, strip_space
 from listwatch.operators.islands import join_lines, number_records
-from listwatch.operators.scan import HOT_ROWS
 from listwatch.operators.staging import where_computed
 
 # Header and footer lines of the roster.
@@ -38,11 +37,11 @@ def hearings(rows: DataFrame, keep: list[str], day: Column, room: Column, chair:
         "_mark.register", "_mark.senate_no", "_mark.number", "_mark.year", "parties")
 
 
-def roster_hearings(lines: DataFrame, document: str, position: str, text: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def roster_hearings(lines: DataFrame, document: str, position: str, text: str) -> DataFrame:
     """Hearings of line-based rosters: a record starts at a date line and takes the lines after it."""
     kept = lines.select(document, position, strip_space(F.col(text)).alias("line"))
     kept = kept.where((F.col("line") != "") & ~F.col("line").rlike(SKIP_LINE))
-    numbered = number_records(kept, [document], [F.col(position)], F.col("line").rlike("^" + CZECH_DATE), "record", hot_rows)
+    numbered = number_records(kept, [document], [F.col(position)], F.col("line").rlike("^" + CZECH_DATE), "record")
     records = join_lines(numbered.where(F.col("record") > 0), [document, "record"], position, "line")
     part = [F.regexp_extract("line", RECORD, i).alias(f"_p{i}") for i in range(1, 7)]
     split = records.where(F.col("line").rlike(RECORD)).select(document, *part)

@@ -1,4 +1,4 @@
-"""Exact group analytics: the path for oversized groups must equal the window functions."""
+"""Exact group analytics: rows in ranges must equal the window functions."""
 
 import random
 
@@ -18,14 +18,19 @@ def skewed(spark):
 
 
 @pytest.fixture(autouse=True)
-def small_ranges(monkeypatch):
-    monkeypatch.setattr(scan, "RANGE_ROWS", 300)
+def many_ranges(spark):
+    """Ranges stay small, so the hot group and most others reach over several partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 @pytest.mark.parametrize("group", [["g"], []])
 def test_row_number(skewed, group):
     order = [F.col("k").desc(), F.col("id")]
-    got = scan.row_number_within(skewed, group, order, "n", hot_rows=500)
+    got = scan.row_number_within(skewed, group, order, "n")
     want = skewed.withColumn("n", F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("bigint"))
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
 
@@ -33,7 +38,7 @@ def test_row_number(skewed, group):
 @pytest.mark.parametrize("group", [["g"], []])
 def test_running_sum(skewed, group):
     order = [F.col("k"), F.col("id")]
-    got = scan.running_sum_within(skewed, group, order, F.col("v"), "s", hot_rows=500)
+    got = scan.running_sum_within(skewed, group, order, F.col("v"), "s")
     over = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     want = skewed.withColumn("s", F.sum("v").over(over))
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
@@ -41,11 +46,20 @@ def test_running_sum(skewed, group):
 
 def test_previous(skewed):
     order = [F.col("k"), F.col("id")]
-    got = scan.previous_within(skewed, ["g"], order, F.col("v"), "p", hot_rows=500)
+    got = scan.previous_within(skewed, ["g"], order, F.col("v"), "p")
     want = skewed.withColumn("p", F.lag("v").over(W.partitionBy("g").orderBy(*order)))
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
 
 
+def test_no_task_takes_the_whole_order(spark, skewed):
+    got = scan.row_number_within(skewed, [], [F.col("id")], "n")
+    per = [r["n"] for r in got.groupBy(F.floor((F.col("n") - 1) / 1_000)).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert per == [1_000] * 6
+    parts = scan._placed(skewed, [], [F.col("id")]).groupBy("_part").count().collect()
+    assert len(parts) == 13 and max(r["count"] for r in parts) < 1_500
+    assert scan.row_number_within(skewed.limit(0), [], [F.col("id")], "n").count() == 0
+
+
 def test_top_per_group_limits_before_the_shuffle(skewed):
     top = scan.top_per_group(skewed, ["g"], [F.col("id")], 3)
     assert top.count() <= 3 * 42
