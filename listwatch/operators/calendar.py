@@ -40,6 +40,11 @@ def order_within_day(events: DataFrame, day: list[str], clock: str, tie: list[Co
     return row_number_within(timed, day, [F.col("_m"), *tie], "position").drop("_m")
 
 
+def calendar_order(events: DataFrame, day: list[str], clock: str, mark: str, tie: list[Column]) -> DataFrame:
+    """Position in the day by minutes, missing last, then by mark as Czech sorts it (c, č, d, h, ch, i)."""
+    return order_within_day(events, day, clock, [F.collate(F.col(mark), "cs"), *tie])
+
+
 def month_section(shown: Column, window_first: Column, today: Column) -> Column:
     """Month ``yyyy-MM`` of the section: earlier dates go to the oldest, later ones to the newest."""
     oldest, newest = F.trunc(window_first, "MM"), F.trunc(today, "MM")

@@ -76,24 +76,40 @@ def statute_numbers(texts: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(each, cited)))
 
 
+#: Length of the pieces that texts are indexed by; a shorter key is a piece itself.
+PIECE = 4
+
+
 def contains_join(items: DataFrame, dim: DataFrame, key: str, text: str) -> DataFrame:
     """(key, rule key) pairs where the text contains the rule key, for a dimension of any size.
 
-    Every substring of the text that is as long as some rule key meets the rules by equality, so
-    the join forms no candidate that is not a hit, and neither side is broadcast or collected.
+    Texts are indexed by their pieces of ``PIECE`` characters, a row per place however long the rules
+    are.  A rule is looked up by the one of its pieces that the fewest texts have, and a rule with a piece that no
+    text has is dropped.  What remains is verified against the text.  ``key`` identifies an item.
     """
-    rules = dim.select(F.lower("key").alias("rule")).distinct()
-    # At most as many numbers as the longest key has characters.
-    lengths = [r["n"] for r in rules.select(F.length("rule").alias("n")).distinct().collect()]
-    t = F.lower(F.col(text))
-
-    def substrings(n: int) -> Column:
-        # A look-ahead matches at every position, so one pass yields all substrings of that length.
-        return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-
-    pieces = [substrings(n) for n in lengths if n > 0]
-    probes = items.select(key, F.explode(F.array_distinct(F.concat(*pieces))).alias("rule"))
-    return probes.join(rules, "rule").select(key, "rule")
+    rules = dim.select(F.lower("key").alias("rule")).where("rule <> ''").distinct()
+    texts = items.select(key, F.lower(F.col(text)).alias("_t"))
+
+    def pieces(of: Column, length: int) -> Column:
+        # A look-ahead matches at every position, so one pass yields all pieces of that length.
+        return F.regexp_extract_all(of, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
+
+    # At most PIECE numbers: how long the pieces are that the rules have.
+    lengths = sorted(r[0] for r in rules.select(F.least(F.length("rule"), F.lit(PIECE))).distinct().collect())
+    if not lengths:
+        return texts.join(rules, F.lit(False)).select(key, "rule")
+    probes = texts.select(key, F.explode(F.array_distinct(F.concat(*[pieces(F.col("_t"), n) for n in lengths]))).alias("piece"))
+    common = probes.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("rule") < PIECE, F.array("rule")).otherwise(F.array_distinct(pieces(F.col("rule"), PIECE)))
+    anchors = (rules.select("rule", own.alias("_own")).select("rule", F.size("_own").alias("all"), F.explode("_own").alias("piece"))
+               .join(common, "piece").groupBy("rule", "all").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"), F.count(F.lit(1)).alias("found"))
+               .where(F.col("found") == F.col("all")).select("rule", "piece"))
+    return probes.join(anchors, "piece").select(key, "rule").join(texts, key).where(F.contains("_t", "rule")).select(key, "rule")
+
+
+def schedule_related(text: Column) -> Column:
+    """Whether a page of schedules names a matter that is followed."""
+    return F.coalesce(text.rlike(SCHEDULE_KEYWORDS), F.lit(False))
 
 
 class Taxonomy:

@@ -94,3 +94,8 @@ def resolve_citations(blocks: DataFrame, items: DataFrame, key: list[str], total
     valid = F.slice(F.filter("numbers", lambda n: (n >= 1) & (n <= total)), 1, cap)
     cited = blocks.select(*key, F.posexplode(valid).alias("position", "number"))
     return cited.join(items.select(F.col("number").cast("int").alias("number"), *carried), "number")
+
+
+def covered(cited: DataFrame, key: list[str], title: str) -> DataFrame:
+    """How many different titles the sections cite, per digest."""
+    return cited.groupBy(*key).agg(F.countDistinct(title).alias("covered"))

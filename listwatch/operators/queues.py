@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from listwatch.operators.scan import row_number_within
+from listwatch.operators.scan import row_number_within, top_per_group
 
 
 def priority_class(preferred: Column, overlaps_default: Column, procedural: Column) -> Column:
@@ -16,6 +16,17 @@ def fair_queue(items: DataFrame, source: str, source_order: str, order: list[Col
     return row_number_within(turns, [], [F.col("turn"), F.col(source_order)], "place")
 
 
+def capped_queue(items: DataFrame, source: str, source_order: str, order: list[Column], cap: int) -> DataFrame:
+    """The first ``cap`` places of the fair queue: what one run takes on.
+
+    No source can fill more than ``cap`` of them, so every map task keeps that many rows of a source.
+    """
+    turns = top_per_group(items, [source], order, cap, "turn").withColumn("turn", F.col("turn").cast("bigint"))
+    taken = turns.orderBy("turn", source_order).limit(cap)
+    # At most ``cap`` rows, a number that the budget of a run sets.
+    return taken.withColumn("place", F.row_number().over(W.orderBy("turn", source_order)).cast("bigint"))
+
+
 def batches(items: DataFrame, order: list[Column], size: int, max_batches: int | None = None) -> DataFrame:
     """Fixed-size batches in the given order, optionally only the first ``max_batches``."""
     if max_batches is not None:

@@ -139,7 +139,7 @@ def procedural_outcomes(t):
                            K.all_outcomes_procedural(outcomes).alias("all_procedural"), K.panel_allowed(panel).alias("panel_ok"))
 
 
-@query("f18_text_quality", "F18 F26", sql="""
+@query("f18_text_quality", "F18", sql="""
 SELECT doc_id, n_chars >= 500 AS long_enough, n_chars >= 100 AND contains(lower(text), 'tion') AS marked,
   regexp_matches(strip_accents(lower(text)), 'ment|schen') AS keyword FROM documents""")
 def text_quality(t):
@@ -380,3 +380,12 @@ def late_release(t):
     return j.select("l_orderkey", "l_linenumber", s.alias("s")).select(
         "l_orderkey", "l_linenumber", F.date_format("s.published", "yyyy-MM-dd").alias("published"),
         F.coalesce(F.date_format("s.original", "yyyy-MM-dd"), F.lit("")).alias("original"))
+
+
+@query("f26_schedule_pages", "F26", sql=r"""
+SELECT page_id, regexp_matches(html || ['duševního vlastnictví', 'NEKALÁ  SOUTĚŽ', 'kolektivního správce', 'stavební řízení', 'Osobních údajů', 'nekalá dohoda'][page_id % 6 + 1],
+  '(?i)duševn|dusevn|autorsk|průmyslov|prumyslov|nekal[\p{L}\w]{0,3}\s+sout|kolektivn[\p{L}\w]+\s+spr[áa]vc|osobních údajů|osobnich udaju') AS followed FROM pages""")
+def schedule_pages(t):
+    words = F.array(*[F.lit(w) for w in ("duševního vlastnictví", "NEKALÁ  SOUTĚŽ", "kolektivního správce", "stavební řízení", "Osobních údajů", "nekalá dohoda")])
+    text = F.concat("html", F.get(words, (F.col("page_id") % 6).cast("int")))
+    return t.heavy("pages").select("page_id", K.schedule_related(text).alias("followed"))

@@ -189,6 +189,13 @@ def fair_queue(t):
         "doc_id", "source", "class", "turn", "place")
 
 
+@query("t13_run_budget", "T13 W1", sql=QUEUE_SQL + """
+SELECT doc_id, source, turn, row_number() OVER (ORDER BY turn, so) AS place FROM t QUALIFY place <= 60""")
+def run_budget(t):
+    order = [F.col("class"), F.col("n_chars").desc(), F.col("doc_id")]
+    return Q.capped_queue(queue_items(t), "source", "source_order", order, 60).select("doc_id", "source", "turn", "place")
+
+
 @query("w5_newest_per_group", "W5 O4", sql="""
 SELECT source, doc_id, rank FROM (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank
 FROM documents) WHERE rank <= 20""")
@@ -211,7 +218,7 @@ def all_batches(t):
     return Q.batches(t.customer.select("c_custkey", "c_name"), [F.col("c_name")], 40).select("c_custkey", "batch")
 
 
-@query("w13_shared_budget", "W13 T13", sql="""
+@query("w13_shared_budget", "W13", sql="""
 WITH n AS (SELECT c_nationkey AS k, CAST(count(*) FILTER (WHERE c_acctbal < 500) AS BIGINT) AS need FROM customer GROUP BY 1),
 l AS (SELECT max(l) AS level FROM range(0, 81) g(l) WHERE (SELECT sum(least(need, l)) FROM n) <= 80),
 r AS (SELECT 80 - sum(least(need, level)) AS rest FROM n, l),

@@ -251,19 +251,24 @@ def digest_fingerprint(t):
     return DG.input_fingerprint(digest_candidates(t), "guid", "summary")
 
 
-@query("e5_digest_answers", "E5 J18 A9", sql="""
+def digest_citations(t):
+    """Sections of the answers, and the entries that they cite."""
+    k = F.col("c_custkey")
+    raw = F.concat(F.lit("**PŘEHLED:** Úvod "), "c_nationkey", F.lit(".\n\nTÉMA: "), "c_mktsegment", F.lit("\nTEXT: Text  o "), "c_name",
+                   F.lit(" s.r.o. ZDROJE: "), k % 7 + 1, F.lit(", "), k % 3 + 1, F.lit(", 99, 4, "), k % 7 + 1, F.lit("\n\nTÉMA: \nTEXT: nic"))
+    blocks = DG.parse_answers(t.heavy("customer").select("c_custkey", raw.alias("raw")), "c_custkey", "raw")
+    items = t.nation.select((F.col("n_nationkey") + 1).alias("number"), "n_name")
+    return blocks, DG.resolve_citations(blocks, items, ["c_custkey", "block"], F.lit(25), ["n_name"])
+
+
+@query("e5_digest_answers", "E5 J18", sql="""
 WITH a AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey, [c_custkey % 7 + 1, c_custkey % 3 + 1, 99, 4, c_custkey % 7 + 1] AS nums FROM customer),
 u AS (SELECT c_custkey, unnest(nums) AS n, generate_subscripts(nums, 1) AS i FROM a),
 f AS (SELECT c_custkey, n, min(i) AS i FROM u WHERE n BETWEEN 1 AND (SELECT count(*) FROM nation) GROUP BY 1, 2)
 SELECT c_custkey, CAST(1 AS INTEGER) AS block, c_mktsegment AS title, 'Text o ' || c_name || '.' AS text, string_agg('NATION_' || (n - 1), ',' ORDER BY i) AS cited
 FROM a JOIN f USING (c_custkey) GROUP BY ALL UNION ALL SELECT c_custkey, 0, '', 'Úvod ' || c_nationkey || '.', '' FROM a""")
 def digest_answers(t):
-    k = F.col("c_custkey")
-    raw = F.concat(F.lit("**PŘEHLED:** Úvod "), "c_nationkey", F.lit(".\n\nTÉMA: "), "c_mktsegment", F.lit("\nTEXT: Text  o "), "c_name",
-                   F.lit(" s.r.o. ZDROJE: "), k % 7 + 1, F.lit(", "), k % 3 + 1, F.lit(", 99, 4, "), k % 7 + 1, F.lit("\n\nTÉMA: \nTEXT: nic"))
-    blocks = DG.parse_answers(t.heavy("customer").select("c_custkey", raw.alias("raw")), "c_custkey", "raw")
-    items = t.nation.select((F.col("n_nationkey") + 1).alias("number"), "n_name")
-    cited = DG.resolve_citations(blocks, items, ["c_custkey", "block"], F.lit(25), ["n_name"])
+    blocks, cited = digest_citations(t)
     per = cited.groupBy("c_custkey", "block").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("position", "n_name"))), lambda s: s["n_name"]), ",").alias("cited"))
     return blocks.join(per, ["c_custkey", "block"], "left").select("c_custkey", "block", "title", "text", F.coalesce("cited", F.lit("")).alias("cited"))
@@ -367,3 +372,22 @@ def labels(t):
     return t.orders.select("o_orderkey", D.czech_day(day).alias("czech"),
                            D.relative_day(F.date_add(day, (F.col("o_custkey") % 6).cast("int")), day).alias("relative"),
                            F.date_format(D.monday_of(day), "yyyy-MM-dd").alias("monday"))
+
+
+@query("a9_covered_titles", "A9", sql="""
+WITH u AS (SELECT c_custkey, unnest([c_custkey % 7 + 1, c_custkey % 3 + 1, 99, 4, c_custkey % 7 + 1]) AS n FROM customer)
+SELECT c_custkey, count(DISTINCT n) AS covered FROM u WHERE n <= (SELECT count(*) FROM nation) GROUP BY 1""")
+def covered_titles(t):
+    return DG.covered(digest_citations(t)[1], ["c_custkey"], "n_name")
+
+
+@query("o2_calendar_order", "O2 A20", sql="""
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderdate ORDER BY CASE WHEN o_custkey % 10 = 0 THEN 1441 ELSE (o_custkey % 3) * 60 END,
+  (['Ch', 'Č', 'H', 'C', 'Z', 'Ž', 'cz', 'D'][o_orderkey % 8 + 1] || ' ' || o_custkey % 5) COLLATE cs, o_orderkey) AS position FROM orders""")
+def calendar_order(t):
+    k = F.col("o_custkey")
+    clock = F.when(k % 10 != 0, F.concat((k % 3).cast("string"), F.lit(":00"))).otherwise("")
+    marks = F.array(*[F.lit(m) for m in ("Ch", "Č", "H", "C", "Z", "Ž", "cz", "D")])
+    mark = F.concat_ws(" ", F.get(marks, (F.col("o_orderkey") % 8).cast("int")), (k % 5).cast("string"))
+    e = t.orders.select("o_orderkey", "o_orderdate", clock.alias("clock"), mark.alias("mark"))
+    return CA.calendar_order(e, ["o_orderdate"], "clock", "mark", [F.col("o_orderkey")]).select("o_orderkey", "position")

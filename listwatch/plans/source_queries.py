@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from listwatch.functions import dates as D, events as E, legal as L, links as LK, loose as LO, marks as M, names as N, text as T, titles as TI
 from listwatch.plans.registry import Tables, query
 from listwatch.sources import feeds as FE, ical as IC, pages as PG, rosters as RO
+from listwatch.sources.parsers import ParserRegistry
 
 def blank():
     return F.lit("")
@@ -473,3 +474,29 @@ SELECT o_orderkey, 'https://infosoud.gov.cz/InfoSoud/detail-rizeni?typOrganizace
 def case_links(t):
     return t.heavy("orders").select("o_orderkey", M.case_link(F.lit("MSPHAAB"), F.col("o_custkey") % 30, F.lit("Cm"), F.col("o_orderkey"), F.year("o_orderdate")).alias("url"),
                            E.hearing_uid(F.lit("MS"), F.col("o_custkey").cast("string"), F.col("o_orderdate").cast("date"), F.lit("9:00")).alias("uid"))
+
+
+@query("v2_parsed_sources", "V2 V1", sql="""
+SELECT CASE o_orderkey % 5 WHEN 0 THEN 'feed' WHEN 1 THEN 'works' WHEN 2 THEN 'page' WHEN 3 THEN 'other' END AS source,
+  CASE o_orderkey % 5 WHEN 0 THEN 'https://j.example/a/' || o_orderkey WHEN 1 THEN '10.1/' || o_orderkey WHEN 2 THEN '/p/' || o_orderkey END AS guid,
+  CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'Title ' || o_custkey END AS title, CASE o_orderkey % 5 WHEN 0 THEN '2001-07-01' WHEN 1 THEN strftime(o_orderdate, '%Y') || '-01-01' END AS seen,
+  o_orderkey % 5 < 3 AS parsed FROM orders""")
+def parsed_sources(t):
+    k = F.col("o_orderkey")
+    feed = F.concat(F.lit("<rss><channel><item><title>Title "), "o_custkey", F.lit("</title><link>https://j.example/a/"), k,
+                    F.lit("?rss=1</link><pubDate>Sun, 01 Jul 2001 02:00:00 +0200</pubDate></item></channel></rss>"))
+    works = F.concat(F.lit('{"message":{"items":[{"DOI":"10.1/'), k, F.lit('","title":["Title '), "o_custkey", F.lit('"],"issued":{"date-parts":[['),
+                     F.year("o_orderdate"), F.lit("]]}}]}}"))
+    page = F.concat(F.lit("<p><a href='/p/"), k, F.lit("'>x</a></p>"))
+    which = k % 5
+    source = F.when(which == 0, "feed").when(which == 1, "works").when(which == 2, "page").when(which == 3, "other")
+    raw = t.heavy("orders").select(k, source.alias("source"), F.when(which == 0, feed).when(which == 1, works).otherwise(page).alias("raw"))
+    parsers = ParserRegistry()
+    parsers.register("feed", F.col("link"), F.col("published").cast("date"))(
+        lambda rows: FE.feed_items(rows, ["o_orderkey"], "raw", F.lit("2001-08-01").cast("timestamp")))
+    parsers.register("works", F.col("doi"), F.col("published").cast("date"))(lambda rows: FE.works(rows, "raw", "o_orderkey"))
+    parsers.register("page", F.col("href"), F.lit(None).cast("date"))(lambda rows: PG.extract_links(rows, ["o_orderkey"], "raw"))
+    found = parsers.parse(raw, "source").select("source", "guid", "title", F.date_format("first_seen", "yyyy-MM-dd").alias("seen"), F.lit(True).alias("parsed"))
+    nothing = F.lit(None).cast("string")
+    left = parsers.rejected(raw, "source").select("source", nothing.alias("guid"), nothing.alias("title"), nothing.alias("seen"), F.lit(False).alias("parsed"))
+    return found.unionByName(left)
