@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from listwatch.functions.text import empty_array, missing
-from listwatch.operators.scan import first_per_key
+from listwatch.operators.scan import first_per_key, running_sum_within
 
 CHANGE_DAYS, CHANGE_MAX = 30, 200
 # Codes and wording of changes.
@@ -85,15 +85,29 @@ def merge_snapshot(existing: DataFrame, listed: DataFrame, periods: DataFrame, s
     """
     key = [*source, mark, day]
     kept = existing.join(listed.select(*key).distinct(), key, "left_anti")
-    covers = periods.where("complete").select(*[F.col(c).alias(f"_{c}") for c in source], F.col("start").alias("_s"), F.col("end").alias("_e"))
-    same = F.col(day).between(F.col("_s"), F.col("_e"))
-    for c in source:
-        same = same & (F.col(c) == F.col(f"_{c}"))
-    # An anti-join: several snapshots of a source neither repeat a row nor bring one back.
-    kept = kept.join(covers, same, "left_anti").select(*existing.columns)
+    kept = uncovered(kept, periods.where("complete"), source, day).select(*existing.columns)
     return kept.unionByName(listed.where(F.col(relevant)).select(*existing.columns))
 
 
+def uncovered(rows: DataFrame, periods: DataFrame, source: list[str], day: str) -> DataFrame:
+    """Rows whose day lies in no period (``start`` to ``end``) of their source.
+
+    One pass in day order: a period counts from its start to its end, and a row is covered while any
+    is open.  A source with many periods costs their number, not pairs of rows and periods.  Rows without a
+    source or a day are covered by nothing; periods without one, a start or an end cover nothing.
+    """
+    known = periods.dropna(subset=[*source, "start", "end"]).where("start <= end")
+    row, none = F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(None)
+    items = rows.select(*source, F.col(day).cast("date").alias("_day"), F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_open"), row.alias("_row"))
+    edge = lambda at, kind, step: known.select(
+        *source, F.col(at).cast("date").alias("_day"), F.lit(kind).alias("_kind"), F.lit(step).cast("bigint").alias("_open"),
+        none.cast(items.schema["_row"].dataType).alias("_row"))
+    # Of a day, periods open before its rows and close behind them.
+    events = items.unionByName(edge("start", 0, 1)).unionByName(edge("end", 2, -1))
+    swept = running_sum_within(events, source, [F.col("_day"), F.col("_kind")], F.col("_open"), "_cover")
+    return swept.where((F.col("_kind") == 1) & ((F.col("_cover") == 0) | F.col("_day").isNull())).select("_row.*")
+
+
 def trim_changes(changes: DataFrame, key: list[str], found: str, day: str, today: Column,
                  days: int = CHANGE_DAYS, cap: int | None = CHANGE_MAX) -> DataFrame:
     """Change log: each change once with its earliest find, recent ones, newest first, capped."""

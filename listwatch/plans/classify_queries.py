@@ -278,7 +278,8 @@ UNION ALL SELECT 'error', 'shown twice', id, CAST(count(*) AS VARCHAR) FROM w GR
 UNION ALL SELECT 'error', 'shown, not archived', w.id, '' FROM w LEFT JOIN h ON h.folder_court = w.folder_court AND h.id = w.id WHERE h.id IS NULL
 UNION ALL SELECT 'error', 'shown, replaced', w.id, rb FROM w JOIN h ON h.folder_court = w.folder_court AND h.id = w.id WHERE rb <> ''
 UNION ALL SELECT 'error', 'shown without areas or flag', id, '' FROM w WHERE area IS NULL
-UNION ALL SELECT 'warning', 'shown with unknown area', id, area FROM w WHERE area = 'fr'"""
+UNION ALL SELECT 'warning', 'shown with unknown area', id, area FROM w WHERE area = 'fr'
+UNION ALL SELECT 'error', 'unreadable line', source || ':' || doc_id, '{"id":"d' || doc_id || '","areas":["' || lang FROM documents WHERE n_chars % 70 = 6"""
 
 
 @query("j22_integrity_check", "J22 W7 U4", sql=QUALITY_SQL)
@@ -301,7 +302,12 @@ def integrity_check(t):
     window = labelled.select(
         F.col("source").alias("folder_court"), F.concat(F.when(F.col("toxic") == 1, "w").otherwise("d"), "doc_id").alias("id"),
         F.when(n % 20 != 5, F.array("lang")).alias("areas"), F.lit(True).alias("procedural"))
-    return QA.check(archive, index, window, ["en", "de", "es"])
+    # Lines as the archive's files hold them, some cut off.
+    line = F.to_json(F.struct(F.concat(F.lit("d"), "doc_id").alias("id"), F.array("lang").alias("areas")))
+    cut = F.substring_index(line, '"]', 1)
+    files = t.documents.select("source", "doc_id", F.when(n % 70 == 6, cut).otherwise(line).alias("line"))
+    lines = QA.read_lines(files, "line", "id string, areas array<string>")
+    return QA.check(archive, index, window, ["en", "de", "es"], lines, F.concat_ws(":", "source", "doc_id"))
 
 
 @query("p2_published_status", "P2 F8", sql="""

@@ -72,6 +72,21 @@ def merge_snapshot(t):
         "source", "mark", F.date_format("day", "yyyy-MM-dd").alias("day"), "clock")
 
 
+@query("j15_many_snapshots", "J15", sql="""
+WITH p AS (SELECT l_returnflag AS source, CAST(l_shipdate AS DATE) AS a, CAST(l_shipdate AS DATE) + CAST(l_linenumber % 3 AS INTEGER) AS b FROM lineitem
+  WHERE dayofyear(l_shipdate) % 40 < 20 AND l_linestatus = 'F')
+SELECT o_orderkey AS mark, strftime(o_orderdate, '%Y-%m-%d') AS day FROM (SELECT *, CASE o_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS source FROM orders) o
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.source = o.source AND CAST(o_orderdate AS DATE) BETWEEN a AND b)""")
+def many_snapshots(t):
+    """Thousands of snapshots of each source against the rows of its calendar."""
+    source = F.when(F.col("o_custkey") % 3 == 0, "A").when(F.col("o_custkey") % 3 == 1, "N").otherwise("R")
+    rows = t.orders.select(source.alias("source"), F.col("o_orderkey").alias("mark"), F.col("o_orderdate").cast("date").alias("day"))
+    start = F.col("l_shipdate").cast("date")
+    periods = t.lineitem.where((F.dayofyear(start) % 40 < 20) & (F.col("l_linestatus") == "F")).select(
+        F.col("l_returnflag").alias("source"), start.alias("start"), F.date_add(start, (F.col("l_linenumber") % 3).cast("int")).alias("end"))
+    return X.uncovered(rows, periods, ["source"], "day").select("mark", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 @query("j13_carry_over", "J13", sql="""
 WITH a AS (SELECT o_custkey AS k, max(o_orderpriority) AS title, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ';') AS parties FROM orders GROUP BY 1)
 SELECT c_custkey, CASE WHEN c_acctbal < 5000 THEN coalesce(a.parties, '') ELSE c_mktsegment END AS parties,
