@@ -52,7 +52,9 @@ class DigestIndex:
         """Append the digests of ``batch`` (digest, doc_id) that the index lacks, each with its largest doc_id."""
         first = batch.groupBy("digest").agg(F.max("doc_id").alias("doc_id"))
         fresh = first.join(self.rows().hint("merge"), "digest", "left_anti")
-        (fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        # Dealt by the bucket itself: one file a bucket, however many partitions the shuffle has.
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        (fresh.repartition(self.buckets, bucket).sortWithinPartitions(bucket, "digest")
          .select("digest", "doc_id").write.insertInto(self.name))
 
 
@@ -82,13 +84,13 @@ class ExactDedup:
         index = index or temporary_index(docs.sparkSession)
         rows = self._indexed(docs, index)
         sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+        heads = index.rows().select("digest", F.col("doc_id").alias("keep_id")).join(sizes, "digest")
+        heads = staged(heads, "heads")
         # By digest and id, with the copies of a row reduced first: a hot text is dealt by its ids.
         own = rows.groupBy("digest", id_key("id").alias("k")).agg(F.max("row").alias("keep_row"))
-        best = own.join(index.rows().hint("shuffle_merge").select("digest", id_key("doc_id").alias("k")), ["digest", "k"]).drop("k")
-        groups = (index.rows().select("digest", F.col("doc_id").alias("keep_id"))
-                  .join(sizes, "digest").join(best, "digest", "left"))
+        best = own.join(heads.select("digest", id_key("keep_id").alias("k")), ["digest", "k"]).drop("k")
         # Written first: then both sides of the next join are plain scans and a hot text is split at run time.
-        groups = staged(groups, "groups")
+        groups = staged(heads.join(best, "digest", "left"), "groups")
         return rows.join(groups, "digest").select(
             F.col("id").alias(self.id), "digest", "keep_id", "group_size",
             F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"))
