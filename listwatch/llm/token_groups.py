@@ -247,12 +247,12 @@ class JaccardJoin:
                     yield pd.DataFrame({"segment": np.concatenate(out).view(np.int64), "class_id": np.concatenate(ids),
                                         "need": np.concatenate(needs)})
 
-        rows = docs.select("text").mapInPandas(cut, "segment long, class_id long, need long")
-        same = W.partitionBy("segment")
-        return (rows.withColumns({"shared": F.min("class_id").over(same) < F.max("class_id").over(same),
-                                  "holders": F.count(F.lit(1)).over(same)})
-                .where("shared or need = 0").groupBy("segment", "class_id")
-                .agg(F.min("need").alias("need"), F.first("holders").alias("holders"), F.first("shared").alias("shared")))
+        rows = staged(docs.select("text").mapInPandas(cut, "segment long, class_id long, need long"), "all_segments")
+        # Counted with a map-side part and joined back, so a segment that a third of all classes hold is split at run time.
+        several = rows.groupBy("segment").agg(F.count(F.lit(1)).alias("holders"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi"))
+        several = several.where("lo < hi").select("segment", "holders")
+        return (rows.join(several, "segment", "left").where("holders is not null or need = 0").groupBy("segment", "class_id")
+                .agg(F.min("need").alias("need"), F.coalesce(F.first("holders"), F.lit(1)).alias("holders"), F.first("holders").isNotNull().alias("shared")))
 
     def _tokens(self, docs: DataFrame, members: DataFrame) -> DataFrame:
         """(class_id, tokens) of the member classes, from one text of each."""
