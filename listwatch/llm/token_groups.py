@@ -227,7 +227,13 @@ class JaccardJoin:
             measure, f"id {kind}, text_key long, n long, class_id long")
 
     def _shared_segments(self, docs: DataFrame) -> DataFrame:
-        """(segment, class_id, need, holders, shared) for the segments that two or more classes hold, and those of classes that need none."""
+        """(segment, class_id, need, shared) for the segments that two or more classes hold, and those of classes that need none.
+
+        Classes of one batch that hold the same segment have shown it to be shared, so only the first of them has to meet
+        the holders of other batches; the others are dealt by class.  A segment that a third of all classes hold puts
+        about one row per batch into a task.  A class that never meets another in a batch meets the first ones, of which
+        one is another class: were all of them itself, it had shared a batch with their companions.
+        """
         words, percent = self.words, self.percent
 
         def cut(batches):
@@ -244,15 +250,19 @@ class JaccardJoin:
                         ids.append(np.full(len(digests), c, np.int64))
                         needs.append(np.full(len(digests), need, np.int64))
                 if out:
-                    yield pd.DataFrame({"segment": np.concatenate(out).view(np.int64), "class_id": np.concatenate(ids),
-                                        "need": np.concatenate(needs)})
-
-        rows = staged(docs.select("text").mapInPandas(cut, "segment long, class_id long, need long"), "all_segments")
-        # Counted with a map-side part and joined back, so a segment that a third of all classes hold is split at run time.
-        several = rows.groupBy("segment").agg(F.count(F.lit(1)).alias("holders"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi"))
-        several = several.where("lo < hi").select("segment", "holders")
-        return (rows.join(several, "segment", "left").where("holders is not null or need = 0").groupBy("segment", "class_id")
-                .agg(F.min("need").alias("need"), F.coalesce(F.first("holders"), F.lit(1)).alias("holders"), F.first("holders").isNotNull().alias("shared")))
+                    held = np.concatenate(out)
+                    _, first, which, count = np.unique(held, return_index=True, return_inverse=True, return_counts=True)
+                    # 0: alone in its batch, 1: first of several, 2: another of several.
+                    kind = np.where(count[which] > 1, 2, 0).astype(np.int32)
+                    kind[first] = np.minimum(kind[first], 1)
+                    yield pd.DataFrame({"segment": held.view(np.int64), "class_id": np.concatenate(ids),
+                                        "need": np.concatenate(needs), "kind": kind})
+
+        rows = docs.select("text").mapInPandas(cut, "segment long, class_id long, need long, kind int")
+        met = W.partitionBy("segment", F.when(F.col("kind") == 2, F.col("class_id")).otherwise(F.lit(0)))
+        several = (F.col("kind") > 0) | (F.min("class_id").over(met) < F.max("class_id").over(met))
+        return (rows.withColumn("shared", several).where("shared or need = 0").groupBy("segment", "class_id")
+                .agg(F.min("need").alias("need"), F.max("shared").alias("shared")))
 
     def _tokens(self, docs: DataFrame, members: DataFrame) -> DataFrame:
         """(class_id, tokens) of the member classes, from one text of each."""
@@ -274,7 +284,8 @@ class JaccardJoin:
     def _members(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """(class_id, n, sample, block) of the classes that can have a partner."""
         segments = staged(self._shared_segments(docs), "segments")
-        home = segments.groupBy("class_id").agg(F.max(F.struct("holders", "segment"))["segment"].alias("home"),
+        holders = segments.groupBy("segment").agg(F.count(F.lit(1)).alias("holders"))
+        home = segments.join(holders, "segment").groupBy("class_id").agg(F.max(F.struct("holders", "segment"))["segment"].alias("home"),
                                                 F.count_if("shared").alias("held"), F.min("need").alias("need")).where("held >= need")
         members = classes.join(home, "class_id").select("class_id", "n", "sample", "home")
         chunks = members.groupBy("home").agg(F.ceil(F.sum("n") / self.block_tokens).alias("chunks"))
