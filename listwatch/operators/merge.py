@@ -84,6 +84,51 @@ def hand_over(records: DataFrame, key: list[str], provisional: Column, always_in
         F.when(gives, F.col("_official")).otherwise(F.col("replaced_by")).alias("replaced_by"))
 
 
+def hand_over_enrichment(records: DataFrame, key: list[str], provisional: Column, always_inherits: Column, kind: Column,
+                         enrichment: str = "enrichment") -> DataFrame:
+    """``hand_over`` for records whose whole ``enrichment`` (a nullable struct with ``summary``) passes on.
+
+    ``kind`` is an additional part of the key where it is not null, for courts whose provisional record gives way
+    to an official one of the same kind only; null matches any kind.  The earliest official record without an
+    enrichment takes that of the earliest provisional record that has one, and, where ``always_inherits`` or
+    a provisional one has a summary, the earliest first-seen time.  An enrichment without a summary passes on too.
+    """
+    parts = [*key, "_kind"]
+    rows = records.withColumns({"_kind": F.coalesce(kind, F.lit("")), "_prov": F.coalesce(provisional, F.lit(False)),
+                                "_inherits": F.coalesce(always_inherits, F.lit(False)) | ~missing(F.col(f"{enrichment}.summary")),
+                                "_live": missing(F.col("replaced_by")) & ~missing(F.col(key[0]))})
+    age, gives = F.struct("first_seen", "id"), F.col("_prov") & F.col(enrichment).isNotNull()
+    by_key = rows.where("_live").groupBy(*parts).agg(
+        F.min(F.when(~F.col("_prov"), age))["id"].alias("_official"),
+        F.min(F.when(F.col("_prov") & F.col("_inherits"), F.col("first_seen"))).alias("_seen"),
+        F.min_by(F.when(gives, F.col(enrichment)), F.when(gives, age)).alias("_given"),
+        F.bool_or("_prov").alias("_any")).where("_any and _official is not null")
+    takes = F.col("_live") & ~F.col("_prov") & (F.col("id") == F.col("_official"))
+    done = rows.join(by_key, parts, "left").select(
+        *[c for c in records.columns if c not in ("first_seen", enrichment, "replaced_by")],
+        F.when(takes, F.least("first_seen", "_seen")).otherwise(F.col("first_seen")).alias("first_seen"),
+        F.when(takes, F.coalesce(enrichment, "_given")).otherwise(F.col(enrichment)).alias(enrichment),
+        F.when(F.col("_live") & F.col("_prov"), F.coalesce("_official", "replaced_by")).otherwise(F.col("replaced_by")).alias("replaced_by"))
+    return done.select(*records.columns)
+
+
+def fill_from_pages(items: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """Items without a summary and without a base text, given the abstract of their page, else its text.
+
+    items(key, title, description, summary, base), pages(key, abstract, text), one row per key.  Only an abstract
+    becomes the description.  ``filled`` is null where nothing was wanted, false where the page had nothing.
+    """
+    wanted = missing(F.col("summary")) & missing(F.col("base"))
+    found = F.col("_abstract"), F.col("_text")
+    has = wanted & (first_text(*found) != "")
+    side = pages.select(key, F.col("abstract").alias("_abstract"), F.col("text").alias("_text"))
+    return items.join(side, key, "left").withColumns({
+        "filled": F.when(wanted, has),
+        "description": F.when(has & ~missing(found[0]), found[0]).otherwise(F.col("description")),
+        "base": F.when(has, F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), first_text(*found))).otherwise(F.col("base")),
+    }).drop("_abstract", "_text")
+
+
 def suppress_provisional(new: DataFrame, archive_official: DataFrame, key: list[str]) -> DataFrame:
     """New provisional records for which no official record exists."""
     return new.join(archive_official.select(*key), key, "left_anti")

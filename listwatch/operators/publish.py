@@ -55,6 +55,28 @@ def journal_row(title: Column, summary: Column, note: Column, description: Colum
             "description": F.when(bare, first_text(description)).otherwise("")}
 
 
+def in_registry(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Journal rows with the id of their journal, blank for an abbreviation that no journal has or had.
+
+    registry(journal, abbreviation, former) has one row per journal; ``former`` lists abbreviations it had earlier, and an
+    abbreviation in use has precedence over a former one.
+    """
+    names = registry.select("journal", F.col("abbreviation"), F.lit(0).alias("rank")).unionByName(
+        registry.select("journal", F.explode("former").alias("abbreviation"), F.lit(1).alias("rank")))
+    names = names.groupBy("abbreviation").agg(F.min(F.struct("rank", "journal"))["journal"].alias("journal"))
+    return rows.join(names, "abbreviation", "left").fillna("", ["journal"])
+
+
+def shown_judge(judge: Column, meta: Column) -> Column:
+    """Judge of the record, else the one its metadata names."""
+    return first_text(judge, F.try_element_at(meta, F.lit("judge")))
+
+
+def recent_referrals(rows: DataFrame, lodged: str, today: Column) -> DataFrame:
+    """Referrals lodged since the first day of the month before ``today``; undated ones are left out."""
+    return rows.where(F.col(lodged).cast("date") >= F.add_months(F.trunc(today, "MM"), -1))
+
+
 def reader_rows(decisions: DataFrame, articles: DataFrame) -> DataFrame:
     """Both products in one shape; the shown date falls back to the first-seen one."""
     d = decisions.select(

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listwatch.functions.dates import USAGE_ZONE, local_day
 from listwatch.functions.links import link_shape
+from listwatch.functions.text import missing
 
 
 def row_hash(columns: list[str]) -> Column:
@@ -79,6 +80,27 @@ def run_health(found: DataFrame, previous: DataFrame, source: str) -> DataFrame:
     return both.select(source, "found", "new", "deferred", warning.alias("warning"))
 
 
+def run_report(found: DataFrame, errors: DataFrame, previous: DataFrame, source: str) -> DataFrame:
+    """Health of every source after a run, to be kept as ``previous`` of the next one.
+
+    found(source, is_new, deferred) one row per item, errors(source, error) any number of rows, previous(source, found,
+    error) one row per source.  A source that found nothing twice is suspicious only if no error explains either run.
+    Sources of all three inputs are reported; errors are counted and shown by the first one in text order.
+    """
+    zero = F.lit(0).cast("bigint")
+    facts = found.select(source, F.lit(1).alias("one"), F.col("is_new").cast("int").alias("new"), F.col("deferred").cast("int").alias("late"),
+                         F.lit(None).cast("string").alias("error"))
+    facts = facts.unionByName(errors.select(source, F.lit(0).alias("one"), F.lit(0).alias("new"), F.lit(0).alias("late"), "error"))
+    now = facts.groupBy(source).agg(F.sum("one").alias("found"), F.sum("new").alias("new"), F.sum("late").alias("deferred"),
+                                    F.count("error").alias("errors"), F.min("error").alias("error"))
+    before = previous.select(source, F.col("found").alias("_found"), F.col("error").alias("_error"))
+    both = before.join(now, source, "full_outer").withColumns({n: F.coalesce(n, zero) for n in ("found", "new", "deferred", "errors")})
+    calm = (F.col("errors") == 0) & missing(F.col("_error"))
+    warning = (F.when((F.col("deferred") > 0) & (F.col("new") == 0), "only deferred")
+               .when((F.col("found") == 0) & (F.col("_found") == 0) & calm, "empty twice").otherwise(""))
+    return both.select(source, "found", "new", "deferred", "errors", F.coalesce("error", F.lit("")).alias("error"), warning.alias("warning"))
+
+
 def tri_state(selected: DataFrame, option: str, holder: str, holders: int) -> DataFrame:
     """Option selected for all, some or none of the holders."""
     n = F.count_if(F.col("selected"))

@@ -87,6 +87,14 @@ def with_changes(hearings: DataFrame, changes: DataFrame, key: list[str]) -> Dat
     return hearings.join(per, key, "left").fillna(0, ["changes"]).fillna("", ["latest_change"])
 
 
+def change_rows(hearings: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+    """A row per hearing and change of it, ``found`` and ``wording`` null for a hearing without changes.
+
+    Rows instead of a list: the changes of a hearing have no bound.
+    """
+    return hearings.join(changes.select(*key, "found", "wording"), key, "left")
+
+
 def timeline(events: DataFrame, hearings: DataFrame, labels: DataFrame, case: list[str]) -> DataFrame:
     """Procedural events (codes labelled through a dimension) and hearings of each case."""
     named = (events.join(labels, "code", "left")
