@@ -113,10 +113,24 @@ def accept_headings(asked: DataFrame, answered: DataFrame, batch: str) -> DataFr
     return asked.join(good, [batch, "id"], "left").withColumnRenamed("_h", "new_heading")
 
 
-def listed_people(answers: DataFrame, batch: str, raw: str) -> DataFrame:
-    """(batch, name) from answers that list names; batches with an unreadable answer are absent."""
-    names = F.try_variant_get(embedded_array(F.col(raw)), "$", "array<string>")
-    return answers.select(batch, F.explode(names).alias("name"))
+def accept_areas(asked: DataFrame, answered: DataFrame, batch: str, known: Column) -> DataFrame:
+    """Asked ids with the known areas of their answer, in its order; null, to be asked again, without an answer.
+
+    An answer that is no list counts as one without areas.  Ids that were not asked are dropped.
+    """
+    listed = F.filter(F.array_distinct(F.from_json("value", "array<string>")), lambda area: F.array_contains(known, area))
+    offered = answered.select(batch, "id", F.coalesce(listed, F.array().cast("array<string>")).alias("areas")).dropDuplicates([batch, "id"])
+    return asked.join(offered, [batch, "id"], "left")
+
+
+def judged_people(asked: DataFrame, answers: DataFrame, batch: str, raw: str) -> DataFrame:
+    """Asked names as ``person`` when the answer of their batch lists them, else ``other``; ``open`` without a readable answer.
+
+    answers has one row per batch; a batch is one request, which bounds the list.
+    """
+    listed = answers.select(batch, F.try_variant_get(embedded_array(F.col(raw)), "$", "array<string>").alias("_listed"))
+    verdict = (F.when(F.col("_listed").isNull(), "open").when(F.array_contains("_listed", F.col("name")), "person").otherwise("other"))
+    return asked.join(listed, batch, "left").withColumn("verdict", verdict).drop("_listed")
 
 
 def extracted_rows(answers: DataFrame, key: str, raw: str, schema: str) -> DataFrame:

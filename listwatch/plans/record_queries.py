@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from listwatch.functions.dates import older_window_start, window_start
-from listwatch.operators import merge as M, publish as P, report as R, subscribe as SB
+from listwatch.operators import answers as A, events as EV, merge as M, publish as P, report as R, subscribe as SB
 from listwatch.plans.registry import query
 from listwatch.sources.archive import window_rows
 
@@ -117,3 +117,74 @@ def change_rows(t):
         F.col("l_orderkey").alias("o_orderkey"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("found"),
         F.concat("l_returnflag", "l_linenumber").alias("wording"))
     return SB.change_rows(t.orders.select("o_orderkey"), changes, ["o_orderkey"])
+
+
+@query("p5_event_rows", "P5", sql="""
+WITH r AS (SELECT *, 'Seminář číslo ' || o_orderkey AS name, CAST(o_orderdate AS DATE) AS d FROM orders)
+SELECT substr(sha1('org' || (o_custkey % 9) || '|' || strftime(d, '%Y-%m-%d') || '|seminar cislo ' || o_orderkey), 1, 20) AS id, name AS title, strftime(d, '%Y-%m-%d') AS day,
+  CASE WHEN o_custkey % 3 = 0 THEN strftime(d + 2, '%Y-%m-%d') END AS last_day, '09:05' AS starts, CASE WHEN o_custkey % 2 = 0 THEN '17:30' ELSE '' END AS ends,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'hybridne' WHEN o_orderkey % 4 = 1 THEN 'online' ELSE 'prezencne' END AS form,
+  CASE WHEN o_custkey % 5 = 0 THEN 8 ELSE 2 END AS lecturers, 600 AS note,
+  CASE o_custkey % 3 WHEN 0 THEN 'https://www.example.org/a%20' || o_orderkey WHEN 1 THEN 'https://example.org/' || o_orderkey ELSE '' END AS url
+FROM r WHERE o_orderstatus <> 'P' AND o_totalprice >= 1000""")
+def event_rows(t):
+    key, day, odd = F.col("o_orderkey").cast("string"), F.col("o_orderdate").cast("date"), F.col("o_custkey") % 3
+    prefix = F.when(F.col("o_orderkey") % 4 == 0, "HYBRIDNÍ FORMA: ").when(F.col("o_orderkey") % 4 == 1, "Online – ").otherwise("")
+    raw = t.heavy("orders").select(
+        F.concat(F.lit("org"), F.col("o_custkey") % 9).alias("organiser"),
+        F.concat(F.when(F.col("o_orderstatus") == "P", "ZRUŠENO ").otherwise(""), prefix, F.lit(" Seminář  číslo "), key).alias("title"),
+        F.when(F.col("o_totalprice") >= 1000, F.date_format(day, "d. M. yyyy")).otherwise("brzy").alias("day"),
+        F.when(odd == 0, F.date_add(day, 2).cast("string")).when(odd == 1, F.date_sub(day, 1).cast("string")).alias("last_day"),
+        F.lit("od 9.05 hod.").alias("starts"), F.when(F.col("o_custkey") % 2 == 0, "17:30").alias("ends"), F.lit(" Praha ").alias("place"),
+        F.when(F.col("o_custkey") % 5 == 0, "A;B;C; D;E;F;G;H;I;J").otherwise("Jan Novák;\n Eva Malá ; ").alias("lecturers"),
+        F.repeat(F.lit("Anotace "), 90).alias("note"),
+        F.when(odd == 0, F.concat(F.lit("/a "), key)).when(odd == 1, F.concat(F.lit("https://example.org/"), key))
+        .otherwise(F.concat(F.lit("https://badexample.org/"), key)).alias("url"))
+    done = EV.normalise_events(raw, "organiser", F.array(F.lit("example.org")), "https://www.example.org")
+    return done.select("id", "title", F.col("day").cast("string").alias("day"), F.col("last_day").cast("string").alias("last_day"), "starts",
+                       "ends", "form", F.size("lecturers").alias("lecturers"), F.length("note").alias("note"), "url")
+
+
+@query("e7_event_answers", "E7 P5", sql="""
+SELECT user_id, 'Kurz ' || event_type AS title, strftime(CAST(min(ts) AS DATE), '%Y-%m-%d') AS day, strftime(min(ts), '%H:%M') AS starts, 'online' AS form
+FROM events WHERE user_id % 10 <> 0 AND event_type <> 'error' GROUP BY user_id, event_type""")
+def event_answers(t):
+    # An answer holds one object per kind of event of the user, so its size is bounded.
+    kinds = t.events.groupBy("user_id", "event_type").agg(F.min("ts").alias("ts"))
+    entry = F.struct(F.concat(F.lit("Kurz "), "event_type").alias("title"),
+                     F.when(F.col("event_type") != "error", F.date_format("ts", "yyyy-MM-dd'T'HH:mm")).alias("day"),
+                     F.date_format("ts", "H:mm").alias("starts"), F.lit("webinář").alias("form"))
+    listed = kinds.groupBy("user_id").agg(F.to_json(F.collect_list(entry)).alias("json"))
+    raw = listed.select("user_id", F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("Nalezeno:\n"), "json", F.lit("\nKonec.")))
+                        .otherwise("Nic jsem nenašel.").alias("raw"))
+    rows = A.extracted_rows(raw, "user_id", "raw", ", ".join(f"{n}: string" for n in EV.RAW_FIELDS))
+    done = EV.normalise_events(rows, "user_id", F.array().cast("array<string>"), "")
+    return done.select("user_id", "title", F.col("day").cast("string").alias("day"), "starts", "form")
+
+
+@query("e4_batch_areas", "E4", sql="""
+SELECT o_orderkey // 20 AS batch, CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey // 20 % 4 = 0 OR o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN ''
+  WHEN o_orderstatus = 'P' THEN 'it' ELSE o_orderstatus || ',it' END AS areas FROM orders""")
+def batch_areas(t):
+    batch = F.floor(F.col("o_orderkey") / 20).alias("batch")
+    asked = t.orders.select(batch, F.col("o_orderkey").cast("string").alias("id"))
+    value = F.when(F.col("o_orderkey") % 5 == 0, F.lit('"none"')).otherwise(
+        F.to_json(F.array("o_orderstatus", F.lit("it"), F.lit("unknown"), F.lit("it"))))
+    entry = F.concat(F.lit('"'), "o_orderkey", F.lit('":'), value)
+    # Twenty ids make a batch.
+    texts = t.orders.where("o_orderkey % 7 <> 0").groupBy(batch).agg(F.array_join(F.collect_list(entry), ",").alias("body"))
+    answers = texts.select("batch", F.when(F.col("batch") % 4 != 0, F.concat(F.lit('{"stranger":["it"],'), "body", F.lit("}"))).alias("raw"))
+    known = F.array(*map(F.lit, ("it", "F", "O")))
+    done = A.accept_areas(asked, A.batch_answers(answers, "batch", "raw"), "batch", known)
+    return done.select("batch", "id", F.array_join("areas", ",").alias("areas"))
+
+
+@query("e4_batch_people", "E4", sql="""
+SELECT c_custkey // 25 AS batch, c_name AS name, CASE WHEN c_custkey // 25 % 5 = 0 THEN 'open' WHEN c_acctbal > 0 THEN 'person' ELSE 'other' END AS verdict FROM customer""")
+def batch_people(t):
+    batch = F.floor(F.col("c_custkey") / 25).alias("batch")
+    asked = t.customer.select(batch, F.col("c_name").alias("name"))
+    # Twenty-five names make a batch.
+    lists = t.customer.groupBy(batch).agg(F.to_json(F.collect_list(F.when(F.col("c_acctbal") > 0, F.col("c_name")))).alias("json"))
+    answers = lists.select("batch", F.when(F.col("batch") % 5 != 0, F.concat(F.lit("Osoby: "), "json")).otherwise("Nevím.").alias("raw"))
+    return A.judged_people(asked, answers, "batch", "raw")

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from listwatch.operators import merge as M, publish as P, report as R, subscribe as SB
+from listwatch.operators import answers as A, events as EV, merge as M, publish as P, report as R, subscribe as SB
 
 DAY = dt.datetime
 
@@ -65,3 +65,36 @@ def test_change_rows_and_referrals(spark):
     assert sorted(map(tuple, SB.change_rows(hearings, changes, ["mark"]).collect())) == [(1, "d1", "w1"), (1, "d2", "w2"), (2, None, None)]
     days = spark.createDataFrame([("2025-11-30",), ("2025-12-01",), (None,)], "day string")
     assert P.recent_referrals(days, "day", F.lit("2026-01-31").cast("date")).count() == 1
+
+
+def test_normalise_events(spark):
+    schema = "org string, title string, day string, last_day string, starts string, form string, place string, lecturers array<string>, note string, url string"
+    blank = (None,) * 6
+    rows = spark.createDataFrame([
+        ("o", "HYBRIDNÍ FORMA: Smlouvy", "1. 2. 2026", "2026-02-03", "9.00", None, "Brno", [" A  B ", "", *"cdefghij"], "x" * 700, "/k 1"),
+        ("o", "ONLINE: AI", "2026-02-01", "2026-01-01", "25:00", "prezencne", None, None, None, "http://evil.org/a"),
+        ("o", "Kurz byl zrušen – kurz je zrušen", "2026-02-01", *blank, None), ("o", " ", "2026-02-01", *blank, None),
+        ("o", "Bez data", "brzy", *blank, None), ("o", None, None, *blank, None),
+        ("o", "Seminář", "2026-02-01", None, None, "webinář", None, [], None, "https://sub.ok.cz/x")], schema)
+    got = {r["title"]: r.asDict() for r in EV.normalise_events(rows, "org", F.array(F.lit("ok.cz")), "https://ok.cz").collect()}
+    assert set(got) == {"Smlouvy", "ONLINE: AI", "Seminář"}
+    one = got["Smlouvy"]
+    assert (one["form"], str(one["day"]), str(one["last_day"]), one["starts"], one["url"]) == ("hybridne", "2026-02-01", "2026-02-03", "09:00", "https://ok.cz/k%201")
+    assert one["lecturers"] == ["A B", *"cdefghi"] and len(one["note"]) == 600 and one["price"] == "" and one["ends"] == ""
+    # Too little would be left of this title; the organiser's own form stays.
+    assert got["ONLINE: AI"]["form"] == "prezencne" and got["ONLINE: AI"]["url"] == "" and got["ONLINE: AI"]["last_day"] is None
+    assert (got["Seminář"]["form"], got["Seminář"]["url"], got["Seminář"]["lecturers"]) == ("online", "https://sub.ok.cz/x", [])
+    few = EV.normalise_events(spark.createDataFrame([("o", "A", "2026-02-01", "x; y\nz")], "org string, title string, day string, lecturers string"),
+                              "org", F.array().cast("array<string>"), "").first()
+    assert few["lecturers"] == ["x", "y", "z"] and few["form"] == ""
+
+
+def test_batch_answers(spark):
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "d")], "batch int, id string")
+    answers = spark.createDataFrame([(1, 'So: {"a": ["it", "x", "it", "ip"], "b": "it", "z": ["it"]}'), (2, "none")], "batch int, raw string")
+    done = A.accept_areas(asked, A.batch_answers(answers, "batch", "raw"), "batch", F.array(F.lit("ip"), F.lit("it")))
+    assert {r["id"]: r["areas"] for r in done.collect()} == {"a": ["it", "ip"], "b": [], "c": None, "d": None}
+    names = asked.withColumnRenamed("id", "name")
+    lists = spark.createDataFrame([(1, 'ok ["a", "stranger"]'), (2, "[broken")], "batch int, raw string")
+    assert {r["name"]: r["verdict"] for r in A.judged_people(names, lists, "batch", "raw").collect()} == {
+        "a": "person", "b": "other", "c": "other", "d": "open"}
