@@ -1,10 +1,13 @@
 """Whole records: enrichment handed over, page texts, windows of the archive, journals, health of a run, changes as rows."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from listwatch.functions.dates import older_window_start, window_start
+from listwatch.functions.events import hearing_uid
 from listwatch.operators import answers as A, events as EV, merge as M, publish as P, report as R, subscribe as SB
 from listwatch.plans.registry import query
+from listwatch.session import scratch_dir
+from listwatch.sources import ical as IC
 from listwatch.sources.archive import window_rows
 
 
@@ -188,3 +191,37 @@ def batch_people(t):
     lists = t.customer.groupBy(batch).agg(F.to_json(F.collect_list(F.when(F.col("c_acctbal") > 0, F.col("c_name")))).alias("json"))
     answers = lists.select("batch", F.when(F.col("batch") % 5 != 0, F.concat(F.lit("Osoby: "), "json")).otherwise("Nevím.").alias("raw"))
     return A.judged_people(asked, answers, "batch", "raw")
+
+
+@query("s14_calendar_file", "S14", sql=r"""
+SELECT o_orderkey, sha1(o_orderpriority || '|' || o_custkey || '|' || strftime(o_orderdate, '%Y-%m-%d') || '|' || clock) AS uid, strftime(o_orderdate, '%Y%m%d') AS day,
+  'Jednání\, č. ' || o_orderkey || '\; ' || o_orderpriority AS summary, true AS in_order, true AS framed
+FROM (SELECT *, CASE WHEN o_orderstatus = 'F' THEN '' ELSE '9:30' END AS clock FROM orders)""")
+def calendar_file(t):
+    day, empty = F.col("o_orderdate").cast("date"), F.lit("")
+    events = t.orders.select(
+        "o_orderkey", day.alias("day"), F.when(F.col("o_orderstatus") == "F", "").otherwise("9:30").alias("clock"),
+        F.col("o_orderpriority").alias("court"), F.col("o_custkey").cast("string").alias("mark"))
+    title = F.concat(F.lit("Jednání, č. "), "o_orderkey", F.lit("; "), "court")
+    uid = hearing_uid(F.col("court"), F.col("mark"), F.col("day"), F.col("clock"))
+    blocks = IC.with_event_block(events, "block", uid, "20240101T000000Z", F.col("day"), F.lit(None).cast("date"), F.col("clock"), empty,
+                                 title, empty, empty, empty)
+    lines = IC.calendar_lines(blocks, "block", ["day", "o_orderkey"], "Jednání", "listwatch")
+    path = f"{scratch_dir(t.spark, 'calendar')}/file"
+    IC.write_calendar(lines, ["day", "o_orderkey"], path)
+    # Parts in the order of their names are the file; a part begins and ends with whole blocks.
+    parts = t.spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("part"))
+    frame = parts.agg(F.min_by("value", "part").startswith("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n")
+                      & F.max_by("value", "part").endswith("END:VCALENDAR\r\n")).scalar()
+    each = parts.select("part", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)BEGIN:VEVENT\r\n(.*?)END:VEVENT"), F.lit(1))))
+    found = each.select(
+        "part", "pos", F.regexp_extract("col", r"(?m)^UID:(\S+)", 1).alias("uid"), F.regexp_extract("col", r"(?m)^DTSTART[^:]*:(\d{8})", 1).alias("day"),
+        F.regexp_extract("col", r"(?m)^SUMMARY:([^\r\n]*)", 1).alias("summary"))
+    key = F.regexp_extract("summary", r"č\. (\d+)", 1).cast("bigint")
+    place, bounds = W.partitionBy("part").orderBy("pos"), F.struct("day", key.alias("key"))
+    found = found.withColumns({"o_orderkey": key, "in_part": F.coalesce(F.lag(bounds).over(place) <= bounds, F.lit(True))})
+    # Between parts: the last event of all earlier parts, one row per part.
+    ends = found.groupBy("part").agg(F.min(bounds).alias("first"), F.max(bounds).alias("last"))
+    ends = ends.select("part", (F.col("first") >= F.coalesce(F.lag("last").over(W.orderBy("part")), "first")).alias("after"))
+    return found.join(ends, "part").select(
+        "o_orderkey", "uid", "day", "summary", (F.col("in_part") & F.col("after")).alias("in_order"), frame.alias("framed"))
