@@ -2,12 +2,12 @@
 
 from pyspark.sql import Window as W, functions as F
 
-from listwatch.functions.dates import older_window_start, window_start
+from listwatch.functions.dates import link_period, older_window_start, range_label, window_start
 from listwatch.functions.events import hearing_uid
 from listwatch.operators import answers as A, events as EV, merge as M, publish as P, report as R, subscribe as SB
 from listwatch.plans.registry import query
 from listwatch.session import scratch_dir
-from listwatch.sources import ical as IC
+from listwatch.sources import ical as IC, pages as PG
 from listwatch.sources.archive import window_rows
 
 
@@ -225,3 +225,39 @@ def calendar_file(t):
     ends = ends.select("part", (F.col("first") >= F.coalesce(F.lag("last").over(W.orderBy("part")), "first")).alias("after"))
     return found.join(ends, "part").select(
         "o_orderkey", "uid", "day", "summary", (F.col("in_part") & F.col("after")).alias("in_order"), frame.alias("framed"))
+
+
+@query("x8_link_periods", "X8 X23", sql="""
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, least(day(o_orderdate) + o_custkey % 9, 28) AS last FROM orders WHERE o_orderstatus <> 'P'),
+p AS (SELECT *, make_date(year(d), month(d), last) AS e FROM o)
+SELECT o_orderkey, CASE WHEN e >= d THEN strftime(d, '%Y-%m-%d') END AS start, CASE WHEN e >= d THEN strftime(e, '%Y-%m-%d') END AS stop,
+  CASE WHEN e >= d THEN day(d) || '. ' || month(d) || '. – ' || day(e) || '. ' || month(e) || '. ' || year(e) END AS label FROM p
+UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderstatus = 'P'""")
+def link_periods(t):
+    day = F.col("o_orderdate").cast("date")
+    last = F.least(F.dayofmonth(day) + F.col("o_custkey") % 9, F.lit(28))
+    dates = F.concat_ws("-", F.dayofmonth(day), last, F.month(day), F.year(day))
+    url = F.concat(F.lit("https://example.org/hearings-"), dates, F.when(F.col("o_orderstatus") == "P", "-draft").when(F.col("o_custkey") % 2 == 0, "/").otherwise(""))
+    rows = t.orders.select("o_orderkey", link_period(url).alias("p"))
+    return rows.select("o_orderkey", F.col("p.start").cast("string").alias("start"), F.col("p.end").cast("string").alias("stop"),
+                       range_label(F.col("p.start"), F.col("p.end")).alias("label"))
+
+
+@query("s18_link_kinds", "S18", sql="""
+SELECT o_orderkey, 'calendar' AS kind, 'https://x.example/feed/' || o_orderkey || '.ics?x=1' AS href FROM orders WHERE o_custkey % 2 = 0
+UNION ALL SELECT o_orderkey, 'document', '/documents/' || o_orderkey FROM orders
+UNION ALL SELECT o_orderkey, 'document', 'https://x.example/p' || o_custkey || '.PDF' FROM orders
+UNION ALL SELECT o_orderkey, 'invitation', 'https://x.example/p' || o_custkey || '.PDF' FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT o_orderkey, 'invitation', 'https://sub.x.example/i' FROM orders""")
+def link_kinds(t):
+    key, mark = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    anchors = (
+        (F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("webcal://x.example/feed/"), key, F.lit(".ics?x=1"))).otherwise("/feed"), F.lit("Kalendář")),
+        (F.concat(F.lit("/documents/"), key), F.lit("Rozvrh")),
+        (F.concat(F.lit("https://x.example/p"), mark, F.lit(".PDF")), F.when(F.col("o_orderstatus") == "P", "Ceník").otherwise("Program (program.pdf)")),
+        (F.lit("https://sub.x.example/i"), F.lit("<b>Pozvánka</b> na seminář")), (F.lit("https://badx.example/i"), F.lit("Pozvánka")))
+    html = F.concat(*[F.concat(F.lit('<a class="l" href="'), href, F.lit('">'), text, F.lit("</a> ")) for href, text in anchors])
+    links = PG.extract_links(t.heavy("orders").select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
+    kinds = {"calendar": PG.calendar_links(links), "document": PG.document_links(links), "invitation": PG.invitation_links(links, F.array(F.lit("x.example")))}
+    found = [rows.select("o_orderkey", F.lit(kind).alias("kind"), "href") for kind, rows in kinds.items()]
+    return found[0].union(found[1]).union(found[2])

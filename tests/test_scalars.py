@@ -183,3 +183,25 @@ def test_late_data_policy(value):
     assert seen("2026-09-20", True) == "2026-09-20 12:00:00"
     assert seen("2026-09-30", True) == "2026-09-24 05:00:00"
     assert seen(None, True) == "2026-09-24 05:00:00"
+
+
+def test_periods_of_headings_and_links(value):
+    def days(c):
+        return value(F.concat_ws("/", c["start"].cast("string"), c["end"].cast("string")))
+    assert days(D.header_period(lit("Přehled za období od 16.08.2026 do 31. 8. 2026"))) == "2026-08-16/2026-08-31"
+    assert days(D.header_period(lit("od 1.1.2026 – 2.1.2026 a od 3.1.2026 do 4.1.2026"))) == "2026-01-01/2026-01-02"
+    assert days(D.header_period(lit("od 31.8.2026 do 16.8.2026"))) == "" and days(D.header_period(lit("16.8.2026 do 31.8.2026"))) == ""
+    assert days(D.link_period(lit("https://x.cz/prehled-jednani-16-30-9-2026/"))) == "2026-09-16/2026-09-30"
+    for url in ("16-30-9-2026", "https://x.cz/a-30-16-9-2026", "https://x.cz/a-16-31-9-2026", "https://x.cz/a-16-30-9-26", "", None):
+        assert days(D.link_period(lit(url).cast("string"))) == ""
+
+
+def test_titles_and_parties_at_the_edges(value):
+    title = I.sentence_case(lit("THE SMES' RIGHTS UNDER L'EU AND THE 2ND USA-UK TREATY: AN IOT STUDY"))
+    assert value(title) == "The SMEs' Rights under L'EU and the 2nd USA-UK Treaty: An IoT Study"
+    assert value(I.sentence_case(lit("EU LAW"))) == "EU LAW"
+    long = "Společnost " + "x" * 40
+    assert value(N.short_party(lit(long))) == "Společnost…"
+    assert value(N.short_party(lit("y" * 40))) == "y" * 32 + "…"
+    assert value(N.short_party(lit("a.s."))) == "a.s." and value(N.short_party(lit("  "))) == ""
+    assert value(N.initials(lit("Ing."))) == "I." and value(N.initials(lit("jan 3m"))) == "J. 3m"
