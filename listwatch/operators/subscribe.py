@@ -23,19 +23,46 @@ def normalise_profiles(profiles: DataFrame, aliases: dict[str, str], known: list
                                  "hidden": F.coalesce("hidden", F.array().cast("array<string>"))})
 
 
-def visible(items: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(profile, id) pairs: the item's panel is selected, or one of its areas is.
+def _chosen(rows: DataFrame, key: str, panels: Column) -> DataFrame:
+    """(key, choices): the distinct areas and panels of each key, with their courts, in one order."""
+    by_area = rows.select(key, "court", F.explode("areas").alias("area"))
+    by_panel = rows.select(key, "court", F.explode(panels).alias("panel"))
+    known = F.col("court").isNotNull() & (F.col("area").isNotNull() | F.col("panel").isNotNull())
+    choice = F.struct("court", "area", "panel")
+    return by_area.unionByName(by_panel, allowMissingColumns=True).where(known).groupBy(key).agg(
+        F.sort_array(F.collect_set(choice)).alias(f"{key}_choices"))
+
+
+def visible_classes(items: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profile, profile_choices), (profile_choices, id_choices) and (id, id_choices).
 
-    Items meet profiles on exploded areas and panels (equi-joins); an item matching several ways is
-    kept once by an aggregate.
+    Profiles with the same choices see the same items, and items with the same choices are seen by the
+    same profiles, so only distinct choices meet.
     """
-    by_area = (items.select("id", "court", F.explode("areas").alias("area"))
-               .join(profiles.select("profile", "court", F.explode("areas").alias("area")), ["court", "area"])
-               .select("profile", "id"))
-    by_panel = (items.where(F.col("panel").isNotNull()).select("id", "court", "panel")
-                .join(profiles.select("profile", "court", F.explode("panels").alias("panel")), ["court", "panel"])
-                .select("profile", "id"))
-    return by_area.unionByName(by_panel).distinct()
+    selections, kinds = _chosen(profiles, "profile", F.col("panels")), _chosen(items, "id", F.array("panel"))
+
+    def each(rows: DataFrame, choices: str) -> DataFrame:
+        return rows.select(choices).distinct().select(choices, F.explode(choices).alias("c")).select(choices, "c.*")
+
+    wanted, held = each(selections, "profile_choices"), each(kinds, "id_choices")
+    by_area = wanted.drop("panel").join(held.drop("panel"), ["court", "area"])
+    by_panel = wanted.drop("area").join(held.drop("area"), ["court", "panel"])
+    both = by_area.select("profile_choices", "id_choices").unionByName(by_panel.select("profile_choices", "id_choices")).distinct()
+    return selections, both, kinds
+
+
+def visible(items: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(profile, id) pairs: the item's panel is selected, or one of its areas is; each pair once."""
+    selections, matches, kinds = visible_classes(items, profiles)
+    return selections.join(matches, "profile_choices").join(kinds, "id_choices").select("profile", "id")
+
+
+def visible_counts(items: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(profile, visible): pairs of :func:`visible` per profile, counted per selection without forming them."""
+    selections, matches, kinds = visible_classes(items, profiles)
+    sizes = kinds.groupBy("id_choices").agg(F.count(F.lit(1)).alias("_n"))
+    counts = matches.join(sizes, "id_choices").groupBy("profile_choices").agg(F.sum("_n").alias("visible"))
+    return selections.join(counts, "profile_choices").select("profile", "visible")
 
 
 def visible_journals(profiles: DataFrame, journals: DataFrame) -> DataFrame:
