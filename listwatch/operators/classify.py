@@ -104,7 +104,9 @@ def contains_join(items: DataFrame, dim: DataFrame, key: str, text: str) -> Data
     anchors = (rules.select("rule", own.alias("_own")).select("rule", F.size("_own").alias("all"), F.explode("_own").alias("piece"))
                .join(common, "piece").groupBy("rule", "all").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"), F.count(F.lit(1)).alias("found"))
                .where(F.col("found") == F.col("all")).select("rule", "piece"))
-    return probes.join(anchors, "piece").select(key, "rule").join(texts, key).where(F.contains("_t", "rule")).select(key, "rule")
+    # Spark guesses the size of texts and pieces from their files, far too low, and would send them all to the driver.
+    return (probes.hint("merge").join(anchors, "piece").select(key, "rule").join(texts.hint("merge"), key)
+            .where(F.contains("_t", "rule")).select(key, "rule"))
 
 
 def schedule_related(text: Column) -> Column:

@@ -81,3 +81,10 @@ def test_contains_join_equals_brute_force(spark):
     dim = spark.createDataFrame([(k,) for k in keys], "key string")
     got = {(r["id"], r["rule"]) for r in K.contains_join(items, dim, "id", "t").collect()}
     assert got == {(i, k) for i, t in texts for k in keys if k in t}
+
+
+def test_contains_join_sends_no_texts_to_the_driver(spark):
+    items = spark.range(50).selectExpr("id", "concat('alfa beta ', id) as t")
+    joined = K.contains_join(items, spark.createDataFrame([("beta",)], "key string"), "id", "t")
+    kept = str(joined._jdf.queryExecution().optimizedPlan())
+    assert kept.count("strategy=merge") == 2 and joined.count() == 50
