@@ -209,21 +209,23 @@ def calendar_file(t):
     lines = IC.calendar_lines(blocks, "block", ["day", "o_orderkey"], "Jednání", "listwatch")
     path = f"{scratch_dir(t.spark, 'calendar')}/file"
     IC.write_calendar(lines, ["day", "o_orderkey"], path)
-    # Parts in the order of their names are the file; a part begins and ends with whole blocks.
-    parts = t.spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("part"))
-    frame = parts.agg(F.min_by("value", "part").startswith("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n")
-                      & F.max_by("value", "part").endswith("END:VCALENDAR\r\n")).scalar()
-    each = parts.select("part", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)BEGIN:VEVENT\r\n(.*?)END:VEVENT"), F.lit(1))))
+    # Parts in the order of their names are the file; it is read an event at a time, in the order of parts, splits and rows.
+    read = IC.read_calendar(t.spark, path)
+    at = F.struct("part", "block", "at")
+    frame = read.agg(F.min_by("text", at).startswith("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n")
+                     & F.max_by("text", at).endswith("END:VCALENDAR\r\n")).scalar()
+    each = read.where(F.col("text").contains("BEGIN:VEVENT\r\n")).select(
+        "part", "block", "at", F.regexp_extract("text", r"(?s)BEGIN:VEVENT\r\n(.*)", 1).alias("event"))
     found = each.select(
-        "part", "pos", F.regexp_extract("col", r"(?m)^UID:(\S+)", 1).alias("uid"), F.regexp_extract("col", r"(?m)^DTSTART[^:]*:(\d{8})", 1).alias("day"),
-        F.regexp_extract("col", r"(?m)^SUMMARY:([^\r\n]*)", 1).alias("summary"))
+        "part", "block", "at", F.regexp_extract("event", r"(?m)^UID:(\S+)", 1).alias("uid"), F.regexp_extract("event", r"(?m)^DTSTART[^:]*:(\d{8})", 1).alias("day"),
+        F.regexp_extract("event", r"(?m)^SUMMARY:([^\r\n]*)", 1).alias("summary"))
     key = F.regexp_extract("summary", r"č\. (\d+)", 1).cast("bigint")
-    place, bounds = W.partitionBy("part").orderBy("pos"), F.struct("day", key.alias("key"))
+    place, bounds = W.partitionBy("part", "block").orderBy("at"), F.struct("day", key.alias("key"))
     found = found.withColumns({"o_orderkey": key, "in_part": F.coalesce(F.lag(bounds).over(place) <= bounds, F.lit(True))})
-    # Between parts: the last event of all earlier parts, one row per part.
-    ends = found.groupBy("part").agg(F.min(bounds).alias("first"), F.max(bounds).alias("last"))
-    ends = ends.select("part", (F.col("first") >= F.coalesce(F.lag("last").over(W.orderBy("part")), "first")).alias("after"))
-    return found.join(ends, "part").select(
+    # Between splits: the last event of all earlier ones, one row per split.
+    ends = found.groupBy("part", "block").agg(F.min(bounds).alias("first"), F.max(bounds).alias("last"))
+    ends = ends.select("part", "block", (F.col("first") >= F.coalesce(F.lag("last").over(W.orderBy("part", "block")), "first")).alias("after"))
+    return found.join(ends, ["part", "block"]).select(
         "o_orderkey", "uid", "day", "summary", (F.col("in_part") & F.col("after")).alias("in_order"), frame.alias("framed"))
 
 

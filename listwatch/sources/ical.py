@@ -1,6 +1,6 @@
 """iCalendar files read and written."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listwatch.functions.dates import BUSINESS_ZONE, minutes_of_day
 from listwatch.functions.events import attendance_form
@@ -146,3 +146,14 @@ def write_calendar(lines: DataFrame, order: list[str], path: str) -> None:
     The order comes from a range partitioning, so no task holds the whole calendar.
     """
     (lines.orderBy("section", *order).select("text").write.mode("overwrite").option("lineSep", "\r\n").text(path))
+
+
+def read_calendar(spark: SparkSession, path: str) -> DataFrame:
+    """(part, block, at, text): a written calendar, a row per event without its end line.
+
+    A row holds one event, the first one of the file also the header, the last one the footer.  ``part``, ``block`` (where a
+    split of the part begins) and ``at`` give their order; no row and no task holds more than a split.
+    """
+    where = [F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.option("lineSep", "\r\nEND:VEVENT\r\n").text(path).select(
+        *where, F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))

@@ -117,6 +117,22 @@ def test_calendar_round_trip(spark, tmp_path):
         (r["title"], "09:30", "10:30", "a\nb") for r in e.orderBy("day").collect()]
 
 
+def test_calendar_is_read_an_event_at_a_time(spark, tmp_path):
+    blocks = spark.range(40).selectExpr("id", "concat('BEGIN:VEVENT\r\nUID:e', id, '\r\nSUMMARY:END:VEVENT', '\r\nEND:VEVENT') as block")
+    path = str(tmp_path / "cal")
+    IC.write_calendar(IC.calendar_lines(blocks, "block", ["id"], "Test", "x"), ["id"], path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        read = IC.read_calendar(spark, path).orderBy("part", "block", "at").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    texts = [r["text"] for r in read]
+    assert len({(r["part"], r["block"]) for r in read}) > 2
+    assert texts[0].startswith("BEGIN:VCALENDAR\r\n") and texts[-1].endswith("END:VCALENDAR\r\n")
+    events = [x.split("BEGIN:VEVENT\r\n")[1] for x in texts if "BEGIN:VEVENT\r\n" in x]
+    assert events == [f"UID:e{i}\r\nSUMMARY:END:VEVENT" for i in range(40)]
+
+
 def test_calendar_zones(spark):
     text = ("BEGIN:VEVENT\r\nDTSTART;TZID=America/New_York:20260701T090000\r\nDTEND:20260701T140000Z\r\nSUMMARY:A\r\nEND:VEVENT\r\n"
             "BEGIN:VEVENT\r\nDTSTART;VALUE=DATE:20260701\r\nDTEND;VALUE=DATE:20260703\r\nSUMMARY:Dlouhý\r\n  název\r\nEND:VEVENT\r\n")
