@@ -108,9 +108,13 @@ _NUMERIC = r"&#(x[0-9a-fA-F]{1,6}|[0-9]{1,7});"
 
 def unescape(c: Column) -> Column:
     """Decode named and numeric character references; ``&amp;`` last, once."""
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    return let(c, lambda t: F.replace(F.when(t.contains("&#"), _numeric(t)).otherwise(t), F.lit("&amp;"), F.lit("&")))
+    def decoded(t):
+        for name, char in ENTITIES.items():
+            t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+        return let(t, lambda d: F.replace(F.when(d.contains("&#"), _numeric(d)).otherwise(d), F.lit("&amp;"), F.lit("&")))
+
+    # Most texts have no reference: one look instead of a pass per name.
+    return let(c, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 
 
 def _numeric(c: Column) -> Column:

@@ -25,6 +25,8 @@ RUNTIME_CONF = {
 
 #: Most that ``spread`` shuffles, however many cores there are.
 SPREAD_BYTES = 1 << 30
+#: File bytes that a task has after ``spread``, where these make more tasks than there are cores.
+TASK_BYTES = 4 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -54,15 +56,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Input for CPU-heavy parsing, split over all cores.
+    """Input for CPU-heavy parsing, split over all cores and into tasks of bounded size.
 
-    Only files of at most ``SPREAD_BYTES`` in all are shuffled, and only if they have fewer splits
-    than there are cores; the rows are the same either way.
+    Files of at most ``SPREAD_BYTES`` in all are dealt out anew, the rows are the same either way.  Their splits say
+    little: a split in which no row group begins is empty, and another one has the rows.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores or _file_bytes(df) > SPREAD_BYTES:
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, _file_bytes(df)
+    if size > SPREAD_BYTES:
         return df
-    return df.repartition(cores)
+    return df.repartition(max(cores, -(-size // TASK_BYTES)))
 
 
 def _file_bytes(df: DataFrame) -> int:

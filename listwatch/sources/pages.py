@@ -7,7 +7,7 @@ from listwatch.functions.events import attendance_form
 from listwatch.functions.links import absolute, allowed_link
 from listwatch.functions.loose import as_names, as_text
 from listwatch.functions.marks import display_mark, docket_number, mark_key, mark_parts
-from listwatch.functions.text import first_text, fold, missing, squeeze, strip_space, unescape
+from listwatch.functions.text import first_text, fold, let, missing, squeeze, strip_space, unescape
 from listwatch.operators.scan import first_per_key, top_per_group
 from listwatch.operators.staging import where_computed
 from listwatch.session import materialise
@@ -18,11 +18,15 @@ HEAD_JUNK = ("head", "script", "style", "noscript")
 
 def lines_of(html: Column) -> Column:
     """Text of an HTML fragment, block ends and line breaks as new lines, blank runs collapsed."""
-    s = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<br\s*/?>|</p\s*>|</div\s*>|</tr\s*>|</h\d\s*>", "\n")
-    s = unescape(F.regexp_replace(s, r"<[^>]+>", ""))
-    s = F.regexp_replace(s, r"(?U)[^\S\n]+", " ")
-    s = F.regexp_replace(F.regexp_replace(s, r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
-    return strip_space(s)
+    def without_tags(h: Column) -> Column:
+        s = F.regexp_replace(h, r"(?i)<br\s*/?>|</p\s*>|</div\s*>|</tr\s*>|</h\d\s*>", "\n")
+        return F.when(h.contains("<"), F.regexp_replace(s, r"<[^>]+>", "")).otherwise(h)
+
+    def lines(s: Column) -> Column:
+        return F.when(s.contains("\n"), F.regexp_replace(F.regexp_replace(s, r" ?\n ?", "\n"), r"\n{3,}", "\n\n")).otherwise(s)
+
+    s = unescape(let(F.coalesce(html, F.lit("")), without_tags))
+    return strip_space(let(F.regexp_replace(s, r"(?U)[^\S\n]+", " "), lines))
 
 
 def without_elements(html: Column, tags: tuple[str, ...] = JUNK) -> Column:
