@@ -260,6 +260,4 @@ def link_kinds(t):
         (F.lit("https://sub.x.example/i"), F.lit("<b>Pozvánka</b> na seminář")), (F.lit("https://badx.example/i"), F.lit("Pozvánka")))
     html = F.concat(*[F.concat(F.lit('<a class="l" href="'), href, F.lit('">'), text, F.lit("</a> ")) for href, text in anchors])
     links = PG.extract_links(t.heavy("orders").select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
-    kinds = {"calendar": PG.calendar_links(links), "document": PG.document_links(links), "invitation": PG.invitation_links(links, F.array(F.lit("x.example")))}
-    found = [rows.select("o_orderkey", F.lit(kind).alias("kind"), "href") for kind, rows in kinds.items()]
-    return found[0].union(found[1]).union(found[2])
+    return PG.link_kinds(links, ["o_orderkey"], F.array(F.lit("x.example"))).select("o_orderkey", "kind", "href")

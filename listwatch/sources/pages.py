@@ -70,11 +70,14 @@ def article_links(links: DataFrame, source: list[str], pattern: str, guid: Colum
     return top_per_group(best.join(first, [*source, "guid"]), source, [F.col("first_pos"), F.col("guid")], cap, "rank")
 
 
+def _is_document() -> Column:
+    path = F.lower("href")
+    return path.contains("/documents/") | path.rlike(r"\.(docx?|pdf)([?#]|$)")
+
+
 def document_links(links: DataFrame) -> DataFrame:
     """Links to documents, with the folded text that keywords are matched against."""
-    path = F.lower("href")
-    return links.where(path.contains("/documents/") | path.rlike(r"\.(docx?|pdf)([?#]|$)")).withColumn(
-        "haystack", fold(F.concat_ws(" ", "href", "text")))
+    return links.where(_is_document()).withColumn("haystack", fold(F.concat_ws(" ", "href", "text")))
 
 
 def pick_links(links: DataFrame, page: list[str], preferences: list[str], keywords: list[str], strict: bool = False) -> DataFrame:
@@ -98,15 +101,33 @@ def pick_links(links: DataFrame, page: list[str], preferences: list[str], keywor
     return first_per_key(ranked, page, [F.col("pass"), F.col("pos")])
 
 
+CALENDAR_HREF = r"(?i)\.ics([?#]|$)|[?&](ical|ics)="
+
+
+def _calendar_href() -> Column:
+    return F.regexp_replace("href", "^webcal:", "https:")
+
+
 def calendar_links(links: DataFrame) -> DataFrame:
-    href = F.regexp_replace("href", "^webcal:", "https:")
-    return links.withColumn("href", href).where(F.col("href").rlike(r"(?i)\.ics([?#]|$)|[?&](ical|ics)="))
+    return links.withColumn("href", _calendar_href()).where(F.col("href").rlike(CALENDAR_HREF))
+
+
+def _is_invitation(hosts: Column) -> Column:
+    wanted = let(fold(F.col("text")), lambda t: t.contains("pozvank") | (t.contains("program") & t.contains(".pdf")))
+    return wanted & allowed_link(F.col("href"), hosts)
 
 
 def invitation_links(links: DataFrame, hosts: Column) -> DataFrame:
-    t = fold(F.col("text"))
-    return links.where((t.contains("pozvank") | (t.contains("program") & t.contains(".pdf")))
-                       & allowed_link(F.col("href"), hosts))
+    return links.where(_is_invitation(hosts))
+
+
+def link_kinds(links: DataFrame, key: list[str], hosts: Column) -> DataFrame:
+    """(key, pos, kind, href): the calendar, document and invitation links in one pass over the pages."""
+    calendar = _calendar_href()
+    kinds = F.array(F.when(calendar.rlike(CALENDAR_HREF), F.struct(F.lit("calendar").alias("kind"), calendar.alias("href"))),
+                    F.when(_is_document(), F.struct(F.lit("document").alias("kind"), "href")),
+                    F.when(_is_invitation(hosts), F.struct(F.lit("invitation").alias("kind"), "href")))
+    return links.select(*key, "pos", F.inline(F.array_compact(kinds)))
 
 
 # --- tables --------------------------------------------------------------------------------
