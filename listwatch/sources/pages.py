@@ -261,6 +261,8 @@ def statute_citation(article: Column, section: Column, paragraph: Column, letter
 
 # --- embedded schema.org events ------------------------------------------------------------
 
+#: Levels of nesting that are walked before a checkpoint.
+LEVELS = 4
 CONTAINERS = ("@graph", "itemListElement", "item", "event", "events", "subEvent")
 
 
@@ -278,20 +280,27 @@ def _is_event(v: Column) -> Column:
 def embedded_events(pages: DataFrame, key: list[str], html: str) -> DataFrame:
     """schema.org events of the pages' JSON-LD, found through lists, graphs and item lists at any depth.
 
-    Each level is cut with a reliable checkpoint, so a page is parsed once; the walk ends with the first
-    level that holds nothing.
+    ``LEVELS`` levels are walked in one pass and cut with a reliable checkpoint, so a page is parsed once; what is
+    still open after them goes on with further ones until nothing is left.
     """
     script = r"(?is)<script\b[^>]*type\s*=\s*[\"'][^\"']*ld\+json[^\"']*[\"'][^>]*>(.*?)</script>"
     blocks = pages.select(*key, F.explode(F.regexp_extract_all(F.col(html), F.lit(script), F.lit(1))).alias("json"))
-    level = materialise(blocks.select(*key, F.explode(_listed(F.try_parse_json("json"))).alias("v"))
-                        .withColumn("is_event", _is_event(F.col("v"))))
+
+    def inside(rows: DataFrame) -> DataFrame:
+        for _ in range(LEVELS):
+            v = F.col("v")
+            held = F.flatten(F.array(*[_listed(F.try_variant_get(v, f"$['{c}']", "variant")) for c in CONTAINERS]))
+            children = F.when(F.schema_of_variant(v).startswith("ARRAY"), _listed(v)).otherwise(held)
+            # An event stays a row of its own, anything else gives way to what it holds.
+            rows = rows.select(*key, "is_event", F.explode(F.when(F.col("is_event"), F.array(v)).otherwise(children)).alias("v")).select(
+                *key, "v", F.when(F.col("is_event"), True).otherwise(_is_event(F.col("v"))).alias("is_event"))
+        return materialise(rows)
+
+    first = blocks.select(*key, F.explode(_listed(F.try_parse_json("json"))).alias("v"))
+    level = inside(first.withColumn("is_event", _is_event(F.col("v"))))
     found = level.where("is_event")
-    while not level.isEmpty():
-        v = F.col("v")
-        held = F.flatten(F.array(*[_listed(F.try_variant_get(v, f"$['{c}']", "variant")) for c in CONTAINERS]))
-        children = F.when(F.schema_of_variant(v).startswith("ARRAY"), _listed(v)).otherwise(held)
-        level = materialise(level.where("not is_event").select(*key, F.explode(children).alias("v"))
-                            .withColumn("is_event", _is_event(F.col("v"))))
+    while not (left := level.where("not is_event")).isEmpty():
+        level = inside(left)
         found = found.unionByName(level.where("is_event"))
     return found.select(*key, *_event_fields(F.col("v")))
 
