@@ -5,7 +5,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listwatch.functions.dates import CZECH_DATE, czech_date
@@ -56,36 +56,51 @@ def expected_rows(lines: DataFrame, document: str, text: str, period: Column) ->
 
 
 FILES_AT_ONCE = 256
-CELLS = "document string, table_no int, row_no int, cell_no int, paragraphs array<string>"
+ROWS = "document string, table_no int, row_no int, cells array<array<string>>"
+ROW_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.string())))
+TABLE, ROW, CELL, PARAGRAPH, TEXT = (WORD_NS + n for n in ("tbl", "tr", "tc", "p", "t"))
 
 
-def _cells_of(content: bytes) -> Iterator[tuple[int, int, int, list[str]]]:
+def _rows_of(content: bytes) -> Iterator[tuple[int, int, list[list[str]]]]:
+    """(table_no, row_no, paragraphs of each cell) of the rows that have cells."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         root = ET.fromstring(archive.read("word/document.xml"))
-    for t, table in enumerate(root.iter(WORD_NS + "tbl")):
-        for r, row in enumerate(table.findall(WORD_NS + "tr")):
-            for c, cell in enumerate(row.findall(WORD_NS + "tc")):
-                texts = ("".join(x.text or "" for x in p.iter(WORD_NS + "t")).strip() for p in cell.iter(WORD_NS + "p"))
-                yield t, r, c, [x for x in texts if x]
+    for t, table in enumerate(root.iter(TABLE)):
+        for r, row in enumerate(table.findall(ROW)):
+            cells = []
+            for cell in row.findall(CELL):
+                texts = ["".join([x.text or "" for x in p.iter(TEXT)]).strip() for p in cell.iter(PARAGRAPH)]
+                cells.append([x for x in texts if x])
+            if cells:
+                yield t, r, cells
 
 
 def document_cells(files: DataFrame, document: str = "path", content: str = "content") -> DataFrame:
-    """Table cells of word-processor files, one file at a time inside the task that read it."""
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["document", "table_no", "row_no", "cell_no", "paragraphs"]
+    """(document, table_no, row_no, cells): the paragraphs of each cell, a row per table row of word-processor files.
+
+    One file at a time inside the task that read it.
+    """
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), FILES_AT_ONCE):
-                part = batch.iloc[start:start + FILES_AT_ONCE]
-                yield pd.DataFrame([(name, *cell) for name, data in zip(part["document"], part["content"])
-                                    for cell in _cells_of(data)], columns=names)
+            for start in range(0, batch.num_rows, FILES_AT_ONCE):
+                part = batch.slice(start, FILES_AT_ONCE)
+                found = [(name, *row) for name, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for row in _rows_of(data)]
+                columns = zip(*found) if found else [()] * len(ROW_TYPES)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, ROW_TYPES)],
+                                                 ["document", "table_no", "row_no", "cells"])
+
+    return files.select(F.col(document).alias("document"), F.col(content).alias("content")).mapInArrow(unpack, ROWS)
+
 
-    return files.select(F.col(document).alias("document"), F.col(content).alias("content")).mapInPandas(unpack, CELLS)
+def _cells(value) -> Column:
+    """Aggregate of a table row: its cells as entries (cell_no, ``value`` of the paragraphs)."""
+    entries = F.transform("cells", lambda c, i: F.struct(i.alias("cell_no"), value(c).alias("v")))
+    return F.flatten(F.collect_list(entries))
 
 
 def table_hearings(cells: DataFrame) -> DataFrame:
     """Hearings from table rows: date, room, chair, mark, clock, parties."""
-    row = cells.groupBy("document", "table_no", "row_no").agg(
-        F.map_from_entries(F.collect_list(F.struct("cell_no", "paragraphs"))).alias("c"))
+    row = cells.groupBy("document", "table_no", "row_no").agg(F.map_from_entries(_cells(lambda c: c)).alias("c"))
 
     def cell(i: int) -> Column:
         return F.trim(F.array_join(F.coalesce(F.try_element_at("c", F.lit(i)), F.array().cast("array<string>")), "\n"))
@@ -99,6 +114,6 @@ def table_hearings(cells: DataFrame) -> DataFrame:
 
 def cells_as_text(cells: DataFrame) -> DataFrame:
     """Table text with cells split by `` | `` and paragraphs by ``; ``, one row per table row."""
-    joined = F.array_join("paragraphs", "; ")
-    return cells.groupBy("document", "table_no", "row_no").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("cell_no", joined.alias("t")))), lambda s: s["t"]), " | ").alias("line"))
+    texts = _cells(lambda c: F.array_join(c, "; "))
+    return cells.groupBy("document", "table_no", "row_no").agg(
+        F.array_join(F.transform(F.array_sort(texts), lambda s: s["v"]), " | ").alias("line"))

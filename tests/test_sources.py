@@ -1,12 +1,14 @@
 """Archive, publishing, dimension files and calendars on temporary folders."""
 
 import datetime as dt
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from listwatch.sources import archive as AR, dims as DI, feeds as FE, ical as IC, pages as PG
+from listwatch.sources import archive as AR, dims as DI, feeds as FE, ical as IC, pages as PG, rosters as RO
 
 SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("first_seen", T.TimestampType()),
                        T.StructField("court", T.StringType()), T.StructField("month", T.StringType())])
@@ -168,3 +170,46 @@ def test_document_choice(spark):
     pick = lambda **k: {r["page"]: r["href"] for r in PG.pick_links(docs, ["page"], **k).collect()}
     assert pick(preferences=["uplne zneni"], keywords=["rozvrh"]) == {1: "/documents/uplne.pdf", 3: "/documents/a.docx"}
     assert pick(preferences=["uplne zneni"], keywords=["rozvrh"], strict=True) == {1: "/documents/uplne.pdf"}
+
+
+def test_links_of_all_kinds_in_one_pass(spark):
+    html = ('<a href="webcal://x.example/1">Kalendář</a><a href="webcal://x.example/a.ics">K</a><a href="/documents/1">D</a>'
+            '<a href="https://x.example/p.PDF">Program&nbsp;(a.pdf)</a><a href="https://y.example/p">Pozvánka</a>')
+    links = PG.extract_links(spark.createDataFrame([(1, html)], "page int, html string"), ["page"], "html")
+    hosts = F.array(F.lit("x.example"))
+    got = sorted((r["kind"], r["href"]) for r in PG.link_kinds(links, ["page"], hosts).collect())
+    apart = {"calendar": PG.calendar_links(links), "document": PG.document_links(links), "invitation": PG.invitation_links(links, hosts)}
+    assert got == sorted((kind, r["href"]) for kind, rows in apart.items() for r in rows.collect()) and len(got) == 4
+    plan = PG.link_kinds(links, ["page"], hosts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+
+
+def test_embedded_events_deeper_than_one_pass(spark):
+    event = '{"@type":"Event","name":"E%d"}'
+    deep = event % 0
+    for i in range(1, 11):
+        deep = '{"@graph":[%s,%s]}' % (event % i, deep)
+    page = f'<script type="application/ld+json">{deep}</script>'
+    got = PG.embedded_events(spark.createDataFrame([(1, page)], "page int, html string"), ["page"], "html").collect()
+    assert sorted(r["title"] for r in got) == sorted(f"E{i}" for i in range(11))
+
+
+def test_document_cells_are_a_row_per_table_row(spark):
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    cell = lambda *ps: "<w:tc>" + "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in ps) + "</w:tc>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:tbl><w:tr/><w:tr>{cell('a', '', 'b')}{cell()}{cell('c')}</w:tr></w:tbl></w:document>")
+    cells = RO.document_cells(spark.createDataFrame([("x", out.getvalue())], "path string, content binary"))
+    assert [tuple(r) for r in cells.collect()] == [("x", 0, 1, [["a", "b"], [], ["c"]])]
+    assert [r["line"] for r in RO.cells_as_text(cells).collect()] == ["a; b |  | c"]
+
+
+def test_small_tasks_for_parsing(spark, tmp_path, monkeypatch):
+    from listwatch import session
+    path = str(tmp_path / "t")
+    spark.range(1000).write.parquet(path)
+    monkeypatch.setattr(session, "TASK_BYTES", 10)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 64)
+    spread = session.spread(spark.read.parquet(path))
+    assert spread.rdd.getNumPartitions() > 64 and spread.count() == 1000
