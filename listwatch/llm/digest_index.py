@@ -100,8 +100,9 @@ class ExactDedup:
         index = index or temporary_index(docs.sparkSession)
         self._indexed(docs, index)
         # The columns travel in a struct, so helper columns clash with none of them.
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_digest(F.col(self.text)).alias("digest"),
-                           id_key(self.id).alias("k"))
+        # A digest is never null, and said so: a test for null would compute it again, in workers of its own beside the first ones.
+        digest = F.coalesce(text_digest(F.col(self.text)), F.lit(b""))
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest.alias("digest"), id_key(self.id).alias("k"))
         kept = index.rows().select("digest", id_key("doc_id").alias("k"))
         # The id is part of the key, so copies of a hot text are not sent to one task.
         return rows.join(kept.hint("shuffle_merge"), ["digest", "k"], "left_semi").dropDuplicates(["digest", "k"]).select("row.*")

@@ -154,6 +154,13 @@ def test_exact_copies(spark):
     assert ExactDedup().decisions(empty).count() == 0 and ExactDedup().keep_one(empty).count() == 0
 
 
+def test_digests_are_computed_once_per_pass(spark):
+    docs = spark.createDataFrame([(1, "A b"), (2, "a B"), (None, None), (3, "")], "doc_id long, text string")
+    rest = ExactDedup().keep_one(docs)
+    assert rest._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r["doc_id"] for r in rest.collect()) == [2, 3]
+
+
 def test_index_persists_and_a_batch_can_run_again(spark):
     path = scratch_dir(spark, f"index-{uuid.uuid4().hex}")
     first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "doc_id long, text string")
