@@ -23,10 +23,9 @@ RUNTIME_CONF = {
 }
 
 
-#: Most that ``spread`` shuffles, however many cores there are.
-SPREAD_BYTES = 1 << 30
-#: File bytes that a task has after ``spread``, where these make more tasks than there are cores.
+#: File bytes and rows that a task has at most after ``spread``, where these make more tasks than there are cores.
 TASK_BYTES = 4 << 20
+TASK_ROWS = 50_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -56,15 +55,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Input for CPU-heavy parsing, split over all cores and into tasks of bounded size.
+    """Input for CPU-heavy parsing, split over all cores and into tasks of bounded size, the rows are the same either way.
 
-    Files of at most ``SPREAD_BYTES`` in all are dealt out anew, the rows are the same either way.  Their splits say
-    little: a split in which no row group begins is empty, and another one has the rows.
+    The splits of files say little: a split in which no row group begins is empty, and another one has the rows.  Nor do their
+    bytes alone, as values that repeat take little room.  The rows are counted in the files' footers.
     """
     cores, size = df.sparkSession.sparkContext.defaultParallelism, _file_bytes(df)
-    if size > SPREAD_BYTES:
-        return df
-    return df.repartition(max(cores, -(-size // TASK_BYTES)))
+    return df.repartition(max(cores, -(-size // TASK_BYTES), -(-df.count() // TASK_ROWS)))
 
 
 def _file_bytes(df: DataFrame) -> int:

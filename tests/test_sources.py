@@ -213,3 +213,14 @@ def test_small_tasks_for_parsing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 64)
     spread = session.spread(spark.read.parquet(path))
     assert spread.rdd.getNumPartitions() > 64 and spread.count() == 1000
+
+
+def test_small_tasks_for_many_rows_in_small_files(spark, tmp_path, monkeypatch):
+    from listwatch import session
+    path = str(tmp_path / "t")
+    spark.range(20_000).selectExpr("id % 2 AS a").coalesce(1).write.parquet(path)
+    monkeypatch.setattr(session, "TASK_ROWS", 1000, raising=False)
+    spread = session.spread(spark.read.parquet(path))
+    assert spread.rdd.getNumPartitions() == 20
+    assert max(r["n"] for r in spread.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) <= 1100
+    assert sorted(r["a"] for r in spread.collect()) == [0] * 10_000 + [1] * 10_000
